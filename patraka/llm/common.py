@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,6 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished queries left, so that Spark removes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_of(batch: pa.RecordBatch, most_bytes: int, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``most_bytes``; a longer row stands alone."""
     offsets = np.frombuffer(batch.column(column).buffers()[1], dtype=_offset_type(batch.column(column)))[

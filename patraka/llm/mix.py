@@ -101,8 +101,9 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
     """One row for each distinct ``(doc_id, source, text_hash)`` with the copies that the mix takes.
 
     Columns: those three, ``size``, ``n`` (rows alike), ``source_size``, ``target``, ``copies`` (by row) and
-    ``positions`` (of the copies). A copy is taken if its middle word is within the source's target, so
-    that a source misses its target by half a document at most; a document without a word is not taken.
+    ``positions`` (of the copies). A copy is taken if it ends within the source's target; the words that
+    are left go to the one document nearest in size, if that comes nearer to the target. A document
+    without a word is not taken.
     """
     own = materialize(sizes(docs).groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n")))
     bucket_bits = max(0, min(20, (own.count() // 2000).bit_length()))
@@ -120,9 +121,19 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
     mass = F.col("n") * F.col("size")
     placed = own.withColumn("inside", F.sum(mass).over(within) - mass)
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
+    mass = F.col("n") * F.col("size")
     start = F.col("before") + F.col("inside")
     times = F.array(*(start + F.col("source_size") * e for e in range(most)))
-    taken = F.filter(times, lambda o: (F.col("size") > 0) & (o + mass / 2 <= F.col("target")))
+    fits = F.filter(times, lambda o: (F.col("size") > 0) & (o + mass <= F.col("target")))
+    placed = materialize(placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "turn", fits.alias("starts")))
+    # What is left of a target goes to the one document that comes nearest to filling it.
+    taken = placed.groupBy("source").agg(F.sum(F.size("starts") * mass).alias("taken"))
+    gap = F.col("target") - F.col("taken")
+    key = F.struct("turn", "doc_id", "size", "text_hash")
+    open_ = placed.join(taken.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3"))).where((F.size("starts") < most) & (F.col("size") > 0) & (F.abs(mass - gap) < gap))
+    fill = open_.groupBy("source").agg(F.min(F.struct(F.abs(mass - gap).alias("off"), key.alias("key"), (F.col("target") - gap).alias("start"))).alias("fill"))
+    placed = placed.join(materialize(fill.select(F.col("source").alias("s4"), "fill")), F.col("source").eqNullSafe(F.col("s4")) & (key == F.col("fill.key")), "left")
+    starts = F.when(F.col("fill").isNull(), F.col("starts").cast("array<double>")).otherwise(F.concat(F.col("starts").cast("array<double>"), F.array("fill.start")))
 
     def at(o: Column) -> Column:
         share = F.coalesce(F.try_divide(o, F.col("target")), F.lit(0.0))
@@ -131,7 +142,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
             out = F.when(F.col("place") % len(schedules) == i, position(share, s)).otherwise(out)
         return out
 
-    return placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", F.size(taken).alias("copies"), F.transform(taken, at).alias("positions"))
+    return placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", F.size(starts).alias("copies"), F.transform(starts, at).alias("positions"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patraka.llm import langid, licenses, mix, pieces, simhash, vectors, warc
+from patraka.llm import langid, licenses, mix, pieces, simhash, suffix, vectors, warc
 from patraka.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup,
+        op2_suffix_dedup,
         op3_warc,
         op4_language_id,
         op5_sentencepiece,

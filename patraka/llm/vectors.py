@@ -153,8 +153,8 @@ def links_between(x: np.ndarray, basis: np.ndarray, rep: np.ndarray, copies: np.
 
 TREES = 32
 BITS = 24  # of a tree's hash strings
-SHARE = 0.7  # rows that the ascent gathers, with repeats over trees, as a share of a shard's rows
-LEAST = 256  # and at least so many
+SHARE = 1.0  # rows that the ascent gathers, with repeats over trees, as a share of a shard's rows
+LEAST = 4096  # and at least so many
 SHARD = 16_384
 QUERIES = 2048  # of a block
 SEED = 11
@@ -176,8 +176,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHAR
     n, n_asked = own.count(), asked.count()
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(n_asked / QUERIES))
     turn = F.xxhash64("vec_id", F.lit("shard"))
-    rows = own.select(F.size("embedding").alias("dim"), F.pmod(turn, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    asks = asked.select(F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(turn, F.lit(blocks)).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    rows = own.select(F.size("embedding").alias("dim"), F.pmod(turn, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asks = asked.select(F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(turn, F.lit(blocks)).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
 
     def run(t: pa.Table) -> pa.Table:
         is_query = t["asks"].to_numpy()

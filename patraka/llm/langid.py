@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     )
 
 
+def keep(docs: DataFrame, model: Model, sure: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with probability ``sure``; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        column = pa.array(texts, pa.string(), from_pandas=True)
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(column), pa.int64()), column], names=["doc_id", "text"])
+        parts = [score(part, shared.value) for part in rows_of(batch, SLICE, "text")]
+        return pd.Series([n != UNKNOWN and p >= sure for x in parts for n, p in zip(x.column(1).to_pylist(), x.column(2).to_pylist())], dtype=bool)
+
+    return docs.where(known(F.col("text").cast("string")))
+
+
 def score(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
     texts = batch.column(1).to_pylist()
     sure = [t is not None and bool(m.languages) and LETTER.search(t) is not None for t in texts]

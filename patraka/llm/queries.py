@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patraka.llm import langid, licenses, mix, pieces, simhash, suffix, vectors, warc
+from patraka.llm import langid, licenses, lm, mix, pieces, simhash, suffix, vectors, warc
 from patraka.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_warc,
         op4_language_id,
         op5_sentencepiece,
+        op6_lm_score,
         op7_embedding_dedup,
         op8_source_mix,
         op9_nearest,

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patraka.llm.common import connected_components, materialize, star, text_bytes
@@ -53,15 +53,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; fp: the 64 bits as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """``(doc_id, text_hash, fp)`` for every row; fp: the 64 bits as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fp = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], schema=schema)
+            fp = np.array([fingerprint(t) for t in text_bytes(batch.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text.cast("string")), F.lit(0))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -200,11 +205,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id each get a row. A null doc_id gets a row too but never names a component while another member
     has an id. An empty table gives an empty result; columns besides id and text are not read.
     """
-    own = materialize(fingerprints(docs, id_col, text_col))
-    named = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # Components are taken over distinct fingerprints, so a group of copies is one node.
-    comp = connected_components(links(named.select("fp")))
-    reps = named.join(comp, named.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    lowest = reps.groupBy("root").agg(F.min("least").alias("component_id"))
-    reps = materialize(reps.join(lowest, "root").select("fp", "component_id"))
+    own, roots = _grouped(docs, id_col, text_col)
+    lowest = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    reps = materialize(roots.join(lowest, "root").select("fp", "component_id"))
     return own.join(reps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows' fingerprints, and ``(fp, root)``: components over distinct fingerprints, so that a group of copies is one node."""
+    own = materialize(fingerprints(docs, id_col, text_col))
+    distinct = own.select("fp").distinct()
+    comp = connected_components(links(distinct))
+    return own, materialize(distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id (null last), with all its columns.
+
+    Among rows alike in doc_id the one with the smallest text hash stays; of rows alike in both, one.
+    """
+    own, roots = _grouped(docs, id_col, text_col)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = own.groupBy("fp").agg(F.min(key).alias("key")).join(roots, "fp").groupBy("root").agg(F.min("key").alias("key"))
+    best = materialize(best.select(F.col("key.doc_id").alias("__id"), F.col("key.text_hash").alias("__hash")).distinct())
+    held = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__own"), _text_hash(F.col(text_col)).alias("__text"))
+    met = held.join(best, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
+    turn = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64("__row"))
+    return met.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").select("__row.*")

@@ -25,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patraka.llm.common import materialize, mix64, release, shards_for, text_bytes, total_bytes
+from patraka.llm.packing import pack, unpack
 
 LENGTH = 50
 K = 20
@@ -174,14 +174,6 @@ class LogIndex:
 # Rows of packed arrays between the stages
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
-
-
 def rising(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0).astype(np.int32)
 

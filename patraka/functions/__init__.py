@@ -1 +1 @@
-
+"""Column expressions: text, numbers, code switching, error rates."""

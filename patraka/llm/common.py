@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -40,8 +41,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver drop what finished queries left, so that Spark removes their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold more; the cleaner works beside it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def rows_of(batch: pa.RecordBatch, most_bytes: int, column: str) -> Iterator[pa.RecordBatch]:

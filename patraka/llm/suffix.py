@@ -209,13 +209,13 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if isinstance(rows[0][k], int) else pa.binary()) for k in rows[0]], names=list(rows[0]))
 
 
-def gathered(t: pa.Table, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def gathered(t: pa.Table, names: tuple[str, ...], kinds: dict | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """What ``dealt`` sent: the arrays, each entry's document, its place, and the documents."""
     out: dict[str, list] = {k: [] for k in names}
     doc, place, docs, n = [], [], [], 0
     for r in t.select([*names, "doc", "place", "docs"]).to_pylist():
         for k in names:
-            out[k].append(np.frombuffer(r[k], np.uint64))
+            out[k].append(np.frombuffer(r[k], (kinds or {}).get(k, np.uint64)))
         own = unpack(r["docs"], _DOC)
         doc.append(np.cumsum(unpack(r["doc"], np.int32), dtype=np.int64) + n)
         place.append(np.cumsum(unpack(r["place"], np.int64)))
@@ -248,11 +248,13 @@ class Said:
 # Stages
 
 
-def _held(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """The documents with their internal id, text hash and bucket, whole rows in ``row``."""
+def _held(docs: DataFrame, n_buckets: int, columns: list[str]) -> DataFrame:
+    """The documents with their internal id, text hash and bucket; ``row`` has the ``columns`` to carry along."""
     uid = F.coalesce(F.xxhash64("text"), F.lit(0))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), uid.alias("uid"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
-    return own.withColumn("bucket", F.pmod(F.xxhash64("id", "uid"), F.lit(n_buckets)))
+    own = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), uid.alias("uid"), F.col("text").cast("string").alias("text"), F.struct(*(docs[c] for c in columns)).alias("row")
+    )
+    return own.select("id", "uid", F.pmod(F.xxhash64("id", "uid"), F.lit(n_buckets)).alias("bucket"), "text", "row")
 
 
 def _cells(held: DataFrame, n_shards: int) -> DataFrame:
@@ -317,7 +319,7 @@ def _windows(held: DataFrame, said: DataFrame, n_shards: int) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = Said(right)
-        rows = left.to_pydict()
+        rows = left.select(["id", "uid", "bucket", "text"]).to_pydict()
         w, h, doc, place, docs = [], [], [], [], []
         for i, u, b, text in zip(rows["id"], rows["uid"], rows["bucket"], rows["text"]):
             got = told.of(i, u)
@@ -344,26 +346,30 @@ def _windows(held: DataFrame, said: DataFrame, n_shards: int) -> DataFrame:
         later[order] = first < ids[order]
         # Only a window's first document in the bucket goes on, all its places with it.
         go = ~later
-        out = list(dealt((w[go] % np.uint64(n_shards)).astype(np.int64), {"h": h[go], "c": w[go]}, doc[go], place[go], docs))
+        short = (h[go] >> np.uint64(48)).astype(np.uint16)  # beside the window's own 64 bits
+        out = list(dealt((w[go] % np.uint64(n_shards)).astype(np.int64), {"h": short, "c": w[go]}, doc[go], place[go], docs))
         if later.any():
-            nothing = np.zeros(int(later.sum()), np.uint64)
+            nothing = np.empty((int(later.sum()), 0), np.uint8)
             out += dealt(-1 - docs["bucket"][doc[later]], {"h": nothing, "c": nothing}, doc[later], place[later], docs)
         return pa.Table.from_batches(out)
 
-    return held.select("id", "uid", "bucket", "text").groupBy("bucket").cogroup(said.groupBy("bucket")).applyInArrow(run, SENT)
+    return held.groupBy("bucket").cogroup(said.groupBy("bucket")).applyInArrow(run, SENT)
 
 
 def _compared(windows: DataFrame) -> DataFrame:
-    """By shard of windows: places of windows that an earlier document has."""
+    """By shard of windows: places of windows that an earlier document has; what buckets have decided passes."""
 
-    def run(t: pa.Table) -> pa.Table:
-        arrays, doc, place, docs = gathered(t, ("h", "c"))
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return pa.table({"bucket": pa.array(np.full(len(t), -1 - key[0].as_py())), **{k: t[k] for k in ("doc", "place", "docs")}})
+        arrays, doc, place, docs = gathered(t, ("h", "c"), {"h": np.uint16})
         ids = docs["id"][doc]
         order = np.argsort(ids, kind="stable")
         index, found = LogIndex(), np.zeros(len(ids), dtype=bool)
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            found[own] = index.add(arrays["h"][own], arrays["c"][own], ids[own], own)
+            # anything may stand first in the sort, as here only equality counts: the window's hash
+            found[own] = index.add(arrays["c"][own], arrays["h"][own].astype(np.uint64), ids[own], own)
         at = np.flatnonzero(found)
         out = list(dealt(docs["bucket"][doc[at]], {}, doc[at], place[at], docs, "bucket"))
         return pa.Table.from_batches(out) if out else _none(SAID)
@@ -409,13 +415,13 @@ def _final(held: DataFrame, said: DataFrame, late: DataFrame, schema: T.StructTy
             return pa.table({"doc_id": rows.field("doc_id").cast(pa.int64()), **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
         stay = np.array([x != "" for x in out["kept"]])
         cols = {f.name: rows.field(k) for k, f in enumerate(rows.type)}
-        cols["text"] = pa.array([t if k is None else k for t, k in zip(left["text"].to_pylist(), out["kept"])], cols["text"].type)
+        texts = left["text"].to_pylist()
+        cols["text"] = pa.array([t if k is None else k for t, k in zip(texts, out["kept"])], pa.string())
         if "n_chars" in cols:
             cols["n_chars"] = pa.array([n if k is None else len(k) for n, k in zip(cols["n_chars"].to_pylist(), out["kept"])], cols["n_chars"].type)
-        return pa.table(cols).filter(pa.array(stay))
+        return pa.table({k: cols[k] for k in schema.names}).filter(pa.array(stay))
 
-    own = held.select("id", "uid", "bucket", "text", "row" if cut else F.struct("row.doc_id").alias("row"))
-    return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, schema)
+    return held.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, schema)
 
 
 REPORT = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
@@ -424,14 +430,11 @@ REPORT = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(k
 def _run(docs: DataFrame, cut: bool) -> DataFrame:
     n = total_bytes(docs, "text")
     n_shards, n_buckets = shards_for(n, SHARD), shards_for(n, BUCKET)
-    held = _held(docs, n_buckets)
+    held = _held(docs, n_buckets, [c for c in docs.columns if c != "text"] if cut else ["doc_id"])
     said = materialize(_matched(_cells(held, n_shards)))
     release(docs.sparkSession)
-    windows = materialize(_windows(held, said, n_shards))
-    release(docs.sparkSession)
-    near = windows.where("to < 0").select((-1 - F.col("to")).alias("bucket"), "doc", "place", "docs")
-    late = _compared(windows.where("to >= 0")).unionByName(near)
-    return _final(held, said, late, docs.schema if cut else REPORT, cut)
+    # Both cogroups read the one exchange of the texts.
+    return _final(held, said, _compared(_windows(held, said, n_shards)), docs.schema if cut else REPORT, cut)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

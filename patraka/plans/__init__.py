@@ -1 +1 @@
-
+"""Queries over the provided tables and their SQL counterparts."""

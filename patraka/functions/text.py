@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patraka.functions import lexicons as lex
 
@@ -19,7 +20,7 @@ DOUBLE_DANDA = "॥"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type and not its name, so that importing needs no session
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""
     return text.str.normalize("NFC")

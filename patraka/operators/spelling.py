@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +99,14 @@ def nukta_variants(clean: Column) -> Column:
     return F.when(T.has_nukta(clean), F.array(F.replace(clean, F.lit(lex.NUKTA), F.lit("")))).otherwise(F.transform(bases, lambda b: F.replace(clean, b, F.concat(b, F.lit(lex.NUKTA)))))
 
 
-def classify(words: DataFrame, column: str = "word", dictionary: list[str] | None = None) -> DataFrame:
+def classify(words: DataFrame, column: str = "word", dictionary: Iterable[str] | None = None, core: Iterable[str] | None = None) -> DataFrame:
     """Add ``classification``, ``confidence``, ``reason`` and ``layer`` to each row; a narrow projection.
 
-    ``dictionary``: words beside the core vocabulary, such as those of ``frequency_dictionary`` (its size
+    ``core``: the core vocabulary (by default that of ``lexicons.vocabulary``, which also reads one from a
+    file); ``dictionary``: words beside it, such as those of ``frequency_dictionary`` (its size
     is bounded by the ranks it takes). A null word counts as the word ``nan``.
     """
-    vocabulary = {*lex.vocabulary(), *(dictionary or ())}
+    vocabulary = {*(lex.vocabulary() if core is None else core), *(dictionary or ())}
     word = F.coalesce(F.col(column), F.lit("nan"))
     clean = T.strip_marks(word)
     known = lambda c: c.isin(*vocabulary)  # noqa: E731  a hashed set of literals

@@ -6,7 +6,7 @@ from patraka.functions import lexicons as lex
 from patraka.functions.text import DOUBLE_DANDA, MARKS
 from patraka.operators.spelling import LAYERS
 from patraka.plans import projections as P
-from patraka.plans.queries import HEAD, TOP_N
+from patraka.plans.queries import TOP_N, UTTERANCE
 
 SQL: dict[str, str] = {}
 
@@ -77,12 +77,14 @@ select c.conv_id, c.turn, case when r <= floor(n * 0.9) then 'train' else 'val'
 
 # Words numbered within a pair become single bytes, as DuckDB's distance counts bytes.
 _UTTERANCES = f"""
-docs as (select doc_id, lang, ({_TOKENS})[1:{HEAD}] as human from documents),
-utterances as (select doc_id, lang, human,
-  list_filter(human, lambda w, i: (i - 1 + doc_id % 5) % 5 <> 0) as m1,
-  list_transform(human, lambda w, i: case when (i - 1 + doc_id % 4) % 4 = 0 then w || 'x' else w end) as m2,
-  list_transform(human, lambda w, i: case when (i - 1 + doc_id % 7) % 7 = 0 then reverse(w) else w end) as m3 from docs),
-outputs as (select doc_id, lang, human, 'm1' as model, m1 as hyp from utterances union all select doc_id, lang, human, 'm2', m2 from utterances union all select doc_id, lang, human, 'm3', m3 from utterances)"""
+docs as (select doc_id, lang, {_TOKENS} as words from documents),
+parts as (select doc_id, lang, words, unnest(range(0, greatest(ceil(len(words) / {UTTERANCE}), 1)::int)) as part from docs),
+cut as (select doc_id || '-' || part as utt, doc_id + part as k, lang, words[part * {UTTERANCE} + 1:part * {UTTERANCE} + {UTTERANCE}] as human from parts),
+utterances as (select utt, lang, human,
+  list_filter(human, lambda w, i: (i - 1 + k % 5) % 5 <> 0) as m1,
+  list_transform(human, lambda w, i: case when (i - 1 + k % 4) % 4 = 0 then w || 'x' else w end) as m2,
+  list_transform(human, lambda w, i: case when (i - 1 + k % 7) % 7 = 0 then reverse(w) else w end) as m3 from cut),
+outputs as (select utt, lang, human, 'm1' as model, m1 as hyp from utterances union all select utt, lang, human, 'm2', m2 from utterances union all select utt, lang, human, 'm3', m3 from utterances)"""
 
 
 def distance(ref: str, hyp: str) -> str:
@@ -92,24 +94,24 @@ def distance(ref: str, hyp: str) -> str:
 
 _MEASURED = f"""
 {_UTTERANCES}, numbered as (select *, list_distinct(list_concat(human, hyp)) as vocab from outputs),
-measured as (select doc_id, lang, model, human, hyp, {distance('human', 'hyp')}::bigint as errors, len(human)::bigint as n from numbered),
+measured as (select utt, lang, model, human, hyp, {distance('human', 'hyp')}::bigint as errors, len(human)::bigint as n from numbered),
 rated as (select *, case when n = 0 then 0.0::double else errors::double / n end as wer from measured)"""
 SQL["seeded_sample"] = "select doc_id, lang from documents order by md5('42|' || doc_id), doc_id limit 50"
 _BAND = "case when wer > 0 and wer <= 0.1 then 'Very Low' when wer > 0.1 and wer <= 0.3 then 'Low' when wer > 0.3 and wer <= 0.5 then 'Medium' when wer > 0.5 and wer <= 0.8 then 'High' when wer > 0.8 then 'Very High' end"
 SQL["stratified_sample"] = f"""
-with {_MEASURED}, banded as (select doc_id, wer, {_BAND} as stratum from rated where model = 'm1')
-select doc_id, wer, stratum from (select *, row_number() over (partition by stratum order by md5('42|' || doc_id), doc_id) as r from banded where stratum is not null) where r <= 5"""
-SQL["standard_wer"] = f"with {_MEASURED} select doc_id, model, errors, n as ref_length, len(hyp)::bigint as hyp_length, wer from rated"
-SQL["sentence_wer"] = f"with {_MEASURED} select doc_id, model, case when n = 0 then 1.0::double else wer end as wer from rated"
+with {_MEASURED}, banded as (select utt, wer, {_BAND} as stratum from rated where model = 'm1')
+select utt, wer, stratum from (select *, row_number() over (partition by stratum order by md5('42|' || utt), utt) as r from banded where stratum is not null) where r <= 5"""
+SQL["standard_wer"] = f"with {_MEASURED} select utt, model, errors, n as ref_length, len(hyp)::bigint as hyp_length, wer from rated"
+SQL["sentence_wer"] = f"with {_MEASURED} select utt, model, case when n = 0 then 1.0::double else wer end as wer from rated"
 SQL["wer_micro"] = f"with {_MEASURED} select model, coalesce(sum(errors)::double / nullif(sum(n), 0)::double, 0) as wer_micro from rated group by model"
 SQL["wer_macro_by_group"] = f"with {_MEASURED} select lang, model, count(*)::bigint as n, avg(wer) as wer_macro, sum(errors)::double / nullif(sum(n), 0)::double as wer_micro from rated group by lang, model"
 SQL["best_worst_model"] = f"with {_MEASURED}, means as (select model, avg(wer) as w from rated group by model) select (select model from means order by w, model limit 1) as best, (select model from means order by w desc, model desc limit 1) as worst"
-SQL["unpivot_models"] = f"with {_UTTERANCES} select doc_id, model, coalesce(array_to_string(hyp, ' '), '') as hyp from outputs"
+SQL["unpivot_models"] = f"with {_UTTERANCES} select utt, model, coalesce(array_to_string(hyp, ' '), '') as hyp from outputs"
 SQL["edit_distance_norm"] = "select p_partkey, case when p_name = p_type then 0.0::double when p_name = '' or p_type = '' then 1.0::double else levenshtein(p_name, p_type)::double / greatest(length(p_name), length(p_type)) end as distance from part"
 
 _LATTICE = f"{_UTTERANCES}, columned as (select *, list_transform(range(1, len(human) + 1), lambda i: list_sort(list_distinct([human[i], m2[i], m3[i]]))) as lattice from utterances)"
 SQL["lattice_string"] = f"""
-with {_LATTICE} select doc_id, coalesce(array_to_string(list_transform(lattice, lambda b: case when len(b) = 1 then b[1] else '[' || array_to_string(b, '|') || ']' end), ' '), '') as lattice,
+with {_LATTICE} select utt, coalesce(array_to_string(list_transform(lattice, lambda b: case when len(b) = 1 then b[1] else '[' || array_to_string(b, '|') || ']' end), ' '), '') as lattice,
 len(list_filter(lattice, lambda b: len(b) > 1))::bigint as with_alternatives from columned"""
 
 
@@ -117,19 +119,19 @@ def folded(source: str, hyp: str) -> str:
     """Rows of the distance table, one recursion for each word of ``hyp``."""
     return f"""
 steps as (
-  select doc_id, model, lattice, {hyp} as hyp, 0 as j, range(0, len(lattice) + 1) as prev from {source}
+  select utt, model, lattice, {hyp} as hyp, 0 as j, range(0, len(lattice) + 1) as prev from {source}
   union all
-  select doc_id, model, lattice, hyp, j + 1,
+  select utt, model, lattice, hyp, j + 1,
     list_transform(range(0, len(lattice) + 1), lambda i: i + list_min(list_transform(range(0, i + 1), lambda k: best[k + 1] - k)))
   from (select *, list_concat([prev[1] + 1], list_transform(range(1, len(lattice) + 1), lambda i: least(prev[i] + case when list_contains(lattice[i], hyp[j + 1]) then 0 else 1 end, prev[i + 1] + 1))) as best from steps where j < len(hyp))),
-folded as (select doc_id, model, len(lattice) as m, prev[len(lattice) + 1] as errors from steps where j = len(hyp))"""
+folded as (select utt, model, len(lattice) as m, prev[len(lattice) + 1] as errors from steps where j = len(hyp))"""
 
 
 SQL["lattice_wer"] = f"""
 with recursive {_LATTICE}, one as (select *, 'm1' as model from columned), {folded('one', 'm1')}
-select doc_id, errors::bigint as errors, m::bigint as lattice_length, case when m = 0 then 0.0::double else errors::double / m end as wer from folded"""
+select utt, errors::bigint as errors, m::bigint as lattice_length, case when m = 0 then 0.0::double else errors::double / m end as wer from folded"""
 SQL["lattice_summary"] = f"""
-with {_LATTICE}, two as (select doc_id, lattice, human, 'm2' as model, m2 as hyp from columned union all select doc_id, lattice, human, 'm3', m3 from columned),
+with {_LATTICE}, two as (select utt, lattice, human, 'm2' as model, m2 as hyp from columned union all select utt, lattice, human, 'm3', m3 from columned),
 numbered as (select *, list_distinct(list_concat(human, hyp)) as vocab from two),
 -- every word of these models is in the lattice at its place, so that nothing is left to count
 rated as (select model, case when len(human) = 0 then 0.0::double else {distance('human', 'hyp')}::double / len(human) end as s, 0.0::double as l from numbered),

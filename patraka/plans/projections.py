@@ -98,13 +98,13 @@ turns as (select conv_id, turn, text, {SECONDS} as len, row_number() over (parti
 told as (
   select conv_id as recording_id, turn,
     (turn * 50)::double as start_time, turn * 50 + len as end_time,
-    case when conv_id % 4 = 2 then ' ' || text else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end as text,
+    case when conv_id % 4 = 2 or (conv_id % 4 = 3 and turn % 3 = 0) then ' ' || text else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end as text,
     turn % 3 as kind, nth, text as raw_text
   from turns where conv_id % 7 <> 6),
 listed as (
   select * from told
   where (recording_id % 4 in (0, 1) and kind <> 2 and raw_text <> '')
      or (recording_id % 4 = 2 and nth = 1)
-     or (recording_id % 4 = 3 and nth = 1 and kind <> 2 and raw_text <> '')),
+     or (recording_id % 4 = 3 and nth = 1 and (kind = 0 or (kind = 1 and raw_text <> '')))),
 segments as (select recording_id, (row_number() over (partition by recording_id order by turn) - 1)::int as segment_id, start_time, end_time, text from listed)
 """

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from patraka.functions import codeswitch, numbers, wer
 from patraka.functions import lexicons as lex
 from patraka.functions import text as T
-from patraka.operators import align, ingest, sampling, spelling
+from patraka.operators import align, evaluation, ingest, sampling, spelling
 from patraka.plans import projections as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOP_N = 300
-HEAD = 30  # words of a document that the alignment queries take for an utterance
+UTTERANCE = 30  # words of the utterances that documents are cut into
 MODELS = ("m1", "m2", "m3")
 
 
@@ -128,7 +128,7 @@ def seeded_sample(spark, d):
 
 @query
 def stratified_sample(spark, d):
-    return sampling.stratified(_errors(spark, d), "wer", "doc_id").select("doc_id", "wer", "stratum")
+    return sampling.stratified(_errors(spark, d), "wer", "utt").select("utt", "wer", "stratum")
 
 
 # --- spelling --------------------------------------------------------------------------------------
@@ -302,18 +302,20 @@ def cleanup_pipeline(spark, d):
 
 
 def _utterances(spark, d):
-    """A document's first words as the reference, and three models' outputs with known kinds of errors."""
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.slice(T.tokens(F.col("text")), 1, HEAD).alias("human"))
-    k = lambda n: (F.col("doc_id") % n).cast("int")
+    """Runs of UTTERANCE words of whole documents as references, and three models' outputs with known kinds of errors."""
+    words, n = F.col("words"), UTTERANCE
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / n).cast("int"), F.lit(1)) - 1), lambda p: F.slice(words, p * n + 1, n))
+    rows = table(spark, d, "documents").select("doc_id", "lang", T.tokens(F.col("text")).alias("words")).select("doc_id", "lang", F.posexplode(parts).alias("part", "human"))
+    k = lambda n: ((F.col("doc_id") + F.col("part")) % n).cast("int")
     dropped = F.transform(F.filter(F.transform("human", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] + k(5)) % 5 != 0), lambda x: x["w"])
     changed = F.transform("human", lambda w, i: F.when((i + k(4)) % 4 == 0, F.concat(w, F.lit("x"))).otherwise(w))
     swapped = F.transform("human", lambda w, i: F.when((i + k(7)) % 7 == 0, F.reverse(w)).otherwise(w))
-    return rows.withColumns({"m1": dropped, "m2": changed, "m3": swapped})
+    utt = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("part").cast("string"))
+    return rows.select(utt.alias("utt"), "lang", "human", dropped.alias("m1"), changed.alias("m2"), swapped.alias("m3"))
 
 
 def _long(spark, d):
-    rows = _utterances(spark, d)
-    return rows.select("doc_id", "lang", "human", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("hyp")) for m in MODELS))).alias("x")).select("doc_id", "lang", "human", "x.*")
+    return evaluation.long(_utterances(spark, d), MODELS, ["utt", "lang", "human"])
 
 
 def _measured(spark, d):
@@ -332,12 +334,12 @@ def edit_distance_norm(spark, d):
 
 @query
 def standard_wer(spark, d):
-    return _measured(spark, d).select("doc_id", "model", big(F.col("errors"), "errors"), big(F.size("human"), "ref_length"), big(F.size("hyp"), "hyp_length"), "wer")
+    return _measured(spark, d).select("utt", "model", big(F.col("errors"), "errors"), big(F.size("human"), "ref_length"), big(F.size("hyp"), "hyp_length"), "wer")
 
 
 @query
 def sentence_wer(spark, d):
-    return _measured(spark, d).select("doc_id", "model", wer.sentence_wer(F.col("human"), F.col("errors")).alias("wer"))
+    return _measured(spark, d).select("utt", "model", wer.sentence_wer(F.col("human"), F.col("errors")).alias("wer"))
 
 
 @query
@@ -353,8 +355,8 @@ def wer_macro_by_group(spark, d):
 
 @query
 def unpivot_models(spark, d):
-    joined = _utterances(spark, d).select("doc_id", *(F.array_join(m, " ").alias(m) for m in MODELS))
-    return joined.unpivot("doc_id", list(MODELS), "model", "hyp")
+    joined = _utterances(spark, d).select("utt", *(F.array_join(m, " ").alias(m) for m in MODELS))
+    return joined.unpivot("utt", list(MODELS), "model", "hyp")
 
 
 def _columns(spark, d):
@@ -365,19 +367,19 @@ def _columns(spark, d):
 
 @query
 def lattice_string(spark, d):
-    return _columns(spark, d).select("doc_id", wer.lattice_text(F.col("lattice")).alias("lattice"), big(F.size(F.filter("lattice", lambda b: F.size(b) > 1)), "with_alternatives"))
+    return _columns(spark, d).select("utt", wer.lattice_text(F.col("lattice")).alias("lattice"), big(F.size(F.filter("lattice", lambda b: F.size(b) > 1)), "with_alternatives"))
 
 
 @query
 def lattice_wer(spark, d):
     rows = _columns(spark, d).withColumn("errors", wer.lattice_errors(F.col("lattice"), F.col("m1")))
-    return rows.select("doc_id", big(F.col("errors"), "errors"), big(F.size("lattice"), "lattice_length"), wer.lattice_wer(F.col("lattice"), F.col("errors")).alias("wer"))
+    return rows.select("utt", big(F.col("errors"), "errors"), big(F.size("lattice"), "lattice_length"), wer.lattice_wer(F.col("lattice"), F.col("errors")).alias("wer"))
 
 
 @query
 def nw_align(spark, d):
     rows = _utterances(spark, d).withColumn("p", align.pairs(F.col("human"), F.col("m1")))
-    return rows.select("doc_id", F.array_join(F.transform("p", lambda x: F.concat(F.coalesce(x["a"], F.lit("∅")), F.lit("/"), F.coalesce(x["b"], F.lit("∅")))), " ").alias("alignment"))
+    return rows.select("utt", F.array_join(F.transform("p", lambda x: F.concat(F.coalesce(x["a"], F.lit("∅")), F.lit("/"), F.coalesce(x["b"], F.lit("∅")))), " ").alias("alignment"))
 
 
 def _lattices(spark, d):
@@ -387,45 +389,31 @@ def _lattices(spark, d):
 
 @query
 def msa_lattice(spark, d):
-    return _lattices(spark, d).select("doc_id", wer.lattice_text(F.col("lattice")).alias("lattice"))
+    return _lattices(spark, d).select("utt", wer.lattice_text(F.col("lattice")).alias("lattice"))
 
 
 def _evaluated(spark, d):
-    rows = _lattices(spark, d)
-    rows = rows.select("doc_id", "human", "lattice", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("hyp")) for m in MODELS))).alias("x")).select("*", "x.model", "x.hyp")
-    rows = rows.withColumn("standard_wer", wer.standard_wer(F.col("human"), wer.word_distance(F.col("human"), F.col("hyp"))))
-    rows = rows.withColumn("lattice_wer", wer.lattice_wer(F.col("lattice"), wer.lattice_errors(F.col("lattice"), F.col("hyp"))))
-    return rows.withColumn("wer_reduction", F.col("standard_wer") - F.col("lattice_wer"))
+    return evaluation.rated(evaluation.long(_lattices(spark, d), MODELS, ["utt", "human", "lattice"]))
 
 
 @query
 def lattice_evaluation(spark, d):
-    return _evaluated(spark, d).select("doc_id", "model", "standard_wer", "lattice_wer", "wer_reduction", big(F.size("human"), "ref_length"))
+    return _evaluated(spark, d).select("utt", "model", "standard_wer", "lattice_wer", "wer_reduction", "ref_length")
 
 
 @query
 def lattice_evaluation_summary(spark, d):
-    return _summary(_evaluated(spark, d))
-
-
-def _summary(rows: DataFrame) -> DataFrame:
-    means = rows.groupBy("model").agg(*(wer.half_even(F.avg(c), 4).alias(c) for c in ("standard_wer", "lattice_wer", "wer_reduction")))
-    change = F.try_divide(F.col("standard_wer") - F.col("lattice_wer"), F.col("standard_wer")) * 100
-    return means.withColumn("improvement_pct", wer.half_even(change, 2))
+    return evaluation.summary(_evaluated(spark, d))
 
 
 def _place_errors(spark, d):
     """Both error rates of the models that keep the reference's places."""
-    rows = _columns(spark, d)
-    rows = rows.select("doc_id", "human", "lattice", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("hyp")) for m in MODELS[1:]))).alias("x")).select("*", "x.model", "x.hyp")
-    rows = rows.withColumn("standard_wer", wer.standard_wer(F.col("human"), wer.word_distance(F.col("human"), F.col("hyp"))))
-    rows = rows.withColumn("lattice_wer", wer.lattice_wer(F.col("lattice"), wer.lattice_errors(F.col("lattice"), F.col("hyp"))))
-    return rows.withColumn("wer_reduction", F.col("standard_wer") - F.col("lattice_wer"))
+    return evaluation.rated(evaluation.long(_columns(spark, d), MODELS[1:], ["utt", "human", "lattice"]))
 
 
 @query
 def lattice_summary(spark, d):
-    return _summary(_place_errors(spark, d))
+    return evaluation.summary(_place_errors(spark, d))
 
 
 @query

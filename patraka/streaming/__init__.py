@@ -1 +1 @@
-
+"""The transcript operators on streams."""

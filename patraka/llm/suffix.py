@@ -124,14 +124,14 @@ class LogIndex:
     """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, ...]] = []  # sort key, h, c, doc, row
+        self.levels: list[tuple[np.ndarray, ...]] = []  # sort key, h, c, doc
 
-    def add(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def add(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
         # Entries of one anchor are neighbours; full equality is checked. Entries whose short keys fall
         # together may stay apart, which only sends them to the comparison of windows.
         key = (h & ~np.uint64(0xFFFFFF)) | (mix64(c) >> np.uint64(40))
         order = np.lexsort((doc, key))
-        key, h, c, doc, row = (x[order] for x in (key, h, c, doc, row))
+        key, h, c, doc = (x[order] for x in (key, h, c, doc))
         new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(key) else np.empty(0, bool)
         heads = np.flatnonzero(new)
         run = np.cumsum(new) - 1
@@ -150,7 +150,7 @@ class LogIndex:
         found = np.zeros(len(doc), dtype=bool)
         found[order] = first[run] < doc
         heads = heads[fresh]
-        self._push((key[heads], h[heads], c[heads], doc[heads], row[heads]))
+        self._push((key[heads], h[heads], c[heads], doc[heads]))
         return found
 
     def _push(self, level: tuple[np.ndarray, ...]) -> None:
@@ -257,13 +257,36 @@ def _held(docs: DataFrame, n_buckets: int, columns: list[str]) -> DataFrame:
     return own.select("id", "uid", F.pmod(F.xxhash64("id", "uid"), F.lit(n_buckets)).alias("bucket"), "text", "row")
 
 
+def repeated(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an entry (a, b) occurs under a smaller id."""
+    if not len(a):
+        return np.empty(0, dtype=bool)
+    order = np.lexsort((ids, b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+    first = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.empty(len(a), dtype=bool)
+    out[order] = first < ids[order]
+    return out
+
+
 def _cells(held: DataFrame, n_shards: int) -> DataFrame:
+    """By block of texts: cells (``to`` from 0 on), and those that the block itself decides (``to`` = -1 - bucket).
+
+    A cell goes on with its first document in the block only, so that what many documents share comes to
+    its shard once a block and not once a document.
+    """
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send() -> Iterator[pa.RecordBatch]:
             cells = Cells(texts)
             docs = np.array(about, dtype=_DOC)
-            to = (cells.h % np.uint64(n_shards)).astype(np.int64)
-            yield from dealt(to, {"h": cells.h, "c": cells.c}, cells.doc, cells.ord, docs)
+            ids = docs["id"][cells.doc]
+            later = repeated(cells.h, cells.c, ids)
+            go = ~later
+            yield from dealt((cells.h[go] % np.uint64(n_shards)).astype(np.int64), {"h": cells.h[go], "c": cells.c[go]}, cells.doc[go], cells.ord[go], docs)
+            if later.any():
+                nothing = np.empty((int(later.sum()), 0), np.uint8)
+                yield from dealt(-1 - docs["bucket"][cells.doc[later]], {"h": nothing, "c": nothing}, cells.doc[later], 2 * cells.ord[later], docs)
 
         texts, about, size = [], [], 0
         for batch in it:
@@ -283,24 +306,26 @@ def _cells(held: DataFrame, n_shards: int) -> DataFrame:
 
 
 def _matched(cells: DataFrame) -> DataFrame:
-    """By shard: places of cells that match (flag 0) and of distinct cells whose windows are to be compared (flag 1)."""
+    """By shard: places of cells that match (flag 0) and of distinct cells whose windows are to be compared (flag 1); what blocks have decided passes."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _passed(key, t)
         arrays, doc, place, docs = gathered(t, ("h", "c"))
         h, c, ids = arrays["h"], arrays["c"], docs["id"][doc]
         order = np.argsort(ids, kind="stable")
         index, found = LogIndex(), np.zeros(len(ids), dtype=bool)
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            found[own] = index.add(h[own], c[own], ids[own], own)
+            found[own] = index.add(h[own], c[own], ids[own])
         out = []
         if len(order):
-            _, h, _, first, row = index.whole()
-            head = h >> np.uint64(24)
-            cuts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
-            sizes = np.diff(np.r_[cuts, len(head)])
-            many = (sizes > 1) & (np.minimum.reduceat(first, cuts) != np.maximum.reduceat(first, cuts))
-            row = row[np.repeat(many, sizes)]
+            _, heads, _, first = index.whole()
+            heads = heads >> np.uint64(24)
+            cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
+            many = heads[cuts[np.minimum.reduceat(first, cuts) != np.maximum.reduceat(first, cuts)]]
+            # what isn't found stands in its cell's first document, at each of its places there
+            row = np.flatnonzero(~found & np.isin(h >> np.uint64(24), many))
             at = np.r_[np.flatnonzero(found), row]
             flag = np.r_[np.zeros(int(found.sum()), np.int64), np.ones(len(row), np.int64)]
             out = list(dealt(docs["bucket"][doc[at]], {}, doc[at], 2 * place[at] + flag, docs, "bucket"))
@@ -309,6 +334,10 @@ def _matched(cells: DataFrame) -> DataFrame:
     return cells.groupBy("to").applyInArrow(run, SAID)
 
 
+def _passed(key: tuple, t: pa.Table) -> pa.Table:
+    return pa.table({"bucket": pa.array(np.full(len(t), -1 - key[0].as_py())), **{k: t[k] for k in ("doc", "place", "docs")}})
+
+
 def _none(schema: str) -> pa.Table:
     names = [x.split()[0] for x in schema.split(", ")]
     return pa.table({k: pa.array([], pa.int64() if f"{k} long" in schema else pa.binary()) for k in names})
@@ -338,12 +367,7 @@ def _windows(held: DataFrame, said: DataFrame, n_shards: int) -> DataFrame:
         if not docs:
             return _none(SENT)
         w, h, doc, place, docs = np.concatenate(w), np.concatenate(h), np.concatenate(doc), np.concatenate(place), np.array(docs, dtype=_DOC)
-        ids = docs["id"][doc]
-        order = np.lexsort((ids, h, w))
-        new = np.r_[True, (w[order][1:] != w[order][:-1]) | (h[order][1:] != h[order][:-1])]
-        first = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = np.zeros(len(w), dtype=bool)
-        later[order] = first < ids[order]
+        later = repeated(w, h, docs["id"][doc])
         # Only a window's first document in the bucket goes on, all its places with it.
         go = ~later
         short = (h[go] >> np.uint64(48)).astype(np.uint16)  # beside the window's own 64 bits
@@ -361,7 +385,7 @@ def _compared(windows: DataFrame) -> DataFrame:
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            return pa.table({"bucket": pa.array(np.full(len(t), -1 - key[0].as_py())), **{k: t[k] for k in ("doc", "place", "docs")}})
+            return _passed(key, t)
         arrays, doc, place, docs = gathered(t, ("h", "c"), {"h": np.uint16})
         ids = docs["id"][doc]
         order = np.argsort(ids, kind="stable")
@@ -369,7 +393,7 @@ def _compared(windows: DataFrame) -> DataFrame:
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
             # anything may stand first in the sort, as here only equality counts: the window's hash
-            found[own] = index.add(arrays["c"][own], arrays["h"][own].astype(np.uint64), ids[own], own)
+            found[own] = index.add(arrays["c"][own], arrays["h"][own].astype(np.uint64), ids[own])
         at = np.flatnonzero(found)
         out = list(dealt(docs["bucket"][doc[at]], {}, doc[at], place[at], docs, "bucket"))
         return pa.Table.from_batches(out) if out else _none(SAID)

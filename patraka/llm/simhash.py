@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patraka.llm.common import connected_components, materialize, star, text_bytes
+from patraka.llm.common import connected_components, materialize, shards_for, star, text_bytes
 
 RADIUS = 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 SHINGLE = 3
 SEED = 42
+BALLS = 64 << 20  # bytes of variants that a task emits, about
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -214,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows' fingerprints, and ``(fp, root)``: components over distinct fingerprints, so that a group of copies is one node."""
     own = materialize(fingerprints(docs, id_col, text_col))
-    distinct = own.select("fp").distinct()
-    comp = connected_components(links(distinct))
+    distinct = materialize(own.select("fp").distinct())
+    parts = shards_for(distinct.count() * sum(65 - (to - at) for at, to in BLOCKS) * 16, BALLS)
+    comp = connected_components(links(distinct.repartition(parts, "fp")))
     return own, materialize(distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")))
 
 

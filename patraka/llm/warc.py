@@ -27,7 +27,7 @@ ROLL = 64 << 20  # compressed bytes of a file
 SHARD = 128 << 20  # payload bytes of a shard, about
 LEAST = 100  # payloads below this many bytes are never revisits
 DATE = "1970-01-01T00:00:00Z"
-CELLS = 4096
+CELLS, MOST_CELLS = 1 << 12, 1 << 16  # of the id range whose bytes the driver adds up into shards
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
 
 
@@ -138,22 +138,24 @@ def write(pages: DataFrame, uri: str, prefix: str = "pages", roll: int = ROLL, s
     seen = own.where(F.octet_length("html") >= LEAST).select("page_id", "digest")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null")
     refs = seen.join(first, "digest").where("not (page_id <=> first)").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    low, high = own.agg(F.min("page_id"), F.max("page_id")).first()
-    width = 1 if low is None else (high - low) // CELLS + 1
+    low, high, size = own.agg(F.min("page_id"), F.max("page_id"), F.sum(F.octet_length("html") + 512)).first()
+    n_cells = min(MOST_CELLS, max(CELLS, 16 * (size or 0) // shard_bytes))
+    shard_bytes = max(shard_bytes, 4 * (size or 0) // n_cells)
+    width = 1 if low is None else (high - low) // n_cells + 1
     cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / width).cast("int"), F.lit(0))
-    held = {r["cell"]: r["bytes"] for r in own.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("html") + 512).alias("bytes")).collect()}  # CELLS at most
+    held = own.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("html") + 512).alias("bytes")).orderBy("cell").collect()  # MOST_CELLS at most
     shard, filled, of = 0, 0, []
-    for c in range(CELLS):
-        if filled and filled + held.get(c, 0) > shard_bytes:
+    for r in held:
+        if filled and filled + r["bytes"] > shard_bytes:
             shard, filled = shard + 1, 0
-        filled += held.get(c, 0)
-        of.append(shard)
-    place = F.element_at(F.lit(of), cell + 1)
+        filled += r["bytes"]
+        of.append((r["cell"], shard))
+    place = F.broadcast(spark.createDataFrame(of, "cell int, shard int"))  # a row for each cell that has pages
     # A page's reference comes before the page itself, in the same shard.
     both = refs.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).unionByName(
         own.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     )
-    dealt = both.withColumn("shard", place).repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = both.withColumn("cell", cell).join(place, "cell").drop("cell").repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     Folder(uri).make()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,8 +107,9 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
     """
     own = materialize(sizes(docs).groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n")))
     bucket_bits = max(0, min(20, (own.count() // 2000).bit_length()))
-    turn = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    own = own.withColumn("turn", turn).withColumn("bucket", F.shiftrightunsigned(F.col("turn"), 63 - bucket_bits))
+    turn = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|mix")))  # alike on any engine
+    head = F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")
+    own = own.withColumn("turn", turn).withColumn("bucket", F.shiftright(head, 32 - bucket_bits))
     # Prefix sums in two steps: over the buckets of a source, then within a bucket; no task gets a whole source.
     sums = own.groupBy("source", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
     by_bucket = Window.partitionBy("source").orderBy("bucket")

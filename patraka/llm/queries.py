@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patraka.llm import langid, licenses, lm, mix, pieces, simhash, suffix, vectors, warc
+from patraka.llm import langid, licenses, lm, mix, oracles, pieces, simhash, suffix, vectors, warc
 from patraka.llm.common import table
 
 
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.SQL

@@ -10,17 +10,20 @@ Distribution. Pairs (context, word) are dealt to shards by a hash of both, so th
 word is spread over all shards. A shard holds its pairs' counts and where they occur. Shards first seat
 by their own estimates of what the others hold; one exchange by word then sums each word's customers and
 tables as a context and as a dish, and samples the parent's tables; with these totals each shard samples
-on, predicts its pairs, and adds up the scores of its share of each document. Words are 64-bit hashes.
+on, predicts its pairs, and adds up the scores of its share of each document. Words are 64-bit hashes;
+those of a table of frequent words travel as places in it, which changes no result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +32,15 @@ from patraka.llm.packing import pack, unpack
 
 DISCOUNT, STRENGTH = 0.8, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
-BURN, SAMPLES = 2, 4
+FIRST, BURN, SAMPLES = 3, 2, 4  # sweeps by a shard's own estimates, by the totals before sampling, and sampled
 FEW = 64
 BLOCK = 6 << 20  # text bytes whose pairs are sent together
 SHARD = 16 << 20  # text bytes whose pairs a shard holds, about
 BUCKET = 32 << 20  # text bytes of the documents whose scores are added up together, about
 WORDS = 400_000  # word hashes that a task remembers
+TABLE_SAMPLE = 32 << 20  # text bytes, about, from which the table of frequent words is taken
+TABLE = 1 << 19  # words of the table at most: 4 MB to broadcast
+FINE = 2.0**24  # base scores travel as multiples of its inverse
 START, END = np.uint64(1), np.uint64(2)
 LAST = 2**63 - 1  # stands for a null doc_id
 _DOC = np.dtype([("id", "<i8"), ("uid", "<u2"), ("train", "u1"), ("bucket", "<i4")])
@@ -63,6 +69,36 @@ def tokens(text: bytes, hashes: Hashes) -> np.ndarray:
     return np.concatenate([*parts, np.array([END])])
 
 
+def frequent(docs: DataFrame, n_bytes: int) -> np.ndarray:
+    """Sorted hashes of the words that occur more than once in a sample of whole documents, TABLE at most."""
+    share = min(1.0, TABLE_SAMPLE / max(n_bytes, 1))
+    unit = F.pmod(F.xxhash64("id", F.lit("table")), F.lit(1 << 30)) / float(1 << 30)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, words, n = Hashes(), np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in it:
+            own = np.concatenate([tokens(t, hashes) for t in text_bytes(batch.column(0))])
+            words, at = np.unique(np.r_[words, own], return_inverse=True)
+            n = np.bincount(at, np.r_[n, np.ones(len(own), np.int64)]).astype(np.int64)
+        for i in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000])], names=["word", "n"])
+
+    counted = docs.where(unit < share).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    got = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(TABLE).select("word").toArrow()["word"]
+    return np.sort(got.to_numpy().view(np.uint64)) if len(got) else np.empty(0, np.uint64)
+
+
+def coded(words: np.ndarray, table: np.ndarray) -> dict[str, bytes]:
+    """Sorted distinct words: places in the table of those that it has, hashes of the others."""
+    at = np.minimum(np.searchsorted(table, words), max(len(table) - 1, 0))
+    known = table[at] == words if len(table) else np.zeros(len(words), dtype=bool)
+    return {"words": words[~known].tobytes(), "known": pack(np.diff(at[known], prepend=0).astype(np.uint32))}
+
+
+def decoded(row: dict, table: np.ndarray) -> np.ndarray:
+    return np.sort(np.r_[table[np.cumsum(unpack(row["known"], np.uint32))], np.frombuffer(row["words"], np.uint64)])
+
+
 # ---------------------------------------------------------------------------------------------------
 # Seating
 
@@ -79,24 +115,43 @@ def stirling(discount: float, most: int = FEW) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, opens: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of c customers each, where ``opens`` is the weight with which a customer opens one."""
+@dataclass
+class Parent:
+    """By dish: what the parent restaurant gives a customer, as ``mass / size``; ``fresh``: the parent lacks the dish so far."""
+
+    mass: np.ndarray
+    size: np.ndarray
+    fresh: np.ndarray | None = None  # None: a fixed base, which customers don't change
+
+    def of(self, dish: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probability of the dishes once ``tables`` customers more have gone there."""
+        if self.fresh is None:
+            return self.mass[dish] / self.size[dish]
+        more = tables - ROOT_DISCOUNT * (self.fresh[dish] & (tables > 0))
+        return (self.mass[dish] + more) / (self.size[dish] + tables)
+
+
+def seat(c: np.ndarray, weight: np.ndarray, parent: Parent, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of c customers each, drawn given all other dishes of their restaurants.
+
+    A further table opens with the weight ``weight + discount * own tables`` (strength and discounted
+    tables of the other dishes, and the own so far) times the dish's probability in the parent.
+    """
     t = np.minimum(c, 1).astype(np.int64)
-    log_open = np.log(np.maximum(opens, 1e-300))
     few = np.flatnonzero((c > 1) & (c <= FEW))
     few = few[np.argsort(c[few], kind="stable")]
     cuts = np.searchsorted(c[few], np.arange(2, FEW + 2))
     for n, (a, b) in enumerate(zip(cuts, cuts[1:]), 2):
+        own_tables = np.arange(n)
         for i in range(a, b, 65536):
-            own = few[i : min(i + 65536, b)]
-            k = np.arange(1, n + 1)
-            weight = table[n, 1 : n + 1] + log_open[own, None] * k
-            t[own] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+            own = few[i : min(i + 65536, b), None]
+            log_p = np.cumsum(np.log((weight[own] + discount * own_tables) * parent.of(own, own_tables)), axis=1) + table[n, 1 : n + 1]
+            t[own[:, 0]] = 1 + np.argmax(log_p + rng.gumbel(size=log_p.shape), axis=1)
     many = np.flatnonzero(c > FEW)
     left, at = c[many] - 1, np.ones(len(many), dtype=np.int64)
     while len(many):
         group = np.minimum(left, np.maximum(1, at // 16))
-        new = opens[many]
+        new = (weight[many] + discount * t[many]) * parent.of(many, t[many])
         p = new / (new + np.maximum(at - discount * t[many], 1e-9))
         t[many] += rng.binomial(group, p)
         at, left = at + group, left - group
@@ -108,11 +163,11 @@ def seat(c: np.ndarray, opens: np.ndarray, discount: float, table: np.ndarray, r
 class Shard:
     """Pairs of one shard and where they occur, from the rows that blocks have sent."""
 
-    def __init__(self, t: pa.Table, number: int, shards: int):
+    def __init__(self, t: pa.Table, number: int, shards: int, frequent: np.ndarray):
         words, u, w, pair, doc, times, docs = [], [], [], [], [], [], []
         n_words = n_pairs = n_docs = 0
-        for r in t.select(["words", "u", "w", "pair", "doc", "times", "docs"]).to_pylist():
-            words.append(np.frombuffer(r["words"], np.uint64))
+        for r in t.select(["words", "known", "u", "w", "pair", "doc", "times", "docs"]).to_pylist():
+            words.append(decoded(r, frequent))
             u.append(np.cumsum(unpack(r["u"], np.int32)) + n_words)
             w.append(unpack(r["w"], np.int32) + np.int32(n_words))
             pair.append(np.cumsum(unpack(r["pair"], np.int32)) + n_pairs)
@@ -120,7 +175,7 @@ class Shard:
             times.append(unpack(r["times"], np.int32))
             docs.append(unpack(r["docs"], _DOC))
             n_words, n_pairs, n_docs = n_words + len(words[-1]), n_pairs + len(u[-1]), n_docs + len(docs[-1])
-        self.number, self.shards = number, shards
+        self.number, self.shards, self.frequent = number, shards, frequent
         self.docs = np.concatenate(docs)
         self.words, at = np.unique(np.concatenate(words), return_inverse=True)
         key = at[np.concatenate(u)] * np.int64(len(self.words)) + at[np.concatenate(w)]
@@ -137,13 +192,16 @@ class Shard:
         return np.bincount(index, values, len(self.words)).astype(np.int64)
 
     def first_seating(self) -> np.ndarray:
-        """Seats by the shard's own estimate: it holds one in ``shards`` of each word's pairs."""
-        seen = np.minimum(self.c, 1)
+        """Seats by the shard's own estimates: it holds one in ``shards`` of each word's pairs."""
         grown = lambda k: np.where(k > 0, 1.0 + (k - 1) * self.shards, 0.0)
-        contexts, dishes = grown(self.by_word(self.u, seen)), grown(self.by_word(self.w, seen))
-        parent = dishes / max(dishes.sum(), 1.0)
-        opens = (STRENGTH + DISCOUNT * contexts[self.u]) * parent[self.w]
-        return seat(self.c, opens, DISCOUNT, self.table, self.rng)
+        t = np.ceil(self.c**DISCOUNT).astype(np.int64)  # about as many tables as there will be
+        for _ in range(FIRST):
+            contexts, dishes = grown(self.by_word(self.u, t)), grown(self.by_word(self.w, t))
+            others = np.maximum(dishes[self.w] - t, 0)
+            # about every word has one table in the parent
+            parent = Parent(others - ROOT_DISCOUNT * np.minimum(others, 1) + ROOT_DISCOUNT, ROOT_STRENGTH + dishes.sum() - t, others == 0)
+            t = seat(self.c, STRENGTH + DISCOUNT * np.maximum(contexts[self.u] - t, 0), parent, DISCOUNT, self.table, self.rng)
+        return t
 
     def statistics(self) -> Iterator[dict]:
         """One row for each receiver by word: customers and tables as a context, customers and tables as a dish."""
@@ -152,7 +210,7 @@ class Shard:
         to = (mix64(self.words) % np.uint64(self.shards)).astype(np.int64)
         for r in range(self.shards):
             own = np.flatnonzero(to == r)
-            yield {"to": r, "source": self.number, "words": self.words[own].tobytes(), "counts": pack(np.stack([v[own] for v in values]))}
+            yield {"to": r, "source": self.number, **coded(self.words[own], self.frequent), "counts": pack(np.stack([v[own] for v in values]).astype(np.int32))}
 
     def scores(self, t: pa.Table) -> Iterator[dict]:
         """One row for each bucket of documents: sums over this shard's share of their tokens."""
@@ -165,23 +223,29 @@ class Shard:
             totals += np.frombuffer(r["totals"])
         n, v, customers, tables = totals
         context_c, context_t, dish_c, dish_n, dish_t = got
-        parent = (dish_n - ROOT_DISCOUNT * dish_t + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)) / (ROOT_STRENGTH + customers)
         now = self.first_seating()
-        base_t = context_t - self.by_word(self.u, now)
+        base_t, base_n = context_t - self.by_word(self.u, now), dish_n - self.by_word(self.w, now)
         mean = np.zeros(len(self.u))
+        spare, first = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1), now.sum()
+
+        def mass(n: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return np.maximum(n - ROOT_DISCOUNT * np.minimum(t, n), 0) + spare
+
         for sweep in range(BURN + SAMPLES):
-            total = base_t + self.by_word(self.u, now)
-            others = np.maximum(total[self.u] - now, 0)
             # Half of the pairs at a time, so that those of a context don't all answer to the same state.
             turn = self.rng.random(len(now)) < 0.5
             for half in (turn, ~turn):
-                now[half] = seat(self.c[half], (STRENGTH + DISCOUNT * others[half]) * parent[self.w[half]], DISCOUNT, self.table, self.rng)
-                total = base_t + self.by_word(self.u, now)
-                others = np.maximum(total[self.u] - now, 0)
+                # What this shard's pairs send to the parent follows their tables, what others send is as exchanged.
+                total, sent, size = base_t + self.by_word(self.u, now), base_n + self.by_word(self.w, now), ROOT_STRENGTH + customers - first + now.sum()
+                u, w, own = self.u[half], self.w[half], now[half]
+                others = sent[w] - own
+                parent = Parent(mass(others, dish_t[w]), size - own, others == 0)
+                now[half] = seat(self.c[half], STRENGTH + DISCOUNT * np.maximum(total[u] - own, 0), parent, DISCOUNT, self.table, self.rng)
             if sweep >= BURN:
-                mean += (np.maximum(self.c - DISCOUNT * now, 0) + (STRENGTH + DISCOUNT * total[self.u]) * parent[self.w]) / (STRENGTH + context_c[self.u])
+                total, sent, size = base_t + self.by_word(self.u, now), base_n + self.by_word(self.w, now), ROOT_STRENGTH + customers - first + now.sum()
+                mean += (np.maximum(self.c - DISCOUNT * now, 0) + (STRENGTH + DISCOUNT * total[self.u]) * (mass(sent, dish_t) / size)[self.w]) / (STRENGTH + context_c[self.u])
         unseen = context_c[self.u] == 0
-        mean = np.where(unseen, parent[self.w], mean / SAMPLES)
+        mean = np.where(unseen, (mass(dish_n, dish_t) / (ROOT_STRENGTH + customers))[self.w], mean / SAMPLES)
         log_p = np.log10(mean)
         base = np.log10((dish_c + 1.0) / (n + v + 1.0))[self.w]
         known, ends = dish_c[self.w] > 0, self.words[self.w] == END
@@ -195,9 +259,10 @@ class Shard:
             yield {
                 "bucket": int(bucket[own[0]]),
                 "ids": pack(np.diff(docs["id"], prepend=0)),
-                "uids": docs["uid"].tobytes(),
+                "uids": pack(docs["uid"]),
                 "counts": pack(np.stack([s[own] for s in sums[:3]]).astype(np.int32)),
-                "scores": np.stack([s[own] for s in sums[3:]]).tobytes(),
+                "bases": pack(np.rint(sums[3][own] * FINE).astype(np.int64)),
+                "scores": pack(sums[4][own].astype(np.float32)),
                 "train_tokens": int(n),
             }
 
@@ -207,17 +272,17 @@ def _batches(rows: Iterator[dict], fields: dict[str, pa.DataType]) -> pa.Table:
 
 
 _B, _L = pa.binary(), pa.int64()
-SENT = "to long, words binary, u binary, w binary, pair binary, doc binary, times binary, docs binary"
-STATS = {"to": _L, "source": _L, "words": _B, "counts": _B}
+SENT = "to long, words binary, known binary, u binary, w binary, pair binary, doc binary, times binary, docs binary"
+STATS = {"to": _L, "source": _L, "words": _B, "known": _B, "counts": _B}
 BACK = {"to": _L, "source": _L, "counts": _B, "totals": _B}
-PART = {"bucket": _L, "ids": _B, "uids": _B, "counts": _B, "scores": _B, "train_tokens": _L}
+PART = {"bucket": _L, "ids": _B, "uids": _B, "counts": _B, "bases": _B, "scores": _B, "train_tokens": _L}
 
 
 def ddl(fields: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{k} {'long' if v == _L else 'binary'}" for k, v in fields.items())
 
 
-def _pairs(docs: DataFrame, n_shards: int, n_buckets: int, modulus: int, remainder: int) -> DataFrame:
+def _pairs(own: DataFrame, table: Broadcast, n_shards: int, n_buckets: int, modulus: int, remainder: int) -> DataFrame:
     fields = [f.split() for f in SENT.split(", ")]
     schema = pa.schema([(k, _L if t == "long" else _B) for k, t in fields])
 
@@ -248,7 +313,7 @@ def _pairs(docs: DataFrame, n_shards: int, n_buckets: int, modulus: int, remaind
                 i = index.astype(np.int32)
                 row = {
                     "to": int(to[a]),
-                    "words": words[own].tobytes(),
+                    **coded(words[own], table.value),
                     "u": pack(np.diff(i[: len(heads)], prepend=np.int32(0))),
                     "w": pack(i[len(heads) :]),
                     "pair": pack(np.diff((np.cumsum(new_pair) - 1)[at], prepend=0).astype(np.int32)),
@@ -272,8 +337,6 @@ def _pairs(docs: DataFrame, n_shards: int, n_buckets: int, modulus: int, remaind
         if held:
             yield from send()
 
-    uid = F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << 16))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), uid.alias("uid"), F.col("text").cast("string").alias("text"))
     return own.select("id", "uid", F.pmod(F.xxhash64("id", "uid"), F.lit(n_buckets)).alias("bucket"), "text").mapInArrow(run, SENT)
 
 
@@ -287,41 +350,45 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """
     n = total_bytes(docs, "text") + 64 * docs.count()
     n_shards, n_buckets = shards_for(n, SHARD), shards_for(n, BUCKET)
-    sent = _pairs(docs, n_shards, n_buckets, modulus, remainder)
+    uid = F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << 16))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), uid.alias("uid"), F.col("text").cast("string").alias("text"))
+    table = docs.sparkSession.sparkContext.broadcast(frequent(own, n))
+    sent = _pairs(own, table, n_shards, n_buckets, modulus, remainder)
 
     def first(key: tuple, t: pa.Table) -> pa.Table:
-        return _batches(Shard(t, key[0].as_py(), n_shards).statistics(), STATS)
+        return _batches(Shard(t, key[0].as_py(), n_shards, table.value).statistics(), STATS)
 
     def exchange(key: tuple, t: pa.Table) -> pa.Table:
-        rows = t.select(["source", "words", "counts"]).to_pylist()
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        rows = t.select(["source", "words", "known", "counts"]).to_pylist()
+        words = [decoded(r, table.value) for r in rows]
         unique, at = np.unique(np.concatenate(words), return_inverse=True)
         sums = np.zeros((4, len(unique)), dtype=np.int64)
         ends = np.cumsum([len(x) for x in words])
         for r, end, x in zip(rows, ends, words):
-            sums[:, at[end - len(x) : end]] += unpack(r["counts"], np.int64).reshape(4, -1)
+            sums[:, at[end - len(x) : end]] += unpack(r["counts"], np.int32).reshape(4, -1)
         v, customers = int((sums[2] > 0).sum()), int(sums[3].sum())
         tables = np.minimum(sums[3], 1)
-        rng, table = np.random.default_rng([60, key[0].as_py()]), stirling(ROOT_DISCOUNT)
+        rng, numbers = np.random.default_rng([60, key[0].as_py()]), stirling(ROOT_DISCOUNT)
         for _ in range(BURN + 1):
-            opens = (ROOT_STRENGTH + ROOT_DISCOUNT * n_shards * tables.sum()) / (n_shards * v + 1)
-            tables = seat(sums[3], np.full(len(unique), opens), ROOT_DISCOUNT, table, rng)
+            others = ROOT_STRENGTH + ROOT_DISCOUNT * np.maximum(n_shards * tables.sum() - tables, 0)
+            tables = seat(sums[3], others, Parent(np.ones(len(unique)), np.full(len(unique), n_shards * v + 1.0)), ROOT_DISCOUNT, numbers, rng)
         totals = np.array([sums[2].sum(), v, customers, tables.sum()], dtype=np.float64).tobytes()
         out = np.vstack([sums, tables])
         back = ({"to": r["source"], "source": key[0].as_py(), "counts": pack(out[:, at[end - len(x) : end]]), "totals": totals} for r, end, x in zip(rows, ends, words))
         return _batches(back, BACK)
 
     def second(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return _batches(Shard(left, key[0].as_py(), n_shards).scores(right), PART)
+        return _batches(Shard(left, key[0].as_py(), n_shards, table.value).scores(right), PART)
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         ids = np.concatenate([np.cumsum(unpack(r["ids"], np.int64)) for r in rows])
-        uids = np.concatenate([np.frombuffer(r["uids"], np.uint16) for r in rows])
+        uids = np.concatenate([unpack(r["uids"], np.uint16) for r in rows])
         order = np.lexsort((uids, ids))
         heads = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(uids[order].astype(int)) != 0)])
         counts = np.add.reduceat(np.concatenate([unpack(r["counts"], np.int32).reshape(3, -1) for r in rows], axis=1)[:, order].astype(np.int64), heads, axis=1)
-        sums = np.add.reduceat(np.concatenate([np.frombuffer(r["scores"]).reshape(2, -1) for r in rows], axis=1)[:, order], heads, axis=1)
+        bases = np.add.reduceat(np.concatenate([unpack(r["bases"], np.int64) for r in rows])[order], heads) / FINE
+        scores = np.add.reduceat(np.concatenate([unpack(r["scores"], np.float32) for r in rows]).astype(np.float64)[order], heads)
         alike = counts[2]  # rows of this id and text: each has one end
         own = np.repeat(np.arange(len(heads)), alike)
         doc = ids[order][heads][own]
@@ -332,8 +399,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
                 "n_tokens": (counts[0] // alike)[own],
                 "n_known": (counts[1] // alike)[own],
                 "train_tokens": pa.array(np.full(len(own), rows[0]["train_tokens"]), _L),
-                "base_score": (sums[0] / alike)[own],
-                "score": (sums[1] / alike)[own],
+                "base_score": (bases / alike)[own],
+                "score": (scores / alike)[own],
             }
         )
 

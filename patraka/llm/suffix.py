@@ -36,7 +36,7 @@ LENGTH = 50
 K = 20
 PIECE = 1 << 18  # windows hashed at once
 BLOCK = 8 << 20  # text bytes whose cells are sent together
-SHARD = 24 << 20  # text bytes whose cells a shard holds, about
+SHARD = 12 << 20  # text bytes whose cells a shard holds, about
 BUCKET = 8 << 20  # text bytes of a bucket of documents, about
 BATCH = 1 << 17  # cells of an index batch
 LAST = np.int64(2**63 - 1)  # stands for a null doc_id: after all others
@@ -325,7 +325,10 @@ def _matched(cells: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
             many = heads[cuts[np.minimum.reduceat(first, cuts) != np.maximum.reduceat(first, cuts)]]
             # what isn't found stands in its cell's first document, at each of its places there
-            row = np.flatnonzero(~found & np.isin(h >> np.uint64(24), many))
+            del index
+            h = arrays["h"] >> np.uint64(24)
+            near = np.minimum(np.searchsorted(many, h), max(len(many) - 1, 0))
+            row = np.flatnonzero(~found & (many[near] == h)) if len(many) else np.empty(0, int)
             at = np.r_[np.flatnonzero(found), row]
             flag = np.r_[np.zeros(int(found.sum()), np.int64), np.ones(len(row), np.int64)]
             out = list(dealt(docs["bucket"][doc[at]], {}, doc[at], 2 * place[at] + flag, docs, "bucket"))

@@ -85,7 +85,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 #: Every known sentence holds one of these words, so that other texts are done at once.
 HINT = regex.compile(r"licen[sc]e|copyright|permission|warrant|redistribut|rights\s+reserved|public\s+domain|\bauthors\b", regex.IGNORECASE)
-END = regex.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
+END = regex.compile(r"(?i)(?<!license-identifier:)(?<=[.!?;:])\s+|\n\s*\n")
 MARKS = regex.compile(r"[^\p{L}\p{N}.+/\s-]|(?<=\s)[-/.]+(?=\s)")
 BLANKS = regex.compile(r"\s+")
 LINES = 12  # lines that a wrapped sentence without an end of its own may cover
@@ -102,6 +102,7 @@ class Scanner:
     known: dict[str, tuple[str, dict] | None] = field(default_factory=dict)
 
     def __post_init__(self):
+        self.names = {name.lower(): name for name, _ in self.rules if "{" not in name}  # as an identifier may be written
         self.patterns = [(name, regex.compile(p)) for name, p in self.sentences]
 
     def identify(self, sentence: str) -> tuple[str, dict] | None:
@@ -141,7 +142,8 @@ class Scanner:
             for licence, sequence in self.rules:
                 if tuple(names[at : at + len(sequence)]) == tuple(sequence):
                     values = {k: v or "" for _, d in found[at : at + len(sequence)] for k, v in d.items()}
-                    out.append(licence.format(**values, NAME=values.get("name", "").upper()) if "{" in licence else licence)
+                    said = licence.format(**values, NAME=values.get("name", "").upper()) if "{" in licence else licence
+                    out.append(self.names.get(said.lower(), said))
                     at += len(sequence)
                     break
             else:

@@ -15,8 +15,9 @@ APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
 CASES = [
-    ("SPDX-License-Identifier: MIT", "mit"),
-    ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("SPDX-License-Identifier: Zlib", "zlib"),
     ("Released under the MIT License.", "MIT"),
     ("This work is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
     ("Copyright (c) 2020 Someone. All rights reserved.", "Proprietary"),

@@ -7,17 +7,19 @@ else about lattices is column expressions in ``patraka.functions.wer``.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Sequence
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GAP = 1.0
+TOGETHER = 256  # rows whose word distances are computed at once
+LONG = 32  # letters beyond which a word's distances are computed one by one
 
 
-@lru_cache(1 << 16)
 def distance(a: str, b: str) -> float:
     """Levenshtein distance by the longer length."""
     if a == b:
@@ -32,10 +34,49 @@ def distance(a: str, b: str) -> float:
     return row[-1] / max(len(a), len(b))
 
 
-def align_pair(first: Sequence[str], second: Sequence[str], gap: float = GAP) -> list[tuple[str | None, str | None]]:
+class Distances(dict):
+    """Distances of pairs of words; those within groups are computed together, others when asked for."""
+
+    def __init__(self, groups: Iterable[Iterable[str]] = ()):
+        pairs = {p for words in groups for p in combinations(sorted(set(words)), 2)}
+        short = [p for p in pairs if p[0] and max(map(len, p)) <= LONG]
+        for (a, b), d in zip(short, together(short)):
+            self[a, b] = self[b, a] = d
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        got = self[pair] = distance(*pair)
+        return got
+
+
+def together(pairs: Sequence[tuple[str, str]]) -> list[float]:
+    """Normalized distances of pairs of words that aren't empty: one table whose cells are arrays over all pairs."""
+    out = np.zeros(len(pairs))
+    sizes = np.array([(len(a), len(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+    order = np.lexsort((sizes[:, 1], sizes[:, 0]))
+    for k in range(0, len(order), 1 << 14):  # pairs of about the same lengths side by side
+        own = order[k : k + (1 << 14)]
+        m, n = sizes[own].max(axis=0)
+        a, b = (np.array([pairs[i][side] for i in own], dtype=f"U{w}").view(np.uint32).reshape(len(own), w) for side, w in ((0, m), (1, n)))
+        row = np.repeat(np.arange(n + 1, dtype=np.int16)[:, None], len(own), axis=1)
+        last = np.zeros(len(own), dtype=np.int64)
+        for i in range(1, m + 1):
+            before, row = row, np.empty_like(row)
+            row[0] = i
+            for j in range(1, n + 1):
+                np.minimum(before[j], row[j - 1], out=row[j])
+                row[j] += 1
+                np.minimum(row[j], before[j - 1] + (a[:, i - 1] != b[:, j - 1]), out=row[j])
+            done = sizes[own, 0] == i
+            last[done] = row[sizes[own, 1], np.arange(len(own))][done]
+        out[own] = last / sizes[own].max(axis=1)
+    return out.tolist()
+
+
+def align_pair(first: Sequence[str], second: Sequence[str], gap: float = GAP, known: Distances | None = None) -> list[tuple[str | None, str | None]]:
     """Least-cost global alignment; among equals a pair, then a gap in the second, then one in the first."""
     m, n = len(first), len(second)
-    costs = [[distance(x, y) for y in second] for x in first]
+    known = Distances() if known is None else known
+    costs = [[0.0 if x == y else known[x, y] for y in second] for x in first]
     best = [[j * gap for j in range(n + 1)]]
     for i in range(1, m + 1):
         above, row = best[-1], [i * gap]
@@ -56,7 +97,7 @@ def align_pair(first: Sequence[str], second: Sequence[str], gap: float = GAP) ->
     return out[::-1]
 
 
-def align_all(sequences: Sequence[Sequence[str]], anchored: bool = False) -> list[list[str | None]]:
+def align_all(sequences: Sequence[Sequence[str]], anchored: bool = False, known: Distances | None = None) -> list[list[str | None]]:
     """Progressive alignment to the first sequence; one row for each position, one entry for each sequence.
 
     By default a later word finds its position by the position's first word, so that words are lost where
@@ -68,7 +109,7 @@ def align_all(sequences: Sequence[Sequence[str]], anchored: bool = False) -> lis
     for k, sequence in enumerate(sequences[1:], 1):
         majority = [Counter(w for w in row if w is not None).most_common(1)[0][0] for row in rows]
         merged, at = [], 0
-        for old, new in align_pair(majority, sequence):
+        for old, new in align_pair(majority, sequence, known=known):
             if old is None:
                 merged.append([None] * k + [new])
                 continue
@@ -94,12 +135,23 @@ def bins(rows: Iterable[Sequence[str | None]], min_support: int = 1) -> list[lis
     return out
 
 
+def by_parts(rows: list, words: Callable, align: Callable) -> list:
+    """``align`` of each row, with the distances of its ``words`` known; a part of the rows at a time."""
+    out: list = []
+    for k in range(0, len(rows), TOGETHER):
+        part = rows[k : k + TOGETHER]
+        known = Distances(map(words, part))
+        out += [align(r, known) for r in part]
+    return out
+
+
 def lattice(sequences: Column, anchored: bool = False, min_support: int = 1) -> Column:
     """``array<array<string>>`` of bins from an array of word arrays, the reference first."""
 
     @F.pandas_udf("array<array<string>>")
     def build(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: bins(align_all([list(x) for x in s], anchored), min_support))
+        rows = [[list(x) for x in s] for s in column]
+        return pd.Series(by_parts(rows, lambda r: (w for x in r for w in x), lambda r, known: bins(align_all(r, anchored, known), min_support)))
 
     return build(sequences)
 
@@ -109,6 +161,7 @@ def pairs(first: Column, second: Column, gap: float = GAP) -> Column:
 
     @F.pandas_udf("array<struct<a:string,b:string>>")
     def build(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": x, "b": y} for x, y in align_pair(list(p), list(q), gap)] for p, q in zip(a, b)])
+        rows = [(list(p), list(q)) for p, q in zip(a, b)]
+        return pd.Series(by_parts(rows, lambda r: r[0] + r[1], lambda r, known: [{"a": x, "b": y} for x, y in align_pair(*r, gap, known)]))
 
     return build(first, second)

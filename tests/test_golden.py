@@ -232,6 +232,16 @@ def test_alignment_keeps_all_words():
         assert [y for _, y in got if y is not None] == b
 
 
+def test_distances_together_like_one_by_one():
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abcé漢\U0001f600") for _ in range(rng.randrange(1, 9))) for _ in range(60)} | {"", "x" * 50}
+    known = align.Distances([words])
+    assert len(known) > 1000
+    for a in words:
+        for b in words - {a}:
+            assert known[a, b] == known[b, a] == (edits(a, b) / max(len(a), len(b)) if a and b else 1.0)
+
+
 def test_rounding_to_even(spark):
     df = spark.createDataFrame([(0.5,), (2.5,), (0.12345,)], "x double")
     assert [r[0] for r in df.select(wer.half_even(F.col("x"), 0)).collect()] == [0.0, 2.0, 0.0]

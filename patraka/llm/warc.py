@@ -28,6 +28,7 @@ SHARD = 128 << 20  # payload bytes of a shard, about
 LEAST = 100  # payloads below this many bytes are never revisits
 DATE = "1970-01-01T00:00:00Z"
 CELLS, MOST_CELLS = 1 << 12, 1 << 16  # of the id range whose bytes the driver adds up into shards
+MOST_TASKS = 20_000  # that read archives
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
 
 
@@ -216,7 +217,8 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.schema(MANIFEST).parquet(f"{uri}/_manifest").select("file")
-    return files.repartition("file").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    n = max(1, min(files.count(), MOST_TASKS))  # a number of its own, else the small table is read by one task
+    return files.repartition(n, "file").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def parse(folder: Folder, name: str) -> Iterator[dict]:

@@ -6,9 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patraka.llm.common import connected_components, materialize, star
 
@@ -92,12 +94,20 @@ def compared(reps: DataFrame, dim: int, threshold: float, block: int) -> DataFra
     n_blocks = max(1, math.ceil(n / block))
     cuts = sorted(set(lead.approxQuantile("lead", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks))) if n_blocks > 1 else []
     reach = math.sqrt(2 - 2 * threshold) + SLACK if threshold < 1 else SLACK
-    edges = [-2.0, *cuts, 2.0]
-    partners = [[j for j in range(len(edges) - 1) if j >= i and edges[j] - edges[i + 1] <= reach] + [j for j in range(i) if edges[i] - edges[j + 1] <= reach] for i in range(len(edges) - 1)]
-    at = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("lead"))) if cuts else F.lit(0)
+    # Blocks lie in the order of the leading coordinate, so that those within reach of a block are neighbours.
+    edges = np.array([-2.0, *cuts, 2.0])
+    low, high = np.searchsorted(edges[1:], edges[:-1] - reach), np.searchsorted(edges[:-1], edges[1:] + reach, side="right") - 1
+    blocks = reps.sparkSession.sparkContext.broadcast((edges[1:-1], low, high))  # 24 bytes for each BLOCK vectors
+
+    @F.pandas_udf(T.StructType([T.StructField(k, T.IntegerType()) for k in ("own", "low", "high")]))
+    def block_of(lead: pd.Series) -> pd.DataFrame:
+        cuts, low, high = blocks.value
+        own = np.searchsorted(cuts, lead.to_numpy(), side="right")
+        return pd.DataFrame({"own": own, "low": low[own], "high": high[own]})
+
     dealt = (
-        lead.withColumn("own", at)
-        .withColumn("other", F.explode(F.element_at(F.lit(partners), F.col("own") + 1)))
+        lead.withColumn("at", block_of("lead"))
+        .select(F.col("at.own").alias("own"), F.explode(F.sequence("at.low", "at.high")).alias("other"), "rep", "copies", "embedding")
         .select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "embedding")
     )
     shared = reps.sparkSession.sparkContext.broadcast(basis)

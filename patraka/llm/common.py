@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -47,6 +49,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def trim() -> None:
+    """Give back what earlier tasks of this Python worker have freed; allocators would keep it until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batch: pa.RecordBatch, most_bytes: int, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``most_bytes``; a longer row stands alone."""
     offsets = np.frombuffer(batch.column(column).buffers()[1], dtype=_offset_type(batch.column(column)))[

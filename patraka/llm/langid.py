@@ -11,13 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from patraka.llm.common import mix64, rows_of
+from patraka.llm.common import mix64, rows_of, trim
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -26,7 +26,7 @@ MOST_LANGUAGES = 256
 SMOOTHING = 0.1
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
-SLICE = 1 << 20
+SLICE = 1 << 18  # text bytes scored at once
 
 
 @dataclass
@@ -120,12 +120,12 @@ def keep(docs: DataFrame, model: Model, sure: float) -> DataFrame:
     """The rows of ``docs`` whose language is known with probability ``sure``; all columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(column), pa.int64()), column], names=["doc_id", "text"])
+    @F.arrow_udf(T.BooleanType())
+    def known(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"])
         parts = [score(part, shared.value) for part in rows_of(batch, SLICE, "text")]
-        return pd.Series([n != UNKNOWN and p >= sure for x in parts for n, p in zip(x.column(1).to_pylist(), x.column(2).to_pylist())], dtype=bool)
+        trim()
+        return pa.array([n != UNKNOWN and p >= sure for x in parts for n, p in zip(x.column(1).to_pylist(), x.column(2).to_pylist())], pa.bool_())
 
     return docs.where(known(F.col("text").cast("string")))
 

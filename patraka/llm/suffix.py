@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patraka.llm.common import materialize, mix64, release, shards_for, text_bytes, total_bytes
+from patraka.llm.common import materialize, mix64, release, shards_for, text_bytes, total_bytes, trim
 from patraka.llm.packing import pack, unpack
 
 LENGTH = 50
@@ -288,6 +288,7 @@ def _cells(held: DataFrame, n_shards: int) -> DataFrame:
                 nothing = np.empty((int(later.sum()), 0), np.uint8)
                 yield from dealt(-1 - docs["bucket"][cells.doc[later]], {"h": nothing, "c": nothing}, cells.doc[later], 2 * cells.ord[later], docs)
 
+        trim()
         texts, about, size = [], [], 0
         for batch in it:
             for text, *row in zip(text_bytes(batch.column(3)), *(batch.column(i).to_pylist() for i in range(3))):
@@ -311,6 +312,7 @@ def _matched(cells: DataFrame) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return _passed(key, t)
+        trim()
         arrays, doc, place, docs = gathered(t, ("h", "c"))
         h, c, ids = arrays["h"], arrays["c"], docs["id"][doc]
         order = np.argsort(ids, kind="stable")
@@ -350,6 +352,7 @@ def _windows(held: DataFrame, said: DataFrame, n_shards: int) -> DataFrame:
     """By bucket: windows to be compared (``to`` from 0 on), and those decided within the bucket (``to`` = -1 - bucket)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         told = Said(right)
         rows = left.select(["id", "uid", "bucket", "text"]).to_pydict()
         w, h, doc, place, docs = [], [], [], [], []
@@ -389,6 +392,7 @@ def _compared(windows: DataFrame) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return _passed(key, t)
+        trim()
         arrays, doc, place, docs = gathered(t, ("h", "c"), {"h": np.uint16})
         ids = docs["id"][doc]
         order = np.argsort(ids, kind="stable")
@@ -423,6 +427,7 @@ def _final(held: DataFrame, said: DataFrame, late: DataFrame, schema: T.StructTy
     told = said.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         is_late = right["late"]
         early, after = Said(right.filter(pa.compute.invert(is_late))), Said(right.filter(is_late))
         ids, uids = left["id"].to_pylist(), left["uid"].to_pylist()

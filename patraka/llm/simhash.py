@@ -226,7 +226,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Among rows alike in doc_id the one with the smallest text hash stays; of rows alike in both, one.
     """
-    own, roots = _grouped(docs, id_col, text_col)
+    return first_of(docs, *_grouped(docs, id_col, text_col), id_col, text_col)
+
+
+def first_of(docs: DataFrame, own: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each root, from ``own(doc_id, text_hash, fp)`` and ``roots(fp, root)``."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     best = own.groupBy("fp").agg(F.min(key).alias("key")).join(roots, "fp").groupBy("root").agg(F.min("key").alias("key"))
     best = materialize(best.select(F.col("key.doc_id").alias("__id"), F.col("key.text_hash").alias("__hash")).distinct())

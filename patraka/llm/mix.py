@@ -97,13 +97,15 @@ def position(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST, refill: bool = True) -> DataFrame:
     """One row for each distinct ``(doc_id, source, text_hash)`` with the copies that the mix takes.
 
-    Columns: those three, ``size``, ``n`` (rows alike), ``source_size``, ``target``, ``copies`` (by row) and
-    ``positions`` (of the copies). A copy is taken if it ends within the source's target; the words that
-    are left go to the one document nearest in size, if that comes nearer to the target. A document
-    without a word is not taken.
+    Columns: those three, ``size``, ``n`` (rows alike), ``source_size``, ``target``, ``takes`` (copies of all
+    rows alike; the first ``takes % n`` of them have one more than the others), ``parts`` (rows
+    ``low`` to ``high`` taken one after another from ``start`` words on) and ``positions`` (of their starts). A copy is taken if it
+    ends within the source's target. The one that does not is left out and, with ``refill``, those that fit
+    what is left of the target are taken in turn, fewest copies first, until none fits. The words that are left then go to the
+    one document nearest in size, if that comes nearer to the target. A document without a word is not taken.
     """
     own = materialize(sizes(docs).groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n")))
     bucket_bits = max(0, min(20, (own.count() // 2000).bit_length()))
@@ -122,37 +124,90 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
     mass = F.col("n") * F.col("size")
     placed = own.withColumn("inside", F.sum(mass).over(within) - mass)
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
-    mass = F.col("n") * F.col("size")
     start = F.col("before") + F.col("inside")
-    times = F.array(*(start + F.col("source_size") * e for e in range(most)))
-    fits = F.filter(times, lambda o: (F.col("size") > 0) & (o + mass <= F.col("target")))
-    placed = materialize(placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "turn", fits.alias("starts")))
+    passes = F.array(*(start + F.col("source_size") * e for e in range(most)))
+    parts = F.filter(F.transform(passes, lambda o: _part(F.lit(0), _rows(F.col("target") - o, F.col("n")), o)), lambda x: x.high >= x.low)
+    placed = placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "turn", "bucket", parts.alias("parts"))
+    placed = materialize(placed.withColumn("takes", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.high - x.low + 1)))
+    while refill:
+        more = _refilled(placed, most)
+        if more is None:
+            break
+        placed = more
     # What is left of a target goes to the one document that comes nearest to filling it.
-    taken = placed.groupBy("source").agg(F.sum(F.size("starts") * mass).alias("taken"))
-    gap = F.col("target") - F.col("taken")
+    gap, size = F.col("target") - F.col("taken"), F.col("size")
     key = F.struct("turn", "doc_id", "size", "text_hash")
-    open_ = placed.join(taken.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3"))).where((F.size("starts") < most) & (F.col("size") > 0) & (F.abs(mass - gap) < gap))
-    fill = open_.groupBy("source").agg(F.min(F.struct(F.abs(mass - gap).alias("off"), key.alias("key"), (F.col("target") - gap).alias("start"))).alias("fill"))
+    open_ = placed.join(_taken(placed), F.col("source").eqNullSafe(F.col("s3"))).where((F.col("takes") < most * F.col("n")) & (size > 0) & (F.abs(size - gap) < gap))
+    fill = open_.groupBy("source").agg(F.min(F.struct(F.abs(size - gap).alias("off"), key.alias("key"), F.col("taken").alias("start"))).alias("fill"))
     placed = placed.join(materialize(fill.select(F.col("source").alias("s4"), "fill")), F.col("source").eqNullSafe(F.col("s4")) & (key == F.col("fill.key")), "left")
-    starts = F.when(F.col("fill").isNull(), F.col("starts").cast("array<double>")).otherwise(F.concat(F.col("starts").cast("array<double>"), F.array("fill.start")))
+    filled = F.col("fill").isNotNull()
+    parts = F.when(filled, F.concat("parts", F.array(_part(F.col("takes") % F.col("n"), F.lit(1), F.col("fill.start"))))).otherwise(F.col("parts"))
+    placed = placed.withColumn("parts", parts).withColumn("takes", F.col("takes") + filled.cast("long"))
+    positions = F.transform("parts", lambda x: _at(x.start, schedules))
+    return placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "takes", "parts", positions.alias("positions"))
+
+
+def _at(o: Column, schedules) -> Column:
+    share = F.coalesce(F.try_divide(o, F.col("target")), F.lit(0.0))
+    out = position(share, schedules[-1])
+    for i, s in enumerate(schedules[:-1]):
+        out = F.when(F.col("place") % len(schedules) == i, position(share, s)).otherwise(out)
+    return out
+
+
+def _rows(room: Column, most: Column) -> Column:
+    """How many rows, of ``most``, fit into so many words."""
+    return F.when(F.col("size") > 0, F.least(F.greatest(F.floor(F.try_divide(room, F.col("size"))), F.lit(0)), most)).otherwise(0).cast("long")
 
-    def at(o: Column) -> Column:
-        share = F.coalesce(F.try_divide(o, F.col("target")), F.lit(0.0))
-        out = position(share, schedules[-1])
-        for i, s in enumerate(schedules[:-1]):
-            out = F.when(F.col("place") % len(schedules) == i, position(share, s)).otherwise(out)
-        return out
 
-    return placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", F.size(starts).alias("copies"), F.transform(starts, at).alias("positions"))
+def _part(after: Column, rows: Column, start: Column) -> Column:
+    after = after.cast("long")
+    return F.struct((after + 1).alias("low"), (after + rows).alias("high"), start.cast("long").alias("start"))
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
+def _taken(placed: DataFrame) -> DataFrame:
+    return placed.groupBy(F.col("source").alias("s3")).agg(F.sum(F.col("takes") * F.col("size")).alias("taken"))
+
+
+def _refilled(placed: DataFrame, most: int) -> DataFrame | None:
+    """One round more: a further copy of those that fit what is left; None if none fits.
+
+    The first that no longer fits is larger than what the round leaves, so that what is left shrinks fast.
+    """
+    held = placed.join(materialize(_taken(placed)), F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
+    gap, n, size = F.col("target") - F.col("taken"), F.col("n"), F.col("size")
+    fits = (size > 0) & (F.col("takes") < most * n) & (size <= gap)
+    if held.where(fits).isEmpty():
+        return None
+    after = F.col("takes") % n
+    held = held.withColumn("left", F.when(fits, n - after).otherwise(0)).withColumn("layer", F.floor(F.col("takes") / n))
+    mass = F.col("left") * size
+    sums = held.groupBy("source", "layer", "bucket").agg(F.sum(mass).alias("words"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("layer", "bucket")) - F.col("words")
+    sums = materialize(sums.select(F.col("source").alias("s"), F.col("layer").alias("l"), F.col("bucket").alias("b"), before.alias("before")))
+    within = Window.partitionBy("source", "layer", "bucket").orderBy("turn", "doc_id", "size", "text_hash")
+    held = held.withColumn("inside", F.sum(mass).over(within) - mass)
+    held = held.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("layer") == F.col("l")) & (F.col("bucket") == F.col("b")))
+    offset = F.col("before") + F.col("inside")
+    held = held.withColumn("more", _rows(gap - offset, F.col("left")))
+    parts = F.when(F.col("more") > 0, F.concat("parts", F.array(_part(after, F.col("more"), F.col("taken") + offset)))).otherwise(F.col("parts"))
+    return materialize(held.withColumn("parts", parts).withColumn("takes", F.col("takes") + F.col("more")).select(placed.columns))
+
+
+def _copies(row: Column, schedules) -> Column:
+    """Positions of the copies of one of the rows alike."""
+    own = F.filter("parts", lambda x: (x.low <= row) & (row <= x.high))
+    return F.transform(own, lambda x: _at(x.start + (row - x.low) * F.col("size"), schedules))
+
+
+def mix_report(docs: DataFrame, refill: bool = True) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies, first_position)`` by row of ``docs``.
 
     A null text has size 0, a null source is a source of its own and comes last. Repeated rows are
-    counted one by one. An empty table gives an empty result.
+    counted and taken one by one. An empty table gives an empty result. ``refill``: see ``plan``.
     """
-    rows = plan(docs).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    rows = plan(docs, refill=refill).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = rows.withColumn("positions", _copies(F.col("row"), SCHEDULES)).withColumn("copies", F.size("positions"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.element_at(F.when(F.col("copies") > 0, F.col("positions")), 1).alias("first_position"))
 
 
@@ -160,13 +215,19 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDUL
     """The documents in training order, each as often as the mix takes it, with the columns of ``docs``."""
     order = materialize(
         plan(docs, weights, schedules, most)
-        .where("copies > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "positions")
+        .where("takes > 0")
+        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "size", "n", "target", "place", "takes", "parts")
     )
     held = docs.select(F.struct("*").alias("__row"))
     met = held.join(
         order,
         F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__row.source").cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64("__row.text") == F.col("__hash")),
     )
-    copies = met.select("__row", "__id", F.explode("positions").alias("__at"))
+    # Rows alike are told apart only where some are taken more often, which is where a target ends: a few groups of a source.
+    alike = F.col("takes") % F.col("n") == 0
+    number = F.row_number().over(Window.partitionBy("__id", "__source", "__hash").orderBy(F.xxhash64("__row"))).cast("long")
+    each = F.transform(F.filter("parts", lambda x: x.low == 1), lambda x: _at(x.start, schedules))
+    even = met.where(alike).select("__row", "__id", F.explode(each).alias("__at"))
+    uneven = met.where(~alike).withColumn("__number", number).select("__row", "__id", F.explode(_copies(F.col("__number"), schedules)).alias("__at"))
+    copies = even.unionByName(uneven)
     return copies.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select("__row.*")

@@ -130,3 +130,35 @@ def test_word_counts(text):
     assert mix.n_words(text.encode()) == len([w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w])
     long_ = (text + " ") * (1 << 20)
     assert mix.n_words(long_.encode()) == (1 << 20) * mix.n_words(text.encode())
+
+
+def filled(rows, got) -> dict:
+    """By source: what was taken, of the target, in words."""
+    source, out = {i: s for i, _, s in rows}, defaultdict(lambda: [0, 0.0])
+    for r in got:
+        out[source[r.doc_id]][0] += r.taken
+        out[source[r.doc_id]][1] = r.target
+    return out
+
+
+def test_one_long_document_keeps_no_others_out(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randrange(20, 400), "b") for i in range(200)]
+    rows += [(1000, "w " * 100_000, "b"), (1001, "w " * 60_000, "a"), (1002, "w " * 1000, "c")]
+    df = spark.createDataFrame(rows, KIND)
+    got = mix.mix_report(df).collect()
+    taken, target = filled(rows, got)["b"]
+    assert abs(taken - target) <= 20
+    assert all(0 <= r.first_position <= 1 for r in got if r.copies)
+    counted = {r.doc_id: r["count"] for r in mix.mixed(df).groupBy("doc_id").count().collect()}
+    assert counted == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = [(7, "a b c d e", "x")] * 1000 + [(8, "w " * 3000, "y"), (9, "w " * 9000, "z")]
+    df = spark.createDataFrame(rows, KIND)
+    got = mix.mix_report(df).collect()
+    taken, target = filled(rows, got)["x"]
+    assert abs(taken - target) <= 5 and max(r.copies for r in got) <= 3
+    assert len({r.copies for r in got if r.doc_id == 7}) <= 2
+    assert mix.mixed(df).where("doc_id = 7").count() == sum(r.copies for r in got if r.doc_id == 7)

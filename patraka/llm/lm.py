@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patraka.llm.common import mix64, shards_for, text_bytes, total_bytes
+from patraka.llm.common import materialize, mix64, shards_for, text_bytes, total_bytes
 from patraka.llm.packing import pack, unpack
 
 DISCOUNT, STRENGTH = 0.8, 1.0
@@ -43,7 +43,7 @@ TABLE = 1 << 19  # words of the table at most: 4 MB to broadcast
 FINE = 2.0**24  # base scores travel as multiples of its inverse
 START, END = np.uint64(1), np.uint64(2)
 LAST = 2**63 - 1  # stands for a null doc_id
-_DOC = np.dtype([("id", "<i8"), ("uid", "<u2"), ("train", "u1"), ("bucket", "<i4")])
+_DOC = np.dtype([("id", "<i8"), ("uid", "<i8"), ("train", "u1"), ("bucket", "<i4")])
 
 
 class Hashes(dict):
@@ -350,8 +350,11 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """
     n = total_bytes(docs, "text") + 64 * docs.count()
     n_shards, n_buckets = shards_for(n, SHARD), shards_for(n, BUCKET)
-    uid = F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << 16))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), uid.alias("uid"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    # Only rows that share an id need their texts' hash; zeros cost nothing where they travel.
+    shared = materialize(own.groupBy("id").count().where(F.col("count") > 1).select(F.col("id").alias("shared")))
+    uid = F.when(F.col("shared").isNull(), F.lit(0)).otherwise(F.coalesce(F.xxhash64("text"), F.lit(0))).cast("long")
+    own = own.join(shared, F.col("id") == F.col("shared"), "left").select("id", uid.alias("uid"), "text")
     table = docs.sparkSession.sparkContext.broadcast(frequent(own, n))
     sent = _pairs(own, table, n_shards, n_buckets, modulus, remainder)
 
@@ -383,9 +386,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     def add(key: tuple, t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         ids = np.concatenate([np.cumsum(unpack(r["ids"], np.int64)) for r in rows])
-        uids = np.concatenate([unpack(r["uids"], np.uint16) for r in rows])
+        uids = np.concatenate([unpack(r["uids"], np.int64) for r in rows])
         order = np.lexsort((uids, ids))
-        heads = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(uids[order].astype(int)) != 0)])
+        heads = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (uids[order][1:] != uids[order][:-1])])
         counts = np.add.reduceat(np.concatenate([unpack(r["counts"], np.int32).reshape(3, -1) for r in rows], axis=1)[:, order].astype(np.int64), heads, axis=1)
         bases = np.add.reduceat(np.concatenate([unpack(r["bases"], np.int64) for r in rows])[order], heads) / FINE
         scores = np.add.reduceat(np.concatenate([unpack(r["scores"], np.float32) for r in rows]).astype(np.float64)[order], heads)

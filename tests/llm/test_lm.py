@@ -159,3 +159,11 @@ def test_large_groups_of_customers_open_as_many_tables_as_one_by_one():
             t += rng.random() < new / (new + c - lm.DISCOUNT * t)
         slow.append(t)
     assert fast == pytest.approx(np.mean(slow), rel=0.1)
+
+
+def test_many_null_ids_with_different_texts(spark):
+    rng = random.Random(8)
+    texts = ["one"] + [" ".join(rng.choice("abcdefghij") for _ in range(1 + i % 40)) + f" t{i}" for i in range(1500)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, "a b c d")], "doc_id long, text string")
+    got = sorted(r.n_tokens for r in lm.score(df).collect() if r.doc_id is None)
+    assert got == sorted(len(t.split()) + 1 for t in texts)

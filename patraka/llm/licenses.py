@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -88,7 +89,8 @@ HINT = regex.compile(r"licen[sc]e|copyright|permission|warrant|redistribut|right
 END = regex.compile(r"(?i)(?<!license-identifier:)(?<=[.!?;:])\s+|\n\s*\n")
 MARKS = regex.compile(r"[^\p{L}\p{N}.+/\s-]|(?<=\s)[-/.]+(?=\s)")
 BLANKS = regex.compile(r"\s+")
-LINES = 12  # lines that a wrapped sentence without an end of its own may cover
+LINES = 12  # lines of the runs that are tried with every pattern; longer ones end where a pattern with an end of its own does
+KEPT = 4000  # characters of the sentences that are remembered
 
 
 def normalise(sentence: str) -> str:
@@ -104,15 +106,34 @@ class Scanner:
     def __post_init__(self):
         self.names = {name.lower(): name for name, _ in self.rules if "{" not in name}  # as an identifier may be written
         self.patterns = [(name, regex.compile(p)) for name, p in self.sentences]
+        closed = [(name, p) for name, p in self.sentences if not p.endswith(".*")]
+        self.closed = [(name, p.startswith(".*"), regex.compile(rf"(?<!\S)(?:{p.removeprefix('.*').replace('.*', '.*?')})(?!\S)")) for name, p in closed]
 
     def identify(self, sentence: str) -> tuple[str, dict] | None:
         text = normalise(sentence)
-        if text not in self.known:
+        if text in self.known:
+            return self.known[text]
+        found = ((name, m) for name, p in self.patterns if (m := p.fullmatch(text)))
+        got = next(((name, m.groupdict()) for name, m in found), None)
+        if len(text) < KEPT:
             if len(self.known) > 50_000:
                 self.known.clear()
-            found = ((name, m) for name, p in self.patterns if (m := p.fullmatch(text)))
-            self.known[text] = next(((name, m.groupdict()) for name, m in found), None)
-        return self.known[text]
+            self.known[text] = got
+        return got
+
+    def long_runs(self, lines: list[str]) -> dict[int, tuple[int, tuple[str, dict]]]:
+        """By first line the end and the sentence of runs of more than LINES lines."""
+        parts = [normalise(x) for x in lines]
+        kept = [i for i, x in enumerate(parts) if x]
+        ends = np.cumsum([len(parts[i]) + 1 for i in kept]) - 1
+        text, out = " ".join(parts[i] for i in kept), {}
+        for name, anywhere, p in self.closed:
+            for m in p.finditer(text):
+                first, last = (int(np.searchsorted(ends, at)) for at in (m.start() + 1, m.end()))
+                begins = anywhere or m.start() == (ends[first - 1] + 1 if first else 0)
+                if begins and ends[last] == m.end() and kept[last] - kept[first] >= LINES:
+                    out.setdefault(kept[first], (kept[last] + 1, (name, m.groupdict())))
+        return out
 
     def identifiers(self, text: str) -> list[tuple[str, dict]]:
         """Known sentences in order. Lines are tried one by one and in runs where a whole sentence is unknown."""
@@ -120,20 +141,23 @@ class Scanner:
         for sentence in END.split(text):
             if not HINT.search(sentence) and "\n" not in sentence and not sentence[:8].lower().startswith(("you may", "you shou", "see the")):
                 continue
-            if got := self.identify(sentence) if len(sentence) < 4000 else None:
+            if got := self.identify(sentence):
                 out.append(got)
                 continue
             lines = sentence.split("\n")
+            long_ = self.long_runs(lines) if len(lines) > LINES and HINT.search(sentence) else {}
             at = 0
             while len(lines) > 1 and at < len(lines):
                 for to in range(min(len(lines), at + LINES), at, -1):
                     part = "\n".join(lines[at:to])
-                    if len(part) < 4000 and HINT.search(part) and (got := self.identify(part)):
+                    if HINT.search(part) and (got := self.identify(part)):
                         out.append(got)
                         at = to
                         break
                 else:
-                    at += 1
+                    if at in long_:
+                        out.append(long_[at][1])
+                    at = long_[at][0] if at in long_ else at + 1
         return out
 
     def licences(self, found: list[tuple[str, dict]]) -> list[str]:

@@ -65,3 +65,15 @@ def test_rows(spark):
     got = licenses.scan(df).collect()
     assert sorted((r.doc_id or 0, r.n_sentences, r.licenses) for r in got) == [(0, 2, "MIT"), (1, 1, "MIT"), (1, 1, "MIT"), (2, 0, ""), (3, 1, "MIT")]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_long_sentences_and_narrow_wraps():
+    scanner = licenses.Scanner()
+    names = lambda text: [x[0] for x in scanner.identifiers(text)]
+    assert names("x " * 6000 + "dedicated to the public domain " + "y " * 100) == ["cc0"]
+    assert names("Copyright 2020 " + "z" * 10_000) == ["copyright"]
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, subject to the following conditions:"
+    words = grant.split()
+    wrapped = "\n".join(" ".join(words[i : i + 2]) for i in range(0, len(words), 2))
+    assert wrapped.count("\n") > 15
+    assert names("THE LICENCE\n" + wrapped + "\n\nother") == ["mitGrant"]

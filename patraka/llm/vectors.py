@@ -59,11 +59,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = own.where(usable(F.col("embedding")))
     reps = materialize(
-        good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("rep", F.coalesce("rep", F.lit(-1) - F.pmod(F.xxhash64("embedding"), F.lit(1 << 62))))
+        good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.min("vec_id").alias("real"), F.count("*").alias("copies")).withColumn("rep", F.coalesce("rep", F.lit(-1) - F.pmod(F.xxhash64("embedding"), F.lit(1 << 62))))
     )
     found = None
     for dim in [r[0] for r in reps.select(F.size("embedding")).distinct().collect()]:
-        part = compared(reps.where(F.size("embedding") == dim), dim, threshold, block)
+        part = compared(reps.drop("real").where(F.size("embedding") == dim), dim, threshold, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -73,10 +73,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     about = (
         reps.join(links, "rep", "left")
         .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        .select("embedding", "real", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
-    rows = own.join(about, "embedding", "left")
-    component = F.coalesce("component", "vec_id")
+    # A node made up for a vector without an id never names a component.
+    about = materialize(about)
+    lowest = about.groupBy("component").agg(F.min("real").alias("least"))
+    rows = own.join(about.join(lowest, "component").select("embedding", "links", "least"), "embedding", "left")
+    component = F.coalesce("least", "vec_id")
     return rows.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 

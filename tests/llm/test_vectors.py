@@ -127,3 +127,10 @@ def test_nearest_of_odd_rows(spark):
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in vectors.nearest(df).orderBy("query_id", "rank").collect()]
     assert got == [(50, 1, 10, 0.0), (50, 2, 11, 0.0), (50, 3, 12, 0.0), (50, 4, 13, 0.0), (50, 5, 15, 0.0), (100, 1, 14, 1.0)]
     assert vectors.nearest(df.limit(0)).count() == 0
+
+
+def test_null_id_between_two_others(spark):
+    at = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    rows = [(5, at(0.0)), (None, at(15.0)), (9, at(30.0)), (4, at(120.0)), (None, at(200.0))]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=lambda r: (r[0] or 0, r[2] or 0)) == [(None, 0, None, False), (None, 2, 5, False), (4, 0, 4, True), (5, 1, 5, True), (9, 1, 5, False)]

@@ -182,33 +182,36 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHAR
     ``share`` of the shard; their union is scored by cosine in double precision. The share is relative,
     so that recall does not fall as the table grows. Vectors that are null, empty, zero or have null or
     non-finite components take no part, as rows with a null vec_id; vectors of another length than the
-    query's are no candidates. Ties go to the smaller vec_id.
+    query's are no candidates. Ties go to the smaller vec_id. Rows alike count once; rows that share a vec_id but not
+    the embedding are each asked, and each a candidate, on their own.
     """
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).distinct()
     asked = own.where(F.col("vec_id") % every == 0)
     n, n_asked = own.count(), asked.count()
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(n_asked / QUERIES))
-    turn = F.xxhash64("vec_id", F.lit("shard"))
-    rows = own.select(F.size("embedding").alias("dim"), F.pmod(turn, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    asks = asked.select(F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(turn, F.lit(blocks)).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    turn, row = F.xxhash64("vec_id", F.lit("shard")), F.xxhash64("embedding").alias("row")
+    rows = own.select(F.size("embedding").alias("dim"), F.pmod(turn, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("asks"), "vec_id", row, "embedding")
+    asks = asked.select(F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(turn, F.lit(blocks)).alias("block"), F.lit(True).alias("asks"), "vec_id", row, "embedding")
 
     def run(t: pa.Table) -> pa.Table:
         is_query = t["asks"].to_numpy()
         x, ids = matrix(t["embedding"]), t["vec_id"].to_numpy()
-        return search(x[~is_query], ids[~is_query], x[is_query], ids[is_query], k, share, trees)
+        found = search(x[~is_query], ids[~is_query], x[is_query], ids[is_query], k, share, trees)
+        rows = t["row"].to_numpy()[is_query]
+        return found.append_column("row", pa.array(rows[found["asked"].to_numpy()], pa.int64())).drop_columns(["asked"])
 
-    found = rows.unionByName(asks).groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.unionByName(asks).groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double, row long")
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, share: float = SHARE, trees: int = TREES) -> pa.Table:
     """The ``k`` best candidates of each query among the rows of one shard."""
     if not len(x) or not len(q):
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "asked": pa.array([], pa.int64())})
     xn, qn = unit(x), unit(q)
     low, high, order = ascend(xn, qn, max(LEAST, int(share * len(x))), trees)
-    out_q, out_v, out_s = [], [], []
+    out_q, out_v, out_s, out_a = [], [], [], []
     for i in range(0, len(q), 128):
         mine = np.zeros((min(128, len(q) - i), len(x)), dtype=bool)
         for j, mask in enumerate(mine):
@@ -224,9 +227,10 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
             exact = np.where(np.isfinite(exact), exact, s[at])
             best = np.lexsort((ids[at], -exact))[:k]
             out_q.append(np.full(len(best), q_ids[i + j]))
+            out_a.append(np.full(len(best), i + j))
             out_v.append(ids[at][best])
             out_s.append(exact[best])
-    return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v).astype(np.int64), "score": np.concatenate(out_s)})
+    return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v).astype(np.int64), "score": np.concatenate(out_s), "asked": np.concatenate(out_a).astype(np.int64)})
 
 
 def ascend(xn: np.ndarray, qn: np.ndarray, most: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -134,3 +134,12 @@ def test_null_id_between_two_others(spark):
     rows = [(5, at(0.0)), (None, at(15.0)), (9, at(30.0)), (4, at(120.0)), (None, at(200.0))]
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=lambda r: (r[0] or 0, r[2] or 0)) == [(None, 0, None, False), (None, 2, 5, False), (4, 0, 4, True), (5, 1, 5, True), (9, 1, 5, False)]
+
+
+def test_repeated_query_rows_keep_their_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    kind = "vec_id long, embedding array<double>"
+    once = sorted(map(tuple, vectors.nearest(spark.createDataFrame(rows, kind)).collect()))
+    again = sorted(map(tuple, vectors.nearest(spark.createDataFrame(rows * 3, kind)).collect()))
+    assert once and again == once

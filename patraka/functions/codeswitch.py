@@ -25,13 +25,13 @@ def detections(words: Column, custom: dict[str, str] | None = None) -> Column:
     the first in the lexicon's order.
     """
     known = merged(custom)
-    exact = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    exact = lex.mapping(known)
     long_ = {k: i for i, k in enumerate(known) if len(k) > MOST_EXTRA}
-    place = F.create_map(*(F.lit(x) for pair in long_.items() for x in pair)) if long_ else F.create_map(F.lit(""), F.lit(0))
+    place = lex.mapping(long_ or {"": 0})
 
     def partial(clean: Column) -> Column:
         heads = F.transform(F.array(*map(F.lit, range(MOST_EXTRA + 1))), lambda k: F.substring(clean, F.lit(1), F.length(clean) - k))
-        found = F.filter(heads, lambda h: h.isin(*long_))
+        found = F.filter(heads, lambda h: lex.among(h, long_))
         return F.array_min(F.transform(found, lambda h: F.struct(F.element_at(place, h).alias("ord"), h.alias("head"))))["head"]
 
     def found(english: Column, method: str, confidence: str) -> Column:
@@ -42,7 +42,7 @@ def detections(words: Column, custom: dict[str, str] | None = None) -> Column:
         return (
             F.when(clean == "", None)
             .when(has_latin(clean), found(F.lower(clean), "latin_script", "high"))
-            .when(clean.isin(*known), found(F.element_at(exact, clean), "lookup_table", "high"))
+            .when(lex.among(clean, known), found(F.element_at(exact, clean), "lookup_table", "high"))
             .when(F.length(clean) > MOST_EXTRA, found(variant, "partial_match", "medium"))
         )
 
@@ -83,3 +83,8 @@ def cleanup(df: DataFrame, text: str, keep_idioms: bool = True) -> DataFrame:
     df = df.withColumn("__converted", converted(split(F.col(text)), keep_idioms))
     df = df.withColumns({"numbers_normalized": F.array_join("__converted.words", " "), "number_notes": F.col("__converted.notes")}).drop("__converted")
     return analyze(df, "numbers_normalized")
+
+
+def with_english(df: DataFrame) -> DataFrame:
+    """Rows of ``analyze`` in which English words were found."""
+    return df.where(F.col("english_word_count") > 0)

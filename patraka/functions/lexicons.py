@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from functools import cache
 from itertools import product
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Results depend on these words, numbers and patterns and on their order.
 
 NUMERALS = {
@@ -184,3 +188,30 @@ def loanwords() -> dict[str, str]:
 
 def affixes(kind: str) -> tuple[str, ...]:
     return {"suffix": SUFFIXES, "prefix": PREFIXES}[kind]
+
+
+def quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def among(value: Column, words: Iterable[str]) -> Column:
+    """Whether a value is one of the words, which Spark hashes; the whole set is parsed in one call."""
+    words = sorted(set(words))
+    return F.call_function("exists", F.array(value), F.expr(f"w -> w in ({', '.join(map(quoted, words))})")) if words else F.lit(False)
+
+
+def mapping(values: Mapping[str, str | int]) -> Column:
+    """A map literal, parsed in one call."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v) if isinstance(v, str) else v}" for k, v in values.items()) + ")")
+
+
+def resource(path: str) -> tuple[tuple[str, str | None], ...]:
+    """Ordered ``(key, value)`` entries of a text file with ``ord<TAB>key[<TAB>value]`` on a line, by ord; a key counts once.
+
+    For loanwords (``dict(resource(path))``), affixes and vocabularies (the keys); ``ord`` decides ties.
+    """
+    rows = [line.split("\t") for line in Path(path).read_text(encoding="utf-8").splitlines() if line.strip()]
+    out: dict[str, str | None] = {}
+    for row in sorted(rows, key=lambda r: int(r[0])):
+        out.setdefault(row[1], row[2] if len(row) > 2 else None)
+    return tuple(out.items())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patraka.functions import lexicons as lex
@@ -17,9 +17,8 @@ NOTES = "array<struct<original:string,converted:string,type:string>>"
 def number_value(word: Column) -> Column:
     """The value of one number word, or null."""
     word = F.trim(word)
-    known = F.create_map(*(F.lit(x) for pair in lex.numerals().items() for x in pair))
     # the map is searched only for words of the set, which is hashed
-    return F.when(word.isin(*lex.numerals()), F.element_at(known, word)).cast("long")
+    return F.when(lex.among(word, lex.numerals()), F.element_at(lex.mapping(lex.numerals()), word)).cast("long")
 
 
 def idiomatic(words: Column, i: Column) -> Column:
@@ -82,3 +81,8 @@ def converted(words: Column, keep_idioms: bool = True) -> Column:
 def to_digits(text: Column, keep_idioms: bool = True) -> Column:
     """The text with numbers as digits, words joined by single blanks."""
     return F.array_join(converted(split(text), keep_idioms)["words"], " ")
+
+
+def with_notes(df: DataFrame, kind: str, notes: str = "number_notes") -> DataFrame:
+    """Rows with a note of the kind, ``number_conversion`` or ``preserved_idiom``."""
+    return df.where(F.exists(notes, lambda n: n["type"] == kind))

@@ -1,16 +1,24 @@
-"""Edit distances and word error rates without Python.
+"""Edit distances and word error rates.
 
 Words of a pair are numbered by first appearance and each becomes one character, so that the built-in
-``levenshtein`` compares word sequences inside generated code.
+``levenshtein`` compares word sequences inside generated code. Distances to lattices run in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from patraka.functions import edits
+from patraka.functions.numbers import bind
+
+FEW_SYMBOLS = 94  # places whose symbols are single bytes, from the blank on
 FIRST_SYMBOL = 0x3400
-MOST_SYMBOLS = 0xD800 - FIRST_SYMBOL - 1
+SURROGATES = (0xD800, 0xE000)  # code points that stand for no character
+MOST_SYMBOLS = 0x110000 - FIRST_SYMBOL - (SURROGATES[1] - SURROGATES[0])
 
 
 def normalized_distance(a: Column, b: Column) -> Column:
@@ -19,19 +27,26 @@ def normalized_distance(a: Column, b: Column) -> Column:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edits between two word arrays; null beyond MOST_SYMBOLS distinct words in a pair."""
-    words = F.array_distinct(F.concat(ref, hyp))
+    """Edits between two word arrays; an error is raised beyond MOST_SYMBOLS (about a million) distinct words in a pair."""
+
+    def symbol(place: Column) -> Column:
+        code = place + F.lit(FIRST_SYMBOL - 1)
+        code = F.when(code < SURROGATES[0], code).otherwise(code + (SURROGATES[1] - SURROGATES[0]))
+        return F.when(place <= FEW_SYMBOLS, F.char(place + 31)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    def symbols(seq: Column) -> Column:
-        at = F.transform(seq, lambda w: F.array_position(words, w))
-        return F.array_join(F.transform(at, lambda p: F.decode(F.unhex(F.hex(p + F.lit(FIRST_SYMBOL))), "UTF-16BE")), "")
+    def symbols(seq: Column, words: Column) -> Column:
+        return F.array_join(F.transform(F.transform(seq, lambda w: F.array_position(words, w)), symbol), "")
 
-    return F.when(F.size(words) <= MOST_SYMBOLS, F.levenshtein(symbols(ref), symbols(hyp)).cast("long"))
+    too_many = F.raise_error(F.lit(f"a pair with more than {MOST_SYMBOLS} distinct words")).cast("long")
+    return bind(
+        F.array_distinct(F.concat(ref, hyp)),
+        lambda words: F.when(F.size(words) > MOST_SYMBOLS, too_many).otherwise(F.levenshtein(symbols(ref, words), symbols(hyp, words)).cast("long")),
+    )
 
 
 def standard_wer(ref: Column, errors: Column) -> Column:
-    """Errors by reference word; an empty reference counts as 0 whatever was inserted."""
-    return F.coalesce(F.try_divide(errors, F.size(ref)), F.lit(0.0))
+    """Errors by reference word; an empty reference counts as 0 whatever was inserted, an unknown number of errors stays unknown."""
+    return F.when(F.size(ref) == 0, 0.0).otherwise(errors / F.size(ref))
 
 
 def sentence_wer(ref: Column, errors: Column) -> Column:
@@ -40,27 +55,29 @@ def sentence_wer(ref: Column, errors: Column) -> Column:
 
 
 def lattice_errors(lattice: Column, hyp: Column, free: Column | None = None) -> Column:
-    """Least edits between a lattice (arrays of alternatives) and words, by a fold that keeps one row.
+    """Least edits between a lattice (arrays of alternatives) and words; null if either is.
 
     ``free``: booleans of bins that may be skipped at no cost, an extension; by default none.
     """
-    m = F.size(lattice)
-    skip = (lambda i: F.when(F.get(free, i), 0).otherwise(1)) if free is not None else (lambda i: F.lit(1))
-    places = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    first = F.aggregate(places, F.array(F.lit(0)), lambda row, i: F.concat(row, F.array((F.element_at(row, -1) + skip(i)).cast("int"))))
-
-    def next_row(prev: Column, w: Column) -> Column:
-        def cell(row: Column, i: Column) -> Column:
-            same = F.when(F.array_contains(F.get(lattice, i), w), 0).otherwise(1)
-            return F.concat(row, F.array(F.least(F.get(prev, i) + same, F.element_at(row, -1) + skip(i), F.get(prev, i + 1) + 1).cast("int")))
 
-        return F.aggregate(places, F.array((F.get(prev, F.lit(0)) + 1).cast("int")), cell)
+    @F.arrow_udf("long")
+    def count(lattices: pa.Array, hyps: pa.Array, free: pa.Array) -> pa.Array:
+        known = pa.compute.and_(lattices.is_valid(), hyps.is_valid())
+        # the words of a hypothesis are numbered with those of its lattice, as its last bin
+        both = [[*(x or []), h or []] for x, h in zip(lattices.to_pylist(), hyps.to_pylist())]
+        held = edits.Sequences(pa.array(both, pa.list_(pa.list_(pa.string())))).rows
+        skip = [[1 - bool(x) for x in r] if r else [1] * (len(rows) - 1) for r, rows in zip(free.to_pylist(), held)]
+        out = np.zeros(len(held), dtype=np.int64)
+        for own in edits.parts(edits.sizes_of(held)):
+            out[own] = edits.through([held[i][:-1] for i in own], [held[i][-1] for i in own], [skip[i] for i in own])
+        return pa.compute.if_else(known, pa.array(out), pa.scalar(None, pa.int64()))
 
-    return F.aggregate(hyp, first, next_row, lambda r: F.element_at(r, -1)).cast("long")
+    return count(lattice, hyp, F.lit(None).cast("array<boolean>") if free is None else free)
 
 
 def lattice_wer(lattice: Column, errors: Column) -> Column:
-    return F.coalesce(F.try_divide(errors, F.size(lattice)), F.lit(0.0))
+    """Errors by bin; a lattice without bins counts as 0, an unknown number of errors stays unknown."""
+    return F.when(F.size(lattice) == 0, 0.0).otherwise(errors / F.size(lattice))
 
 
 def lattice_text(lattice: Column) -> Column:

@@ -1,7 +1,8 @@
 """Alignment of word sequences into lattices of alternatives.
 
-The traceback and the progressive merge are sequential, so that they run in Arrow batches in Python; all
-else about lattices is column expressions in ``patraka.functions.wer``.
+The traceback and the progressive merge are sequential, so that they run in Arrow batches: tables of many
+rows are filled together (``patraka.functions.edits``), and error rates are measured in the same pass.
+``align_pair`` and ``align_all`` state the rules for one row.
 """
 
 from __future__ import annotations
@@ -11,36 +12,27 @@ from collections.abc import Callable, Iterable, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GAP = 1.0
-TOGETHER = 256  # rows whose word distances are computed at once
-LONG = 32  # letters beyond which a word's distances are computed one by one
-
+from patraka.functions import edits
+from patraka.functions.edits import LEFT, UP, Sequences, Words, distance
 
-def distance(a: str, b: str) -> float:
-    """Levenshtein distance by the longer length."""
-    if a == b:
-        return 0.0
-    if not a or not b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1] / max(len(a), len(b))
+GAP = 1.0
+RATED = "struct<lattice:array<array<string>>,errors:array<long>,lattice_errors:array<long>>"
 
 
 class Distances(dict):
     """Distances of pairs of words; those within groups are computed together, others when asked for."""
 
     def __init__(self, groups: Iterable[Iterable[str]] = ()):
-        pairs = {p for words in groups for p in combinations(sorted(set(words)), 2)}
-        short = [p for p in pairs if p[0] and max(map(len, p)) <= LONG]
-        for (a, b), d in zip(short, together(short)):
+        groups = [sorted(set(g)) for g in groups]
+        words = sorted({w for g in groups for w in g})
+        number = {w: i for i, w in enumerate(words)}
+        pairs = sorted({p for g in groups for p in combinations(g, 2)})
+        got = Words(words).distances(np.array([number[a] for a, _ in pairs], dtype=np.int64), np.array([number[b] for _, b in pairs], dtype=np.int64))
+        for (a, b), d in zip(pairs, got.tolist()):
             self[a, b] = self[b, a] = d
 
     def __missing__(self, pair: tuple[str, str]) -> float:
@@ -48,30 +40,6 @@ class Distances(dict):
         return got
 
 
-def together(pairs: Sequence[tuple[str, str]]) -> list[float]:
-    """Normalized distances of pairs of words that aren't empty: one table whose cells are arrays over all pairs."""
-    out = np.zeros(len(pairs))
-    sizes = np.array([(len(a), len(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
-    order = np.lexsort((sizes[:, 1], sizes[:, 0]))
-    for k in range(0, len(order), 1 << 14):  # pairs of about the same lengths side by side
-        own = order[k : k + (1 << 14)]
-        m, n = sizes[own].max(axis=0)
-        a, b = (np.array([pairs[i][side] for i in own], dtype=f"U{w}").view(np.uint32).reshape(len(own), w) for side, w in ((0, m), (1, n)))
-        row = np.repeat(np.arange(n + 1, dtype=np.int16)[:, None], len(own), axis=1)
-        last = np.zeros(len(own), dtype=np.int64)
-        for i in range(1, m + 1):
-            before, row = row, np.empty_like(row)
-            row[0] = i
-            for j in range(1, n + 1):
-                np.minimum(before[j], row[j - 1], out=row[j])
-                row[j] += 1
-                np.minimum(row[j], before[j - 1] + (a[:, i - 1] != b[:, j - 1]), out=row[j])
-            done = sizes[own, 0] == i
-            last[done] = row[sizes[own, 1], np.arange(len(own))][done]
-        out[own] = last / sizes[own].max(axis=1)
-    return out.tolist()
-
-
 def align_pair(first: Sequence[str], second: Sequence[str], gap: float = GAP, known: Distances | None = None) -> list[tuple[str | None, str | None]]:
     """Least-cost global alignment; among equals a pair, then a gap in the second, then one in the first."""
     m, n = len(first), len(second)
@@ -88,7 +56,7 @@ def align_pair(first: Sequence[str], second: Sequence[str], gap: float = GAP, kn
         if i and j and best[i][j] == best[i - 1][j - 1] + costs[i - 1][j - 1]:
             i, j = i - 1, j - 1
             out.append((first[i], second[j]))
-        elif i and best[i][j] == best[i - 1][j] + gap:
+        elif i and (not j or best[i][j] == best[i - 1][j] + gap):
             i -= 1
             out.append((first[i], None))
         else:
@@ -97,6 +65,38 @@ def align_pair(first: Sequence[str], second: Sequence[str], gap: float = GAP, kn
     return out[::-1]
 
 
+def majority(row: Sequence) -> object:
+    """The most frequent entry that is no gap (None), the earliest among equals."""
+    own = first(row)
+    if 2 * row.count(own) >= len(row):
+        return own
+    return Counter(w for w in row if w is not None).most_common(1)[0][0]
+
+
+def merge(rows: list[list], steps: Iterable[tuple], k: int, anchored: bool) -> list[list]:
+    """Positions of ``k`` sequences with one sequence more, aligned to their majorities by ``steps``; ``rows`` are grown in place."""
+    merged, at, n = [], 0, len(rows)
+    for old, new in steps:
+        if old is None:
+            merged.append([None] * k + [new])
+            continue
+        while at < n:
+            row, at = rows[at], at + 1
+            merged.append(row)
+            if anchored or first(row) == old:
+                row.append(new)
+                break
+            row.append(None)
+    for row in rows[at:]:
+        row.append(None)
+    return merged + rows[at:]
+
+
+def first(row: Sequence) -> object:
+    """The first entry that is no gap."""
+    return row[0] if row[0] is not None else next(w for w in row if w is not None)
+
+
 def align_all(sequences: Sequence[Sequence[str]], anchored: bool = False, known: Distances | None = None) -> list[list[str | None]]:
     """Progressive alignment to the first sequence; one row for each position, one entry for each sequence.
 
@@ -107,51 +107,91 @@ def align_all(sequences: Sequence[Sequence[str]], anchored: bool = False, known:
         return []
     rows: list[list[str | None]] = [[w] for w in sequences[0]]
     for k, sequence in enumerate(sequences[1:], 1):
-        majority = [Counter(w for w in row if w is not None).most_common(1)[0][0] for row in rows]
-        merged, at = [], 0
-        for old, new in align_pair(majority, sequence, known=known):
-            if old is None:
-                merged.append([None] * k + [new])
-                continue
-            while at < len(rows):
-                row, at = rows[at], at + 1
-                if anchored or next(w for w in row if w is not None) == old:
-                    merged.append([*row, new])
-                    break
-                merged.append([*row, None])
-        merged += [[*row, None] for row in rows[at:]]
-        rows = merged
+        rows = merge(rows, align_pair([majority(row) for row in rows], sequence, known=known), k, anchored)
     return rows
 
 
-def bins(rows: Iterable[Sequence[str | None]], min_support: int = 1) -> list[list[str]]:
+def bins(rows: Iterable[Sequence], min_support: int = 1, order: Callable | None = None) -> list[list]:
     """Alternatives of each position, sorted; ``min_support`` (an extension) asks for so many sequences, the first excepted."""
     out = []
     for row in rows:
-        count = Counter(w for w in row if w)
-        kept = sorted(w for w, n in count.items() if n >= min_support or w == row[0])
+        kept = {w for w in row if w is not None and w != ""}
+        if min_support > 1:
+            kept = {w for w in kept if w == row[0] or row.count(w) >= min_support}
         if kept:
-            out.append(kept)
+            out.append(sorted(kept, key=order) if len(kept) > 1 else [*kept])
     return out
 
 
-def by_parts(rows: list, words: Callable, align: Callable) -> list:
-    """``align`` of each row, with the distances of its ``words`` known; a part of the rows at a time."""
-    out: list = []
-    for k in range(0, len(rows), TOGETHER):
-        part = rows[k : k + TOGETHER]
-        known = Distances(map(words, part))
-        out += [align(r, known) for r in part]
+def _steps(first: Sequence[int], second: Sequence[int], path: np.ndarray) -> list[tuple]:
+    out, i, j = [], 0, 0
+    for step in path.tolist():
+        out.append((first[i] if step != LEFT else None, second[j] if step != UP else None))
+        i, j = i + (step != LEFT), j + (step != UP)
     return out
 
 
+def _lattices(rows: list[list[np.ndarray]], words: Words, rank: dict[int, int], empty: int, anchored: bool, min_support: int) -> list[list[list[int]]]:
+    """Lattices, in word numbers, of rows of sequences whose tables are filled together."""
+    table, word, places = words.within([np.concatenate(r) if r else np.empty(0, np.int64) for r in rows])
+    cut = [np.split(p, np.cumsum([len(s) for s in r])[:-1]) if r else [] for p, r in zip(places, rows)]
+    held: list[list[list]] = [[[w] for w in c[0].tolist()] if c else [] for c in cut]
+    for k in range(1, max(map(len, rows), default=0)):
+        go = [i for i, c in enumerate(cut) if k < len(c)]
+        said = [[majority(row) for row in held[i]] for i in go]
+        paths = edits.aligned([np.array(s, dtype=np.int64) for s in said], [cut[i][k] for i in go], table[go], GAP)
+        for i, s, path in zip(go, said, paths):
+            held[i] = merge(held[i], _steps(s, cut[i][k].tolist(), path), k, anchored)
+    if empty >= 0:
+        held = [[[None if w is None or of[w] == empty else w for w in row] for row in r] for r, of in zip(held, word)]
+    return [[[of[w] for w in b] for b in bins(r, min_support, lambda w, of=of: rank[of[w]])] for r, of in zip(held, word)]
+
+
+def _built(column: pa.Array, anchored: bool, min_support: int) -> tuple[Sequences, list[list[list[int]]]]:
+    held = Sequences(column)
+    words = Words(held.words)
+    rank = {w: i for i, w in enumerate(sorted(range(len(held.words)), key=held.words.__getitem__))}
+    empty = held.words.index("") if "" in held.words else -1
+    out: list = [[]] * len(held.rows)
+    for own in edits.parts(np.array([sum(map(len, r)) ** 2 for r in held.rows], dtype=np.int64)):
+        for i, got in zip(own.tolist(), _lattices([held.rows[i] for i in own], words, rank, empty, anchored, min_support)):
+            out[i] = got
+    return held, out
+
+
 def lattice(sequences: Column, anchored: bool = False, min_support: int = 1) -> Column:
     """``array<array<string>>`` of bins from an array of word arrays, the reference first."""
 
-    @F.pandas_udf("array<array<string>>")
-    def build(column: pd.Series) -> pd.Series:
-        rows = [[list(x) for x in s] for s in column]
-        return pd.Series(by_parts(rows, lambda r: (w for x in r for w in x), lambda r, known: bins(align_all(r, anchored, known), min_support)))
+    @F.arrow_udf("array<array<string>>")
+    def build(column: pa.Array) -> pa.Array:
+        held, out = _built(column, anchored, min_support)
+        return edits.nested(out, held.words)
+
+    return build(sequences)
+
+
+def rated(sequences: Column, anchored: bool = False, min_support: int = 1, epsilon_bins: bool = False) -> Column:
+    """``struct<lattice, errors, lattice_errors>`` from an array of word arrays, the reference first, in one pass.
+
+    The latter two have an entry for each sequence but the reference: its word edits against the reference and
+    against the lattice. ``epsilon_bins`` (an extension): bins without a word of the reference may be left out
+    at no cost.
+    """
+
+    @F.arrow_udf(RATED)
+    def build(column: pa.Array) -> pa.Array:
+        held, lattices = _built(column, anchored, min_support)
+        ends = pa.array(np.r_[0, np.cumsum([max(len(r) - 1, 0) for r in held.rows])].astype(np.int32))
+        said = [s for r in held.rows for s in r[1:]]
+        owner = [i for i, r in enumerate(held.rows) for _ in r[1:]]
+        free = [[int(not own.isdisjoint(b)) for b in x] for own, x in zip((set(r[0].tolist()) if r else set() for r in held.rows), lattices)] if epsilon_bins else None
+        plain, folded = np.zeros(len(said), dtype=np.int64), np.zeros(len(said), dtype=np.int64)
+        for own in edits.parts(np.array([(len(s) + 1) * (len(lattices[i]) + 1) for s, i in zip(said, owner)], dtype=np.int64)):
+            of, hyps = [owner[k] for k in own], [said[k] for k in own]
+            plain[own] = edits.through([[(w,) for w in held.rows[i][0].tolist()] for i in of], hyps)
+            folded[own] = edits.through([lattices[i] for i in of], hyps, None if free is None else [free[i] for i in of])
+        each = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (plain, folded))
+        return pa.StructArray.from_arrays([edits.nested(lattices, held.words), *each], ["lattice", "errors", "lattice_errors"])
 
     return build(sequences)
 
@@ -159,9 +199,25 @@ def lattice(sequences: Column, anchored: bool = False, min_support: int = 1) ->
 def pairs(first: Column, second: Column, gap: float = GAP) -> Column:
     """``array<struct<a, b>>``: the pairwise alignment, gaps as nulls."""
 
-    @F.pandas_udf("array<struct<a:string,b:string>>")
-    def build(a: pd.Series, b: pd.Series) -> pd.Series:
-        rows = [(list(p), list(q)) for p, q in zip(a, b)]
-        return pd.Series(by_parts(rows, lambda r: r[0] + r[1], lambda r, known: [{"a": x, "b": y} for x, y in align_pair(*r, gap, known)]))
-
-    return build(first, second)
+    @F.arrow_udf("array<struct<a:string,b:string>>")
+    def build(column: pa.Array) -> pa.Array:
+        held = Sequences(column)
+        words, paths = Words(held.words), [np.empty(0, np.uint8)] * len(held.rows)
+        for own in edits.parts(np.array([sum(map(len, r)) ** 2 for r in held.rows], dtype=np.int64)):
+            rows = [held.rows[i] for i in own]
+            table, _, places = words.within([np.concatenate(r) for r in rows])
+            got = edits.aligned([p[: len(r[0])] for p, r in zip(places, rows)], [p[len(r[0]) :] for p, r in zip(places, rows)], table, gap)
+            for i, path in zip(own.tolist(), got):
+                paths[i] = path
+        steps = np.concatenate(paths) if paths else np.empty(0, np.uint8)
+        texts = pa.array(held.words, pa.string())
+
+        def side(k: int, skipped: int) -> pa.Array:
+            index, stands = np.zeros(len(steps), dtype=np.int64), steps != skipped
+            index[stands] = np.concatenate([r[k] for r in held.rows]) if held.rows else []
+            return texts.take(pa.array(index, mask=~stands))
+
+        ends = pa.array(np.r_[0, np.cumsum([len(p) for p in paths])].astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([side(0, LEFT), side(1, UP)], ["a", "b"]))
+
+    return build(F.array(first, second))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patraka.functions import wer
@@ -23,19 +23,32 @@ def long(rows: DataFrame, models: Sequence[str], carry: Sequence[str]) -> DataFr
     return rows.select(*carry, F.explode(each).alias("__x")).select(*carry, "__x.model", "__x.hyp")
 
 
+def rates(rows: DataFrame, human: str, lattice: str, errors: Column, lattice_errors: Column) -> DataFrame:
+    """Add ``standard_wer``, ``lattice_wer``, ``wer_reduction`` and ``ref_length``."""
+    rows = rows.withColumns({"standard_wer": wer.standard_wer(F.col(human), errors), "lattice_wer": wer.lattice_wer(F.col(lattice), lattice_errors)})
+    return rows.withColumns({"wer_reduction": F.col("standard_wer") - F.col("lattice_wer"), "ref_length": F.size(human).cast("long")})
+
+
 def rated(rows: DataFrame, human: str = "human", lattice: str = "lattice", epsilon_bins: bool = False) -> DataFrame:
-    """Add ``standard_wer``, ``lattice_wer``, ``wer_reduction`` and ``ref_length`` to rows with ``hyp``.
+    """``rates`` of rows with a lattice of their own and ``hyp``.
 
     ``epsilon_bins`` (an extension): bins without a word of the reference may be skipped at no cost.
     """
     free = F.transform(lattice, lambda b: ~F.arrays_overlap(b, F.col(human))) if epsilon_bins else None
-    rows = rows.withColumns(
-        {
-            "standard_wer": wer.standard_wer(F.col(human), wer.word_distance(F.col(human), F.col("hyp"))),
-            "lattice_wer": wer.lattice_wer(F.col(lattice), wer.lattice_errors(F.col(lattice), F.col("hyp"), free)),
-        }
-    )
-    return rows.withColumns({"wer_reduction": F.col("standard_wer") - F.col("lattice_wer"), "ref_length": F.size(human).cast("long")})
+    return rates(rows, human, lattice, wer.word_distance(F.col(human), F.col("hyp")), wer.lattice_errors(F.col(lattice), F.col("hyp"), free))
+
+
+def aligned_rates(rows: DataFrame, human: str, models: Sequence[str], carry: Sequence[str], anchored: bool = False, min_support: int = 1, epsilon_bins: bool = False) -> DataFrame:
+    """One row for each row and model: ``carry``, ``model``, ``hyp`` and the ``rates`` against the lattice of the reference and all models.
+
+    Lattices and edits come from one Arrow pass over the rows, before the models become rows. The rows should be
+    spread over tasks by then, as alignment is the costly part.
+    """
+    sequences = F.array(F.col(f"`{human}`"), *(F.col(f"`{m}`") for m in models))
+    rows = rows.withColumn("__r", align.rated(sequences, anchored, min_support, epsilon_bins))
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"`{m}`").alias("hyp"), F.col("__r.errors")[i].alias("e"), F.col("__r.lattice_errors")[i].alias("l")) for i, m in enumerate(models)))
+    rows = rows.select(*carry, F.col(f"`{human}`").alias("__human"), F.col("__r.lattice").alias("__lattice"), F.explode(each).alias("__x")).select(*carry, "__human", "__lattice", "__x.*")
+    return rates(rows, "__human", "__lattice", F.col("e"), F.col("l")).drop("__human", "__lattice", "e", "l")
 
 
 def evaluate(
@@ -44,14 +57,13 @@ def evaluate(
     """``(segment_idx, model, standard_wer, lattice_wer, wer_reduction, ref_length)`` from a wide table of outputs.
 
     ``models``: by default every column but the key, the reference and the index. ``drop_empty`` leaves out
-    outputs that are null (such as a trailing column without a name). The lattices are made once for each
-    segment, before the models become rows.
+    outputs that are null (such as a trailing column without a name). Segments are dealt to tasks by their
+    index first: a file of outputs is read by one task.
     """
     models = list(models or [c for c in wide.columns if c not in (human, key, "segment_idx")])
-    rows = worded(wide, human, models).withColumn("__lattice", align.lattice(F.array(F.col(f"`{human}`"), *(F.col(f"`{m}`") for m in models)), anchored, min_support))
-    rows = long(rows.withColumnRenamed(human, "__human"), models, ["segment_idx", "__human", "__lattice"])
+    rows = aligned_rates(worded(wide.repartition("segment_idx"), human, models), human, models, ["segment_idx"], anchored, min_support, epsilon_bins)
     rows = rows.where(F.size("hyp") > 0) if drop_empty else rows
-    return rated(rows, "__human", "__lattice", epsilon_bins).select("segment_idx", "model", "standard_wer", "lattice_wer", "wer_reduction", "ref_length")
+    return rows.select("segment_idx", "model", "standard_wer", "lattice_wer", "wer_reduction", "ref_length")
 
 
 def summary(detail: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from patraka.functions.numbers import bind
 from patraka.functions.text import squeeze_ends
+from patraka.functions.wer import half_even
 
 LINKS = ("rec_url_gcp", "transcription_url_gcp", "metadata_url_gcp")
 SEGMENT = "struct<start_time:double,end_time:double,text:string>"
@@ -124,10 +126,23 @@ def without_outliers(df: DataFrame, low: float = 1.0, high: float = 25.0, least_
     return kept.join(F.broadcast(stats)).where(near).drop("__mean", "__dev")
 
 
+def outlier_report(df: DataFrame, **bounds) -> DataFrame:
+    """One row: ``n_before``, ``n_after``, ``n_removed`` and ``removed_pct`` (one digit) of ``without_outliers``."""
+    after = without_outliers(df, **bounds).agg(F.count("*").alias("n_after"))
+    row = df.agg(F.count("*").alias("n_before")).join(F.broadcast(after))  # one row each
+    removed = F.col("n_before") - F.col("n_after")
+    return row.select("n_before", "n_after", removed.alias("n_removed"), half_even(removed * 100.0 / F.greatest("n_before", F.lit(1)), 1).alias("removed_pct"))
+
+
+def input_lengths(df: DataFrame, column: str = "input_features") -> DataFrame:
+    """Add ``input_length``: entries of an array, or of the first one of an array of arrays; for batches of about the same length."""
+    kind = df.schema[column].dataType
+    inner = F.get(F.col(column), F.lit(0)) if isinstance(kind.elementType, ArrayType) else F.col(column)
+    return df.withColumn("input_length", F.size(inner).cast("long"))
+
+
 def dataset_statistics(df: DataFrame) -> DataFrame:
     """One row about ``df(user_id, duration)``: counts, total seconds and hours, mean, least and most."""
-    from patraka.functions.wer import half_even
-
     total = F.sum("duration")
     return df.agg(
         F.count("*").alias("num_recordings"),

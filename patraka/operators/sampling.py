@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HEAD = 4  # characters by which words of one count are grouped for their ranks
 BANDS = (("Very Low", 0.0, 0.1), ("Low", 0.1, 0.3), ("Medium", 0.3, 0.5), ("High", 0.5, 0.8), ("Very High", 0.8, float("inf")))
 
 
@@ -47,3 +48,17 @@ def grouped_split(df: DataFrame, group: str, ratio: float = 0.9, seed: int = 42)
     split = F.when(F.col("__b") + F.col("__i") <= F.floor(F.col("__n") * ratio), "train").otherwise("val")
     named = ranked.select("__g", split.alias("split"))
     return df.join(named, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def frequency_ranks(counted: DataFrame) -> DataFrame:
+    """``(rank, word, n)`` of ``counted(word, n)``: ranks from 1, the most frequent first, ties by code point.
+
+    Ranks are exact without one task for all words: words of one count that begin alike are counted first.
+    """
+    head = F.substring("word", 1, HEAD)
+    groups = counted.groupBy("n", head.alias("__h")).agg(F.count("*").alias("__c"))
+    before = groups.select(F.col("n").alias("__n"), "__h", (F.sum("__c").over(Window.orderBy(F.desc("n"), "__h")) - F.col("__c")).alias("__b"))
+    inside = F.row_number().over(Window.partitionBy("n", "__h").orderBy("word"))
+    own = counted.withColumn("__h", head).withColumn("__i", inside)
+    met = own.join(before.withColumnRenamed("__h", "__g"), F.col("__h").eqNullSafe(F.col("__g")) & (F.col("n") == F.col("__n")))
+    return met.select((F.col("__b") + F.col("__i")).alias("rank"), "word", "n")

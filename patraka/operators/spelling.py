@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patraka.functions import lexicons as lex
 from patraka.functions import text as T
 from patraka.functions.numbers import bind
+from patraka.functions.wer import half_even
+from patraka.sources import tables
 
 LAYERS = (
     ("punctuation", "correct", "high"),
@@ -109,7 +111,7 @@ def classify(words: DataFrame, column: str = "word", dictionary: Iterable[str] |
     vocabulary = {*(lex.vocabulary() if core is None else core), *(dictionary or ())}
     word = F.coalesce(F.col(column), F.lit("nan"))
     clean = T.strip_marks(word)
-    known = lambda c: c.isin(*vocabulary)  # noqa: E731  a hashed set of literals
+    known = lambda c: lex.among(c, vocabulary)
 
     def decide(w: Column, c: Column) -> Column:
         def verdict(layer: str, reason: Column | None = None) -> Column:
@@ -121,7 +123,7 @@ def classify(words: DataFrame, column: str = "word", dictionary: Iterable[str] |
         cheap = (
             F.when(c == "", verdict("punctuation"))
             .when(known(c), verdict("dictionary"))
-            .when(c.isin(*lex.loanwords()), verdict("english_transliteration"))
+            .when(lex.among(c, lex.loanwords()), verdict("english_transliteration"))
             .when(~T.sound_structure(c), verdict("structure_invalid"))
             .when(T.has_marks(c), verdict("mixed_content"))
             .when(T.has_latin(c), verdict("mixed_script"))
@@ -135,7 +137,7 @@ def classify(words: DataFrame, column: str = "word", dictionary: Iterable[str] |
             valid = F.size(F.filter(parts, lambda p: known(p) | known(T.strip_marks(p))))
             return (
                 F.when(T.english_ending(c) & pure, verdict("english_pattern"))
-                .when(c.isin(*lex.numerals()), verdict("number"))
+                .when(lex.among(c, lex.numerals()), verdict("number"))
                 .when(nukta.isNotNull(), verdict("nukta_variant", F.concat(F.lit('Variant of "'), nukta, F.lit('"'))))
                 .when(T.joined(w) & (valid >= F.size(parts) * 0.5), verdict("compound", F.concat(valid.cast("string"), F.lit(" of "), F.size(parts).cast("string"), F.lit(" parts known"))))
                 .when((F.length(c) == 1) & c.rlike(SIGNS), verdict("single_char"))
@@ -158,3 +160,29 @@ def summary(verdicts: DataFrame) -> DataFrame:
     sets = verdicts.groupingSets([[], [F.col("classification")], [F.col("confidence")], [F.col("layer")]], "classification", "confidence", "layer").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     kind = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "classification").when(F.col("g") == 5, "confidence").otherwise("layer")
     return sets.select(kind.alias("kind"), F.coalesce("classification", "confidence", "layer", F.lit("all")).alias("value"), "n")
+
+
+def totals(verdicts: DataFrame) -> DataFrame:
+    """One row: ``total_words``, ``correct_spelling``, ``incorrect_spelling``, ``correct_pct`` (two digits, 0 without words) and the counts by ``confidence_breakdown`` and ``layer_breakdown`` as maps."""
+    each = summary(verdicts)
+    n = lambda kind, value: F.coalesce(F.max(F.when((F.col("kind") == kind) & (F.col("value") == value), F.col("n"))), F.lit(0).cast("long"))
+    counts = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("value", "n")))))
+    row = each.agg(
+        n("total", "all").alias("total_words"),
+        n("classification", "correct").alias("correct_spelling"),
+        n("classification", "incorrect").alias("incorrect_spelling"),
+        counts("confidence").alias("confidence_breakdown"),
+        counts("layer").alias("layer_breakdown"),
+    )
+    share = half_even(F.coalesce(F.try_divide(F.col("correct_spelling") * 100.0, F.col("total_words")), F.lit(0.0)), 2)
+    return row.select("total_words", "correct_spelling", "incorrect_spelling", share.alias("correct_pct"), "confidence_breakdown", "layer_breakdown")
+
+
+def check_csv(spark: SparkSession, source: str, sink: str, column: str = "word", dictionary: Iterable[str] | None = None, core: Iterable[str] | None = None) -> DataFrame:
+    """Classify a CSV file's words and write ``(word, classification, confidence, reason, layer)`` as CSV below ``sink``; returns ``totals``.
+
+    Executors write the files, with a header each; ``tables.export_csv`` makes one local file with a byte-order mark.
+    """
+    words = tables.read_csv(spark, source, text=True).select(tables.as_word(F.col(f"`{column}`")).alias("word"))
+    tables.write_csv(classify(words, "word", dictionary, core).select("word", *VERDICT), sink)
+    return totals(tables.read_csv(spark, sink, text=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from patraka.functions import lexicons as lex
 from patraka.functions.text import DOUBLE_DANDA, MARKS
-from patraka.operators.spelling import LAYERS
+from patraka.operators.spelling import LAYERS, REASONS
 from patraka.plans import projections as P
 from patraka.plans.queries import TOP_N, UTTERANCE
 
@@ -65,6 +65,13 @@ SQL["sigma_filter"] = f"""
 with rows as (select conv_id, turn, text, {P.SECONDS} as duration from conversations), kept as (select * from rows where duration between 1 and 25 and length(trim(text, ' \n\t')) >= 2),
 stats as (select avg(duration) as m, stddev_pop(duration) as s from kept)
 select conv_id, turn, duration from kept, stats where duration between greatest(1, m - 1.5 * s) and least(25, m + 1.5 * s)"""
+SQL["outlier_report"] = f"""
+with rows as (select text, {P.SECONDS} as duration from conversations), kept as (select * from rows where duration between 1 and 25 and length(trim(text, ' \n\t')) >= 2),
+stats as (select avg(duration) as m, stddev_pop(duration) as s from kept),
+counts as (select (select count(*) from rows)::bigint as n_before, (select count(*) from kept, stats where duration between greatest(1, m - 1.5 * s) and least(25, m + 1.5 * s))::bigint as n_after)
+select n_before, n_after, n_before - n_after as n_removed, round_even((n_before - n_after) * 100.0::double / greatest(n_before, 1) * 10, 0) / 10 as removed_pct from counts"""
+SQL["input_lengths"] = f"select doc_id, len({_TOKENS})::bigint as input_length from documents where text is not null union all select doc_id, 0::bigint from documents where text is null"
+SQL["non_empty"] = f"select doc_id from documents where length({blanked('nfc_normalize(text)', MARKS + DOUBLE_DANDA)}) > 0"
 _MANIFEST = "manifest as (select event_id as recording_id, user_id, floor(abs(value) * 100) / 4 as duration from events)"
 SQL["dataset_stats"] = f"""
 with {_MANIFEST} select count(*)::double as num_recordings, count(distinct user_id)::double as num_unique_users, sum(duration)::double as total_duration_seconds,
@@ -153,11 +160,11 @@ _AFFIXES = rows_of("suffixes", "sfx, so", _SUFFIXES) + ", " + rows_of("prefixes"
 _SPLITS = f"""
 {_AFFIXES},
 splits as (
-  select word, 'morphology_suffix' as layer, left(c, length(c) - length(sfx)) as root, -length(sfx) * 1000 + so as ord from cleaned, suffixes where ends_with(c, sfx) and length(c) > length(sfx) + 1
+  select word, 'morphology_suffix' as layer, left(c, length(c) - length(sfx)) as root, -length(sfx) * 1000 + so as ord, '' as pfx, sfx from cleaned, suffixes where ends_with(c, sfx) and length(c) > length(sfx) + 1
   union all
-  select word, 'morphology_prefix', substr(c, length(pfx) + 1), -length(pfx) * 1000 + po from cleaned, prefixes where starts_with(c, pfx) and length(c) > length(pfx) + 1
+  select word, 'morphology_prefix', substr(c, length(pfx) + 1), -length(pfx) * 1000 + po, pfx, '' from cleaned, prefixes where starts_with(c, pfx) and length(c) > length(pfx) + 1
   union all
-  select word, 'morphology_combined', left(rest, length(rest) - length(sfx)), po * 1000 + so from (select word, pfx, po, substr(c, length(pfx) + 1) as rest from cleaned, prefixes where starts_with(c, pfx)), suffixes where ends_with(rest, sfx) and length(rest) > length(sfx) + 1),
+  select word, 'morphology_combined', left(rest, length(rest) - length(sfx)), po * 1000 + so, pfx, sfx from (select word, pfx, po, substr(c, length(pfx) + 1) as rest from cleaned, prefixes where starts_with(c, pfx)), suffixes where ends_with(rest, sfx) and length(rest) > length(sfx) + 1),
 hits as (select s.* from splits s join vocab on root = known)"""
 _CLEANED = f"cleaned as (select word, {stripped('word')} as c from words)"
 for _layer, _name in (("morphology_suffix", "suffix_morph"), ("morphology_prefix", "prefix_morph"), ("morphology_combined", "combined_morph")):
@@ -173,20 +180,30 @@ SQL["compound"] = f"""
 {WORDS}, {_VOCAB}, {_CLEANED}, parts as (select word, unnest(string_split_regex(c, '[-_]')) as p from cleaned where regexp_matches(word, '[-_।.]'))
 select word, count(*)::bigint as n_parts, count(known)::bigint as n_known from parts left join core on p = known group by word"""
 _GRADES = rows_of("grades", "layer, classification, confidence", LAYERS)
+_REASONS = rows_of("reasons", "layer, reason", list(REASONS.items()))
 _CLASSIFIED = f"""
 {WORDS}, {_VOCAB}, {_TOP}, vocab as (select known from core union select known from top), {_CLEANED}, {_SPLITS}, {_VARIANTS},
-morph as (select word, arg_min(layer, case layer when 'morphology_suffix' then 0 when 'morphology_prefix' then 1 else 2 end) as layer from hits group by word),
+ways as (select *, case layer when 'morphology_suffix' then 'Root "' || root || '" and suffix "' || sfx || '"' when 'morphology_prefix' then 'Prefix "' || pfx || '" and stem "' || root || '"'
+  else 'Prefix "' || pfx || '", core "' || root || '" and suffix "' || sfx || '"' end as said, case layer when 'morphology_suffix' then 0 when 'morphology_prefix' then 1 else 2 end as kind from hits),
+morph as (select word, arg_min(layer, (kind, ord)) as layer, arg_min(said, (kind, ord)) as said from ways group by word),
 parts as (select word, unnest(string_split_regex(c, '[-_]')) as p from cleaned where regexp_matches(word, '[-_।.]')),
-compounds as (select word from parts left join vocab on p = known group by word having count(known) >= 0.5 * count(*)),
+compounds as (select word, count(known) || ' of ' || count(*) || ' parts known' as said from parts left join vocab on p = known group by word having count(known) >= 0.5 * count(*)),
 layered as (select w.word, case
   when c = '' then 'punctuation' when c in (select known from vocab) then 'dictionary' when {in_list('c', lex.loanwords())} then 'english_transliteration'
   when {broken('c')} then 'structure_invalid' when regexp_matches(c, '[0-9।,.!?;:]') then 'mixed_content' when regexp_matches(c, '[a-zA-Z]') then 'mixed_script'
   when m.layer is not null then m.layer when {ENGLISH.format(x='c')} and {PURE.format(x='c')} then 'english_pattern' when {in_list('c', lex.numerals())} then 'number'
   when v.variant is not null then 'nukta_variant' when k.word is not null then 'compound' when length(c) = 1 and regexp_matches(c, '[ऄ-्ँंः़]') then 'single_char'
-  when {PURE.format(x='c')} and length(c) <= 3 then 'short_word' when {PURE.format(x='c')} then 'unknown_devanagari' else 'unknown_nonstandard' end as layer
+  when {PURE.format(x='c')} and length(c) <= 3 then 'short_word' when {PURE.format(x='c')} then 'unknown_devanagari' else 'unknown_nonstandard' end as layer, m.said as way, v.variant, k.said as counted
   from cleaned w left join morph m on w.word = m.word left join varied v on w.word = v.word left join compounds k on w.word = k.word),
-{_GRADES}, verdicts as (select word, classification, confidence, layer from layered join grades using (layer))"""
+{_GRADES}, {_REASONS},
+verdicts as (select word, classification, confidence, coalesce(reason, case when layer like 'morphology%' then way when layer = 'nukta_variant' then 'Variant of "' || variant || '"' else counted end) as reason, layer
+  from layered join grades using (layer) left join reasons using (layer))"""
 SQL["spelling_classify"] = f"{_CLASSIFIED} select * from verdicts"
+SQL["spelling_totals"] = f"""
+{_CLASSIFIED}, by_confidence as (select confidence as k, count(*) as n from verdicts group by 1), by_layer as (select layer as k, count(*) as n from verdicts group by 1)
+select count(*)::bigint as total_words, count(*) filter (classification = 'correct')::bigint as correct_spelling, count(*) filter (classification = 'incorrect')::bigint as incorrect_spelling,
+round_even(coalesce(count(*) filter (classification = 'correct') * 100.0::double / nullif(count(*), 0), 0) * 100, 0) / 100 as correct_pct,
+(select string_agg(k || '=' || n, ',' order by k) from by_confidence) as confidences, (select string_agg(k || '=' || n, ',' order by k) from by_layer) as layers from verdicts"""
 SQL["spelling_stats"] = f"""
 {_CLASSIFIED} select 'total' as kind, 'all' as value, count(*)::bigint as n from verdicts union all select 'classification', classification, count(*) from verdicts group by 2
 union all select 'confidence', confidence, count(*) from verdicts group by 2 union all select 'layer', layer, count(*) from verdicts group by 2"""
@@ -229,6 +246,9 @@ SQL["number_annotations"] = f"""
 {_WALK} select tid, array_to_string(notes, ';') as notes, len(list_filter(notes, lambda n: ends_with(n, ':number_conversion')))::bigint as number_conversion,
 len(list_filter(notes, lambda n: ends_with(n, ':preserved_idiom')))::bigint as preserved_idiom from ended"""
 
+SQL["converted_transcripts"] = f"{_WALK} select tid from ended where len(list_filter(notes, lambda n: ends_with(n, ':number_conversion'))) > 0"
+SQL["idiom_transcripts"] = f"{_WALK} select tid from ended where len(list_filter(notes, lambda n: ends_with(n, ':preserved_idiom'))) > 0"
+
 # --- English words ---------------------------------------------------------------------------------
 
 _LOAN = rows_of("loan", "known, english, ord", [(k, v, i) for i, (k, v) in enumerate(lex.loanwords().items())])
@@ -251,6 +271,7 @@ marked as (select p.tid, string_agg(case when f.tid is null then p.word else '[E
 _FOUND = f"{TEXTS}, {_LOAN}, {detected('transcripts', 'text')}"
 SQL["english_detect"] = f"{_FOUND} select *, case when detection_method = 'partial_match' then 'medium' else 'high' end as confidence from found"
 SQL["english_partial"] = f"{_FOUND} select clean_word, english, count(*)::bigint as n from found where detection_method = 'partial_match' group by all"
+SQL["english_transcripts"] = f"{_FOUND} select tid, count(*)::bigint as n_english from found group by tid"
 SQL["english_tag"] = f"{_FOUND} select s.tid, case when coalesce(n, 0) = 0 then text else tagged end as tagged from spoken s left join marked m on s.tid = m.tid"
 SQL["english_summary"] = f"""
 {_FOUND} select count(*)::bigint as n, count(*) filter (coalesce(m.n, 0) > 0)::bigint as with_english, sum(coalesce(m.n, 0))::bigint as english_words,

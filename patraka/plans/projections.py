@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from patraka.functions import lexicons as lex
+from patraka.operators.sampling import frequency_ranks
 
 SPARK, DUCK = "spark", "duck"
 
@@ -51,7 +52,7 @@ def text_sql(dialect: str) -> str:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(rank, word, n)``: distinct words, the most frequent first, ties by code point."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").createOrReplaceTempView("__lineitem")
-    return spark.sql(f"select cast(row_number() over (order by n desc, word) as bigint) as rank, word, n from (select word, count(*) as n from (select {word_sql(SPARK)} as word from __lineitem) group by word)")
+    return frequency_ranks(spark.sql(f"select word, count(*) as n from (select {word_sql(SPARK)} as word from __lineitem) group by word"))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

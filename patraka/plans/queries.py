@@ -12,6 +12,7 @@ from patraka.functions import lexicons as lex
 from patraka.functions import text as T
 from patraka.operators import align, evaluation, ingest, sampling, spelling
 from patraka.plans import projections as P
+from patraka.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOP_N = 300
@@ -90,6 +91,23 @@ def sigma_filter(spark, d):
     return ingest.without_outliers(rows, sigma=1.5).select("conv_id", "turn", "duration")
 
 
+@query
+def outlier_report(spark, d):
+    rows = table(spark, d, "conversations").selectExpr("text", f"{P.SECONDS} as duration")
+    return ingest.outlier_report(rows, sigma=1.5)
+
+
+@query
+def input_lengths(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("input_features"))
+    return ingest.input_lengths(rows).select("doc_id", "input_length")
+
+
+@query
+def non_empty(spark, d):
+    return tables.non_empty(table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
 def _manifest(spark, d):
     return table(spark, d, "events").selectExpr("event_id as recording_id", "user_id", "floor(abs(value) * 100) / 4 as duration")
 
@@ -168,7 +186,7 @@ def structure_invalid(spark, d):
 
 def _layer(spark, d, layer):
     clean = T.strip_marks(F.col("word"))
-    rows = P.words(spark, d).withColumn("clean", clean).withColumn("m", F.filter(spelling.morphs(F.col("clean")), lambda m: (m["layer"] == layer) & m["root"].isin(*lex.vocabulary())))
+    rows = P.words(spark, d).withColumn("clean", clean).withColumn("m", F.filter(spelling.morphs(F.col("clean")), lambda m: (m["layer"] == layer) & lex.among(m["root"], lex.vocabulary())))
     return rows.where(F.size("m") > 0).select("word", F.col("m")[0]["root"].alias("root"), big(F.size("m"), "n_splits"))
 
 
@@ -190,19 +208,19 @@ def combined_morph(spark, d):
 @query
 def nukta_variant(spark, d):
     clean = T.strip_marks(F.col("word"))
-    rows = P.words(spark, d).withColumn("v", F.filter(spelling.nukta_variants(clean), lambda v: v.isin(*lex.vocabulary())))
+    rows = P.words(spark, d).withColumn("v", F.filter(spelling.nukta_variants(clean), lambda v: lex.among(v, lex.vocabulary())))
     return rows.where(F.size("v") > 0).select("word", F.col("v")[0].alias("variant"))
 
 
 @query
 def compound(spark, d):
     rows = P.words(spark, d).where(T.joined(F.col("word"))).withColumn("parts", F.split(T.strip_marks(F.col("word")), "[-_]"))
-    return rows.select("word", big(F.size("parts"), "n_parts"), big(F.size(F.filter("parts", lambda p: p.isin(*lex.vocabulary()))), "n_known"))
+    return rows.select("word", big(F.size("parts"), "n_parts"), big(F.size(F.filter("parts", lambda p: lex.among(p, lex.vocabulary()))), "n_known"))
 
 
 @query
 def spelling_classify(spark, d):
-    return _classified(spark, d).select("word", "classification", "confidence", "layer")
+    return _classified(spark, d).select("word", "classification", "confidence", "reason", "layer")
 
 
 @query
@@ -210,6 +228,13 @@ def spelling_stats(spark, d):
     return spelling.summary(_classified(spark, d))
 
 
+@query
+def spelling_totals(spark, d):
+    row = spelling.totals(_classified(spark, d))
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return row.select("total_words", "correct_spelling", "incorrect_spelling", "correct_pct", said("confidence_breakdown").alias("confidences"), said("layer_breakdown").alias("layers"))
+
+
 @query
 def low_confidence_sample(spark, d):
     low = _classified(spark, d).where("confidence = 'low'").select("word", "classification", "layer")
@@ -246,7 +271,7 @@ def number_lookup(spark, d):
 @query
 def idiom_window(spark, d):
     rows = P.transcripts(spark, d).withColumn("w", T.split(F.col("text")))
-    rows = rows.withColumn("f", F.transform("w", lambda w, i: F.when(w.isin(*lex.numerals()) & numbers.idiomatic(F.col("w"), i), 1).otherwise(0)))
+    rows = rows.withColumn("f", F.transform("w", lambda w, i: F.when(lex.among(w, lex.numerals()) & numbers.idiomatic(F.col("w"), i), 1).otherwise(0)))
     return rows.select("tid", F.array_join(F.transform("f", lambda x: x.cast("string")), "").alias("flags"))
 
 
@@ -263,6 +288,21 @@ def number_annotations(spark, d):
     return rows.select("tid", F.array_join(note, ";").alias("notes"), kind("number_conversion"), kind("preserved_idiom"))
 
 
+def _noted(spark, d, kind):
+    rows = P.transcripts(spark, d).withColumn("number_notes", numbers.converted(T.split(F.col("text")))["notes"])
+    return numbers.with_notes(rows, kind).select("tid")
+
+
+@query
+def converted_transcripts(spark, d):
+    return _noted(spark, d, "number_conversion")
+
+
+@query
+def idiom_transcripts(spark, d):
+    return _noted(spark, d, "preserved_idiom")
+
+
 # --- English words ---------------------------------------------------------------------------------
 
 
@@ -286,6 +326,11 @@ def english_tag(spark, d):
     return _analyzed(spark, d).select("tid", "tagged")
 
 
+@query
+def english_transcripts(spark, d):
+    return codeswitch.with_english(_analyzed(spark, d)).select("tid", big(F.col("english_word_count"), "n_english"))
+
+
 @query
 def english_summary(spark, d):
     rows = _analyzed(spark, d)
@@ -306,6 +351,7 @@ def _utterances(spark, d):
     words, n = F.col("words"), UTTERANCE
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / n).cast("int"), F.lit(1)) - 1), lambda p: F.slice(words, p * n + 1, n))
     rows = table(spark, d, "documents").select("doc_id", "lang", T.tokens(F.col("text")).alias("words")).select("doc_id", "lang", F.posexplode(parts).alias("part", "human"))
+    rows = rows.repartition("doc_id", "part")  # a long document's utterances go to many tasks
     k = lambda n: ((F.col("doc_id") + F.col("part")) % n).cast("int")
     dropped = F.transform(F.filter(F.transform("human", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] + k(5)) % 5 != 0), lambda x: x["w"])
     changed = F.transform("human", lambda w, i: F.when((i + k(4)) % 4 == 0, F.concat(w, F.lit("x"))).otherwise(w))
@@ -393,7 +439,7 @@ def msa_lattice(spark, d):
 
 
 def _evaluated(spark, d):
-    return evaluation.rated(evaluation.long(_lattices(spark, d), MODELS, ["utt", "human", "lattice"]))
+    return evaluation.aligned_rates(_utterances(spark, d), "human", MODELS, ["utt"])
 
 
 @query

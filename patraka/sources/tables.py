@@ -15,10 +15,10 @@ MANIFEST = "recording_id string, user_id string, duration double, rec_url_gcp st
 MISSING = ("", "NaN", "nan", "NA", "N/A", "n/a", "null", "NULL", "None", "<NA>", "#N/A", "-nan", "-NaN")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV with a header and RFC 4180 quotes; kinds are inferred only without a ``schema``."""
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False, text: bool = False) -> DataFrame:
+    """CSV with a header and RFC 4180 quotes; kinds are inferred only without a ``schema``, and not if all is ``text``."""
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", not text).csv(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -91,3 +91,15 @@ def export_csv(df: DataFrame, file: str, bom: bool = False) -> int:
 def non_empty(df: DataFrame, column: str = "text") -> DataFrame:
     """Rows whose normalized text is not empty."""
     return df.where(F.length(T.for_error_rate(F.col(column))) > 0)
+
+
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """``df`` from the Parquet cache at ``path``, which is filled at the first call; a cache that was left half-written is made anew.
+
+    The folder should be one that all executors share; delete it to compute ``df`` again.
+    """
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

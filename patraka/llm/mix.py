@@ -9,14 +9,12 @@ in each of at most MOST passes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patraka.llm.common import materialize, rows_of, text_bytes
+from patraka.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -26,33 +24,17 @@ SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
     ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)),
 )
-BLANK = np.zeros(256, dtype=bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def n_words(text: bytes) -> int:
-    if len(text) < 1 << 20:
-        return len(text.split())
-    n, before = 0, True
-    for i in range(0, len(text), 1 << 20):
-        blank = BLANK[np.frombuffer(text, np.uint8, min(1 << 20, len(text) - i), i)]
-        n += int((~blank & np.r_[before, blank[:-1]]).sum())
-        before = bool(blank[-1])
-    return n
+def n_words(text: Column) -> Column:
+    """Runs of anything but blanks; a null text has none."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, text_hash, size)`` by row."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for part in rows_of(batch, 8 << 20, "text"):
-                n = pa.array([n_words(t) for t in text_bytes(part.column("text"))], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n], names=["doc_id", "source", "text_hash", "size"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, source string, text_hash long, size long"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"))
 
 
 def targets(by_source: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -97,13 +79,13 @@ def position(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST, refill: bool = True) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """One row for each distinct ``(doc_id, source, text_hash)`` with the copies that the mix takes.
 
     Columns: those three, ``size``, ``n`` (rows alike), ``source_size``, ``target``, ``takes`` (copies of all
     rows alike; the first ``takes % n`` of them have one more than the others), ``parts`` (rows
     ``low`` to ``high`` taken one after another from ``start`` words on) and ``positions`` (of their starts). A copy is taken if it
-    ends within the source's target. The one that does not is left out and, with ``refill``, those that fit
+    ends within the source's target. The one that does not is left out, and those that fit
     what is left of the target are taken in turn, fewest copies first, until none fits. The words that are left then go to the
     one document nearest in size, if that comes nearer to the target. A document without a word is not taken.
     """
@@ -129,10 +111,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
     parts = F.filter(F.transform(passes, lambda o: _part(F.lit(0), _rows(F.col("target") - o, F.col("n")), o)), lambda x: x.high >= x.low)
     placed = placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "turn", "bucket", parts.alias("parts"))
     placed = materialize(placed.withColumn("takes", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.high - x.low + 1)))
-    while refill:
-        more = _refilled(placed, most)
-        if more is None:
-            break
+    while (more := _refilled(placed, most)) is not None:
         placed = more
     # What is left of a target goes to the one document that comes nearest to filling it.
     gap, size = F.col("target") - F.col("taken"), F.col("size")
@@ -200,19 +179,25 @@ def _copies(row: Column, schedules) -> Column:
     return F.transform(own, lambda x: _at(x.start + (row - x.low) * F.col("size"), schedules))
 
 
-def mix_report(docs: DataFrame, refill: bool = True) -> DataFrame:
+def mix_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies, first_position)`` by row of ``docs``.
 
     A null text has size 0, a null source is a source of its own and comes last. Repeated rows are
-    counted and taken one by one. An empty table gives an empty result. ``refill``: see ``plan``.
+    counted and taken one by one. An empty table gives an empty result. Other columns, of whatever name,
+    are not read.
     """
-    rows = plan(docs, refill=refill).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = plan(docs).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     rows = rows.withColumn("positions", _copies(F.col("row"), SCHEDULES)).withColumn("copies", F.size("positions"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.element_at(F.when(F.col("copies") > 0, F.col("positions")), 1).alias("first_position"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
-    """The documents in training order, each as often as the mix takes it, with the columns of ``docs``."""
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST, position: str | None = None) -> DataFrame:
+    """The documents in training order, each as often as the mix takes it, with the columns of ``docs``.
+
+    ``position``: the name of a further column with the training time of each copy, 0 to 1; without it the order is
+    only that of partitions and rows. Null and empty texts have no word and are not taken; repeated rows, null ids
+    and sources are treated as in ``mix_report``; an empty table gives an empty result.
+    """
     order = materialize(
         plan(docs, weights, schedules, most)
         .where("takes > 0")
@@ -230,4 +215,4 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDUL
     even = met.where(alike).select("__row", "__id", F.explode(each).alias("__at"))
     uneven = met.where(~alike).withColumn("__number", number).select("__row", "__id", F.explode(_copies(F.col("__number"), schedules)).alias("__at"))
     copies = even.unionByName(uneven)
-    return copies.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select("__row.*")
+    return copies.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select("__row.*", *([F.col("__at").alias(position)] if position else []))

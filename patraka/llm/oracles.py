@@ -52,7 +52,7 @@ _WEIGHT = " ".join(f"when {i} then {w}" for i, w in enumerate(WEIGHTS))
 _POSITION = " ".join(f"when {i} then {position('share', s)}" for i, s in enumerate(SCHEDULES))
 SQL["op8_source_mix"] = f"""
 with recursive sized as (
-  select doc_id, source, md5(doc_id || '|mix') as turn,
+  select doc_id, source, md5(coalesce(doc_id::varchar, '') || '|mix') as turn,
     len(list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda w: w <> ''))::bigint as size from documents),
 summed as (select source, sum(size)::bigint as source_size from sized group by source),
 placed as (select *, row_number() over (order by source nulls last) - 1 as place from summed),
@@ -66,14 +66,23 @@ rates as (
     from rates, sources group by step, n, rate)
   where above > n and rest > 0),
 aimed as (select s.*, least(most, weight * (select arg_max(rate, step) from rates)) as target from sources s),
-begun as (select d.doc_id, d.source, d.turn, d.size, a.place, a.source_size, a.target, sum(d.size) over (partition by d.source order by d.turn, d.doc_id, d.size rows unbounded preceding) - d.size as start
+queued as (select d.doc_id, d.size, d.turn, a.place, a.source_size, a.target, row_number() over (partition by a.place order by d.turn, d.doc_id, d.size) as nth, count(*) over (partition by a.place) as many
   from sized d join aimed a on d.source is not distinct from a.source),
-fitted as (select *, case when size = 0 then 0 else len(list_filter(range(0, {MOST}), lambda e: start + source_size * e + size <= target)) end as fits from begun),
-gaps as (select source, target - sum(fits * size)::double as gap from fitted group by source, target),
-tried as (select f.*, g.gap, row_number() over (partition by f.source order by case when fits < {MOST} and size > 0 and abs(size - gap) < gap then abs(size - gap) end nulls last, turn, doc_id, size) = 1
-  and fits < {MOST} and size > 0 and abs(size - gap) < gap as filled
-  from fitted f join gaps g on f.source is not distinct from g.source),
-shared as (select *, fits + filled::int as copies, coalesce(case when fits > 0 then start::double when filled then target - gap end / nullif(target, 0), 0) as share from tried)
+-- one document after the other, {MOST} times over: what fits the rest of the target is taken
+walk as (
+  select place, any_value(target) as target, any_value(many) as many, 0::bigint as step, 0::bigint as taken, false as fits from queued group by place
+  union all
+  select place, target, many, step + 1, taken + case when takes then size else 0 end, takes from (
+    select w.place, w.target, w.many, w.step, w.taken, q.size, q.size > 0 and q.size <= w.target - w.taken as takes
+    from walk w join queued q on q.place = w.place and q.nth = w.step % w.many + 1 where w.step < {MOST} * w.many)),
+taken_up as (select w.place, (w.step - 1) % w.many + 1 as nth, count(*) as fits, min(w.taken) as reached from walk w where w.fits group by 1, 2),
+ended as (select place, max(taken) as taken from walk group by place),
+-- the rest goes to the one document nearest in size, if that comes nearer to the target
+tried as (select q.*, coalesce(t.fits, 0) as fits, t.reached - q.size as first_start, e.taken as sum_taken, q.target - e.taken as gap
+  from queued q join ended e using (place) left join taken_up t using (place, nth)),
+ranked as (select *, fits < {MOST} and size > 0 and abs(size - gap) < gap as may from tried),
+filled as (select *, may and row_number() over (partition by place order by case when may then abs(size - gap) end nulls last, turn, doc_id, size) = 1 as fills from ranked),
+shared as (select *, fits + fills::int as copies, coalesce((case when fits > 0 then first_start when fills then sum_taken end)::double / nullif(target, 0), 0) as share from filled)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies::int as copies,
   case when copies > 0 then case place % {len(SCHEDULES)} {_POSITION} end end as first_position
 from shared"""

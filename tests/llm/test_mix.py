@@ -126,10 +126,11 @@ def test_heavy_sources_come_early(spark):
 
 
 @pytest.mark.parametrize("text", ["", " ", "a", " a b ", "a\x0bb\x0cc\rd\te\nf", "é à"])
-def test_word_counts(text):
-    assert mix.n_words(text.encode()) == len([w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w])
-    long_ = (text + " ") * (1 << 20)
-    assert mix.n_words(long_.encode()) == (1 << 20) * mix.n_words(text.encode())
+def test_word_counts(spark, text):
+    own = len([w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w])
+    df = spark.createDataFrame([(1, text), (2, (text + " ") * (1 << 18)), (3, None)], "i long, text string")
+    got = {r.i: r.n for r in df.select("i", mix.n_words(F.col("text")).alias("n")).collect()}
+    assert got == {1: own, 2: (1 << 18) * own, 3: 0}
 
 
 def filled(rows, got) -> dict:
@@ -162,3 +163,12 @@ def test_repeated_rows_are_taken_one_by_one(spark):
     assert abs(taken - target) <= 5 and max(r.copies for r in got) <= 3
     assert len({r.copies for r in got if r.doc_id == 7}) <= 2
     assert mix.mixed(df).where("doc_id = 7").count() == sum(r.copies for r in got if r.doc_id == 7)
+
+
+def test_positions_and_odd_rows_of_the_mixture(spark):
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(40)] + [(None, "q r", "a"), (90, None, "a"), (91, "", "b"), (92, "x", None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], KIND + ", size int, target int")
+    got = mix.mixed(df, position="at").collect()
+    assert all(0 <= r["at"] <= 1 for r in got) and [r["at"] for r in got] == sorted(r["at"] for r in got)
+    assert not {90, 91} & {r.doc_id for r in got} and any(r.doc_id is None for r in got)
+    assert mix.mixed(df.limit(0)).columns == df.columns and mix.mixed(df.limit(0)).count() == 0

@@ -127,10 +127,11 @@ class LogIndex:
         self.levels: list[tuple[np.ndarray, ...]] = []  # sort key, h, c, doc
 
     def add(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        # Entries of one anchor are neighbours; full equality is checked. Entries whose short keys fall
-        # together may stay apart, which only sends them to the comparison of windows.
+        # Entries of one anchor are neighbours; full equality is checked.
         key = (h & ~np.uint64(0xFFFFFF)) | (mix64(c) >> np.uint64(40))
         order = np.lexsort((doc, key))
+        if ((key[order][1:] == key[order][:-1]) & ((h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))).any():
+            order = np.lexsort((doc, c, h, key))  # different entries under one short key
         key, h, c, doc = (x[order] for x in (key, h, c, doc))
         new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(key) else np.empty(0, bool)
         heads = np.flatnonzero(new)
@@ -147,12 +148,27 @@ class LogIndex:
             old, mine = old[same], mine[same]
             first[mine] = np.minimum(first[mine], level[3][old])
             fresh[mine] = False
+            self._shared_keys(level, key[heads], h[heads], c[heads], first, fresh)
         found = np.zeros(len(doc), dtype=bool)
         found[order] = first[run] < doc
         heads = heads[fresh]
         self._push((key[heads], h[heads], c[heads], doc[heads]))
         return found
 
+    @staticmethod
+    def _shared_keys(level: tuple[np.ndarray, ...], key: np.ndarray, h: np.ndarray, c: np.ndarray, first: np.ndarray, fresh: np.ndarray) -> None:
+        """Entries that share their short key with different ones, on either side, are compared with all of that key."""
+        twice = lambda x: x[1:][x[1:] == x[:-1]]
+        several = np.concatenate([twice(level[0]), twice(key)])
+        if not len(several):
+            return
+        for i in np.flatnonzero(np.isin(key, several)).tolist():
+            a, b = np.searchsorted(level[0], key[i], "left"), np.searchsorted(level[0], key[i], "right")
+            same = a + np.flatnonzero((level[1][a:b] == h[i]) & (level[2][a:b] == c[i]))
+            if len(same):
+                first[i] = min(first[i], level[3][same].min())
+                fresh[i] = False
+
     def _push(self, level: tuple[np.ndarray, ...]) -> None:
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
             level = self._merge(self.levels.pop(), level)

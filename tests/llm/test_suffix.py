@@ -109,3 +109,28 @@ def test_index_levels_grow_geometrically():
         assert found.tolist() == [seen[a, b] < d for a, b, d in zip(h.tolist(), c.tolist(), doc.tolist())]
         sizes = [len(x[0]) for x in index.levels]
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_entries_that_share_their_short_key():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 3, 400).astype(np.uint64)  # differ in the low bits only, which the short key leaves out
+    c = rng.integers(0, 3, 400).astype(np.uint64)
+    doc = np.arange(400)
+    index, seen = suffix.LogIndex(), {}
+    for at in range(0, 400, 25):
+        found = index.add(h[at : at + 25], c[at : at + 25], doc[at : at + 25])
+        for a, b, d, f in zip(h[at : at + 25].tolist(), c[at : at + 25].tolist(), doc[at : at + 25].tolist(), found.tolist()):
+            assert f == (seen.setdefault((a, b), d) < d)
+    a, b = np.array([1], np.uint64), np.array([2], np.uint64)
+    index = suffix.LogIndex()
+    assert [bool(index.add(x, a, np.array([d]))[0]) for x, d in ((a, 1), (b, 2), (a, 3))] == [False, False, True]
+
+
+def test_many_continuations_of_one_passage(spark):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(120)
+    rows = [(i, word(rng.randrange(30)) + shared[rng.randrange(40) :] + word(80)) for i in range(150)]
+    assert run(spark, rows) == plain(rows)

@@ -21,7 +21,7 @@ from patraka.llm.common import rows_of
 #: (identifier, pattern of the whole normalised sentence). Normalised: lower case, comment marks and
 #: punctuation but ``. + - /`` blanked, white space collapsed, the final stop dropped.
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("spdx", r"spdx-license-identifier (?P<name>[a-z0-9.+-]+)"),
+    ("spdx", r"spdx-license-identifier (?P<expression>[a-z0-9.+-]+( (or|and|with) [a-z0-9.+-]+)*)"),
     ("rights", r"(copyright .* )?all rights reserved"),
     ("copyright", r"copyright (c )?\d{4}.*"),
     ("mitRelease", r"((this|the) (work|software|file|code|project|library) is )?(released|licensed|distributed|available) under (the terms of )?the (mit|expat) license"),
@@ -38,18 +38,26 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("gpl2Release", r"((this|the) (work|software|file|code|program|project|library) is )?(released|licensed|distributed) under (the terms of )?the gnu general public license,?( as published by the free software foundation)?,? (version|v) ?2(.0)?( only)?"),
     ("gpl3Later", r".*(redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation) either version 3 of the license or (at your option )?any later version"),
     ("gpl2Later", r".*(redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation) either version 2 of the license or (at your option )?any later version"),
-    ("lgplLater", r".*(redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation) either version (2.1|3) of the license or (at your option )?any later version"),
+    ("lgpl21Later", r".*(redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation) either version 2.1 of the license or (at your option )?any later version"),
+    ("lgpl3Later", r".*(redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation) either version 3 of the license or (at your option )?any later version"),
+    ("agpl3Later", r".*(redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation) either version 3 of the license or (at your option )?any later version"),
     ("gnuWarranty", r"this (program|library) is distributed in the hope that it will be useful but without any warranty.*"),
-    ("gnuReceived", r"you should have received a copy of the gnu (lesser )?general public license along with this (program|library).*"),
-    ("gnuDetails", r"see the gnu (lesser )?general public license for more details"),
+    ("gnuReceived", r"you should have received a copy of the gnu (lesser |affero )?general public license along with this (program|library).*"),
+    ("gnuDetails", r"see the gnu (lesser |affero )?general public license for more details"),
     ("mpl2", r"this source code form is subject to the terms of the mozilla public license,? v. 2.0"),
     ("bsdGrant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsdSource", r"(1\. |\* |- )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsdBinary", r"(2\. |\* |- )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("bsdEndorse", r"(3\. |\* |- )?neither the name of .* nor the names of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsdRelease", r"((this|the) (work|software|file|code|project|library) is )?(released|licensed|distributed) under (the terms of )?the (?P<name>2|3)-clause bsd license"),
+    ("zlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
+    ("boostRelease", r"((this|the) (work|software|file|code|project|library) is )?(released|licensed|distributed) under the boost software license,? version 1.0"),
+    ("epl2", r"this program and the accompanying materials are made available under the terms of the eclipse public license,? (v|v\. ?|version )2.0.*"),
+    ("ofl", r"this font software is licensed under the sil open font license,? version 1.1"),
     ("cc", r"((this|the) (work|text|page|article|content) is )?licensed under (a |the )?(cc|creative commons) (?P<name>by(-nc)?(-sa|-nd)?) (?P<version>\d\.\d)( international)?( license)?"),
-    ("cc0", r".*(dedicated to the public domain|licensed under cc0 1.0).*"),
+    ("cc0", r".*dedicated to the public domain.*"),
+    ("cc0", r".*licensed under cc0 1.0.*"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
 )
 
@@ -64,8 +72,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apacheGrant", "apacheUse", "apacheCopy", "apacheWarranty")),
     ("Apache-2.0", ("apacheGrant",)),
     ("Apache-2.0", ("apacheUse", "apacheCopy")),
-    ("LGPL-2.1-or-later", ("lgplLater", "gnuWarranty", "gnuDetails", "gnuReceived")),
-    ("LGPL-2.1-or-later", ("lgplLater",)),
+    ("LGPL-2.1-or-later", ("lgpl21Later", "gnuWarranty", "gnuDetails", "gnuReceived")),
+    ("LGPL-2.1-or-later", ("lgpl21Later",)),
+    ("LGPL-3.0-or-later", ("lgpl3Later", "gnuWarranty", "gnuDetails", "gnuReceived")),
+    ("LGPL-3.0-or-later", ("lgpl3Later",)),
+    ("AGPL-3.0-or-later", ("agpl3Later", "gnuWarranty", "gnuDetails", "gnuReceived")),
+    ("AGPL-3.0-or-later", ("agpl3Later",)),
     ("GPL-3.0-or-later", ("gpl3Later", "gnuWarranty", "gnuDetails", "gnuReceived")),
     ("GPL-3.0-or-later", ("gpl3Later",)),
     ("GPL-2.0-or-later", ("gpl2Later", "gnuWarranty", "gnuDetails", "gnuReceived")),
@@ -78,14 +90,45 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-{NAME}-{version}", ("cc",)),
     ("CC0-1.0", ("cc0",)),
     ("Unlicense", ("unlicense",)),
-    ("{name}", ("spdx",)),
+    ("Zlib", ("zlibGrant",)),
+    ("BSL-1.0", ("boostGrant",)),
+    ("BSL-1.0", ("boostRelease",)),
+    ("EPL-2.0", ("epl2",)),
+    ("OFL-1.1", ("ofl",)),
+    ("{expression}", ("spdx",)),
     ("Proprietary", ("copyright", "rights")),
     ("Proprietary", ("rights",)),
     ("Copyright-notice", ("copyright",)),
 )
 
-#: Every known sentence holds one of these words, so that other texts are done at once.
-HINT = regex.compile(r"licen[sc]e|copyright|permission|warrant|redistribut|rights\s+reserved|public\s+domain|\bauthors\b", regex.IGNORECASE)
+#: Identifiers as they are written, beside those of the rules; an expression may hold others, which come in lower case.
+SPDX = tuple(
+    """
+    0BSD AFL-3.0 AGPL-3.0-only Apache-1.0 Apache-1.1 Artistic-1.0 Artistic-2.0 BSD-4-Clause BlueOak-1.0.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0
+    CDDL-1.0 CDDL-1.1 CECILL-2.1 Classpath-exception-2.0 EPL-1.0 EUPL-1.1 EUPL-1.2 GCC-exception-3.1 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-3.0 GPL-3.0+
+    LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-3.0 LGPL-3.0-only Linux-syscall-note LLVM-exception LPPL-1.3c MIT-0 MPL-1.1 MS-PL MS-RL
+    NCSA ODbL-1.0 OpenSSL PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Unicode-3.0 UPL-1.0 Vim W3C WTFPL X11
+    """.split()
+)
+
+
+def hint(pattern: str) -> str | None:
+    """The longest word that every text of a pattern holds, or None; words in groups, classes and escapes don't count."""
+    plain = regex.sub(r"\\.|\[[^\]]*\]|\{[^}]*\}", " ", pattern)
+    while (less := regex.sub(r"\([^()]*\)[?*+]*", " ", plain)) != plain:
+        plain = less
+    if "|" in plain or "(" in plain:
+        return None
+    words = regex.findall(r"(?<![\p{L}\p{N}?*+.])[\p{L}]{3,}(?![\p{L}\p{N}?*+])", plain)
+    return max(words, key=len) if words else None
+
+
+def hints(sentences: Sequence[tuple[str, str]]) -> regex.Pattern:
+    """A pattern that every raw text with one of the sentences matches, so that other texts are done at once."""
+    words = {hint(p) for _, p in sentences}
+    return regex.compile("" if None in words else "|".join(sorted(map(regex.escape, words))), regex.IGNORECASE)
+
+
 END = regex.compile(r"(?i)(?<!license-identifier:)(?<=[.!?;:])\s+|\n\s*\n")
 MARKS = regex.compile(r"[^\p{L}\p{N}.+/\s-]|(?<=\s)[-/.]+(?=\s)")
 BLANKS = regex.compile(r"\s+")
@@ -104,7 +147,8 @@ class Scanner:
     known: dict[str, tuple[str, dict] | None] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.names = {name.lower(): name for name, _ in self.rules if "{" not in name}  # as an identifier may be written
+        self.names = {name.lower(): name for name in (*SPDX, *(name for name, _ in self.rules)) if "{" not in name}  # as an identifier may be written
+        self.hint = hints(self.sentences)
         self.patterns = [(name, regex.compile(p)) for name, p in self.sentences]
         closed = [(name, p) for name, p in self.sentences if not p.endswith(".*")]
         self.closed = [(name, p.startswith(".*"), regex.compile(rf"(?<!\S)(?:{p.removeprefix('.*').replace('.*', '.*?')})(?!\S)")) for name, p in closed]
@@ -139,18 +183,18 @@ class Scanner:
         """Known sentences in order. Lines are tried one by one and in runs where a whole sentence is unknown."""
         out = []
         for sentence in END.split(text):
-            if not HINT.search(sentence) and "\n" not in sentence and not sentence[:8].lower().startswith(("you may", "you shou", "see the")):
+            if not self.hint.search(sentence):
                 continue
             if got := self.identify(sentence):
                 out.append(got)
                 continue
             lines = sentence.split("\n")
-            long_ = self.long_runs(lines) if len(lines) > LINES and HINT.search(sentence) else {}
+            long_ = self.long_runs(lines) if len(lines) > LINES else {}
             at = 0
             while len(lines) > 1 and at < len(lines):
                 for to in range(min(len(lines), at + LINES), at, -1):
                     part = "\n".join(lines[at:to])
-                    if HINT.search(part) and (got := self.identify(part)):
+                    if self.hint.search(part) and (got := self.identify(part)):
                         out.append(got)
                         at = to
                         break
@@ -160,6 +204,11 @@ class Scanner:
                     at = long_[at][0] if at in long_ else at + 1
         return out
 
+    def expression(self, text: str) -> list[str]:
+        """The licences that an SPDX expression names, each with its exception."""
+        parts = regex.split(r" (?:or|and) ", text)
+        return [" WITH ".join(self.names.get(x, x) for x in p.split(" with ")) for p in parts]
+
     def licences(self, found: list[tuple[str, dict]]) -> list[str]:
         out, at, names = [], 0, [x[0] for x in found]
         while at < len(names):
@@ -167,7 +216,7 @@ class Scanner:
                 if tuple(names[at : at + len(sequence)]) == tuple(sequence):
                     values = {k: v or "" for _, d in found[at : at + len(sequence)] for k, v in d.items()}
                     said = licence.format(**values, NAME=values.get("name", "").upper()) if "{" in licence else licence
-                    out.append(self.names.get(said.lower(), said))
+                    out += self.expression(said) if "{expression}" in licence else [self.names.get(said.lower(), said)]
                     at += len(sequence)
                     break
             else:
@@ -179,8 +228,10 @@ def scan(docs: DataFrame, sentences: Sequence[tuple[str, str]] = SENTENCES, rule
     """``(doc_id, n_sentences, sentence_ids, licenses)`` by row of ``docs(doc_id, text)``.
 
     n_sentences counts known licence sentences; ``sentence_ids`` has them in order, ``licenses`` the distinct
-    licences in order of first appearance, both joined by commas and empty if there is none. A null text
-    has none. Whole texts are read, whatever their length.
+    licences in order of first appearance, both joined by commas and empty if there is none. Of an SPDX
+    expression each licence counts, with its exception. A null text has none. Whole texts are read, whatever
+    their length. Null ids and repeated rows get a row each, an empty table gives an empty result, other
+    columns, of whatever name, are not read.
     """
     sentences, rules = tuple(sentences), tuple(rules)
 
@@ -190,7 +241,7 @@ def scan(docs: DataFrame, sentences: Sequence[tuple[str, str]] = SENTENCES, rule
             for part in rows_of(batch, 4 << 20, "text"):
                 ids, licences, counts = [], [], []
                 for text in part.column(1).to_pylist():
-                    found = scanner.identifiers(text) if text and HINT.search(text) else []
+                    found = scanner.identifiers(text) if text and scanner.hint.search(text) else []
                     counts.append(len(found))
                     ids.append(",".join(x[0] for x in found))
                     licences.append(",".join(dict.fromkeys(scanner.licences(found))))

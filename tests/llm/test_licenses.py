@@ -17,7 +17,13 @@ You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2
 CASES = [
     ("SPDX-License-Identifier: MIT", "MIT"),
     ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
-    ("SPDX-License-Identifier: Zlib", "zlib"),
+    ("SPDX-License-Identifier: Zlib", "Zlib"),
+    ("SPDX-License-Identifier: my-own-1", "my-own-1"),
+    ("/* SPDX-License-Identifier: (MIT OR apache-2.0) */", "MIT,Apache-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND mit.", "GPL-2.0-only WITH Classpath-exception-2.0,MIT"),
+    ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", ""),
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "LGPL-3.0-or-later"),
+    ("This library is free software, redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version.", "LGPL-2.1-or-later"),
     ("Released under the MIT License.", "MIT"),
     ("This work is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
     ("Copyright (c) 2020 Someone. All rights reserved.", "Proprietary"),
@@ -47,16 +53,52 @@ def test_earlier_rules_win_and_consume():
     assert scanner.licences(found) == ["long", "short", "short"]
 
 
+def plain_scan(text: str) -> tuple[list[str], list[str]]:
+    """Every run of lines of every sentence with every pattern, longest first, without hints or memory."""
+    found: list[tuple[str, dict]] = []
+
+    def known(part: str):
+        said = licenses.normalise(part)
+        return next(((name, m.groupdict()) for name, p in licenses.SENTENCES if (m := licenses.regex.fullmatch(p, said))), None)
+
+    for sentence in licenses.END.split(text):
+        lines, at = sentence.split("\n"), 0
+        while at < len(lines):
+            run = next(((to, got) for to in range(len(lines), at, -1) if (got := known("\n".join(lines[at:to])))), None)
+            if run:
+                found.append(run[1])
+            at = run[0] if run else at + 1
+    out, at = [], 0
+    while at < len(found):
+        rule = next((r for r in licenses.RULES if [n for n, _ in found[at : at + len(r[1])]] == list(r[1])), None)
+        if rule:
+            values = {k: v or "" for _, d in found[at : at + len(rule[1])] for k, v in d.items()}
+            name = rule[0].format(**values, NAME=values.get("name", "").upper())
+            for part in licenses.regex.split(" or | and ", name):
+                out.append(" WITH ".join({n.lower(): n for n in (*licenses.SPDX, *(r[0] for r in licenses.RULES))}.get(x.lower(), x) for x in part.split(" with ")))
+        at += len(rule[1]) if rule else 1
+    return [n for n, _ in found], list(dict.fromkeys(out))
+
+
 def test_query_like_a_plain_pass(spark, sf):
-    """Sentence by sentence in plain Python, without hints or memory."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r.doc_id: r for r in op10_license_scan(spark, sf).collect()}
-    assert set(got) == set(docs)
-    plain = {i: [name for s in licenses.END.split(t or "") for name, p in licenses.SENTENCES if licenses.regex.fullmatch(p, licenses.normalise(s))][:1] for i, t in docs.items()}
-    for i, found in plain.items():
-        if found:
-            assert found[0] in got[i].sentence_ids.split(",")
-    assert any(r.licenses for r in got.values())
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in op10_license_scan(spark, sf).collect()}
+    plain = {i: plain_scan(t or "") for i, t in docs.items()}
+    assert got == {i: (len(ids), ",".join(ids), ",".join(names)) for i, (ids, names) in plain.items()}
+    assert any(names for _, names in plain.values())
+
+
+def test_callers_sentences_need_no_common_word(spark):
+    own = (("zebra", "the zebra may be copied( freely)?"), ("any", "(a|b) c"))
+    df = spark.createDataFrame([(1, "Hm. The zebra may be copied. B c."), (2, "nothing")], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(df, own, (("Zebra-1.0", ("zebra",)),)).collect()))
+    assert got == [(1, 2, "zebra,any", "Zebra-1.0"), (2, 0, "", "")]
+
+
+@pytest.mark.parametrize("name,pattern", licenses.SENTENCES)
+def test_hints_are_in_every_text_of_their_pattern(name, pattern):
+    word = licenses.hint(pattern)
+    assert word and licenses.regex.search(rf"(?<!\w){word}(?!\w)", pattern)
 
 
 def test_rows(spark):

@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is a matrix of log probabilities, BUCKETS x languages, plus log priors. Its size is fixed by
-BUCKETS and the number of languages learned (at most MOST_LANGUAGES), so that it is broadcast; texts
-are scored in slices of bounded size by gathering matrix rows and adding them up by document.
+BUCKETS and the number of labels (64 MB at MOST_LANGUAGES; more raise an error), so that it is broadcast;
+texts are scored in slices of bounded size by gathering matrix rows and adding them up by document.
 """
 
 from __future__ import annotations
@@ -40,10 +40,13 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram of the lower-cased texts, and where each text's begin; texts are padded by blanks."""
-    joined = "".join(f"  {t.lower()} " for t in texts)
-    sizes = np.array([len(t.lower()) + 3 for t in texts], dtype=np.int64)
+def _between(low: str) -> np.ndarray:
+    """Buckets of the n-grams that end after the second character of ``low``, which is lower-cased and padded."""
+    return _coded(low)[0][2:].ravel()
+
+
+def _coded(joined: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """By place the buckets of the n-grams that end there, and the code points."""
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     one = mix64(code + np.uint64(1))
     two = one[1:] ^ (one[:-1] << np.uint64(1) | one[:-1] >> np.uint64(63))
@@ -54,6 +57,14 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
         got = (h * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> shift).astype(np.int32)
         ids[len(code) - len(h) :, k] = got
         ids[: len(code) - len(h), k] = got[0] if len(got) else 0
+    return ids, code
+
+
+def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each n-gram of the lower-cased texts, and where each text's begin; texts are padded by blanks."""
+    low = [t.lower() for t in texts]
+    sizes = np.array([len(t) + 3 for t in low], dtype=np.int64)
+    ids, code = _coded("".join(f"  {t} " for t in low), buckets)
     # the two blanks before each text keep its n-grams apart from the text before
     inside = np.ones(len(code), dtype=bool)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -61,15 +72,40 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
     return ids[inside].ravel(), np.r_[0, np.cumsum((sizes - 2) * len(ORDERS))]
 
 
-def pieces(text: str, most: int = SLICE) -> Iterator[str]:
-    for i in range(0, max(len(text), 1), most):
-        yield text[i : i + most]
+def counted_grams(text: str, most: int = SLICE) -> Iterator[np.ndarray]:
+    """The buckets of a text's n-grams, in parts of bounded size whose n-grams together are those of the whole text."""
+    if len(text) <= most:
+        yield grams([text])[0]
+        return
+    # A part is lower-cased with one more character on either side, as lower case may depend on its neighbours.
+    before = "  "
+    for i in range(0, len(text), most):
+        part = text[i : i + most]
+        low = before + _lower(text, i, i + most) + (" " if i + most >= len(text) else "")
+        yield _between(low)
+        before = low[-2:] if len(part) else before
+
+
+def _lower(text: str, at: int, to: int) -> str:
+    """``text.lower()[...]`` of a part: Greek final sigma is the one letter whose lower case depends on others."""
+    low = text[at:to].lower()
+    if "Σ" not in text[at:to]:
+        return low
+    first, last = max(0, at - 64), to + 64
+    head = len(text[first:at].lower())
+    return text[first:last].lower()[head : head + len(low)]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from ``docs(doc_id, text, lang)``: whole texts of a sample bounded by ``sample`` a language."""
+    """Learn from ``docs(doc_id, text, lang)``: whole texts of a sample bounded by ``sample`` a language.
+
+    Every label is learned, MOST_LANGUAGES at most (more raise an error). Rows without id, text or label are
+    left out; with none left the model has no language.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the matrix would be too large to broadcast")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
@@ -84,8 +120,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         total = np.zeros((len(place), BUCKETS), dtype=np.int64)
         for batch in it:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for piece in pieces(text):
-                    total[place[lang]] += np.bincount(grams([piece])[0], minlength=BUCKETS)
+                for ids in counted_grams(text):
+                    total[place[lang]] += np.bincount(ids, minlength=BUCKETS)
         at, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": at, "bucket": bucket, "n": total[at, bucket]})
 
@@ -101,7 +137,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``(doc_id, lang_pred, score)`` by row; score: the language's posterior probability, 0 for ``und``.
 
     ``und``: the text is null or has no letter, or nothing was learned. Ties go to the first language by
-    code point. Very long texts are scored piece by piece.
+    code point. Repeated rows and null ids get a row each. Other columns, of whatever name, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -117,7 +153,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep(docs: DataFrame, model: Model, sure: float) -> DataFrame:
-    """The rows of ``docs`` whose language is known with probability ``sure``; all columns stay as they are."""
+    """The rows of ``docs`` whose language is known with probability ``sure``; all columns stay as they are.
+
+    Null texts and texts without a letter go; repeated rows are judged alike, ids are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.BooleanType())
@@ -139,8 +178,8 @@ def score(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
     if rows:
         logs = np.tile(m.log_prior, (len(rows), 1))
         if len(rows) == 1:
-            for piece in pieces(texts[rows[0]]):
-                logs[0] += _sums(*grams([piece]), m)[0]
+            for ids in counted_grams(texts[rows[0]]):
+                logs[0] += _sums(ids, np.array([0, len(ids)]), m)[0]
         else:
             logs += _sums(*grams([texts[i] for i in rows]), m)
         best = logs.argmax(axis=1)
@@ -168,7 +207,8 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame
     """``(doc_id, held_out, lang_pred, score)``: learn from the rows not held out, predict every row.
 
     A row with a null doc_id is not learned from and counts as not held out. With no labelled row every
-    prediction is ``und``. Columns besides doc_id, text and lang are not read.
+    prediction is ``und``. Repeated rows are learned from and predicted one by one. Columns besides doc_id,
+    text and lang, of whatever name, are not read; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = train(own.where(~held_out(F.col("doc_id"), modulus, remainder)))

@@ -87,3 +87,59 @@ def test_grams_are_those_of_the_text_alone(text):
     ids, offsets = langid.grams(["zz", text, "yy"])
     alone, _ = langid.grams([text])
     assert ids[offsets[1] : offsets[2]].tolist() == alone.tolist()
+
+
+def test_parts_of_a_long_text_have_the_grams_of_the_whole():
+    text = "Die ÖDE Straße ΟΔΟΣ ΣΑΣ liegt fern, İzmir! " * 40
+    whole = np.bincount(langid.grams([text])[0], minlength=langid.BUCKETS)
+    for most in (1, 2, 7, 100, 5000):
+        parts = sum(np.bincount(ids, minlength=langid.BUCKETS) for ids in langid.counted_grams(text, most))
+        assert (parts == whole).all()
+
+
+def test_more_labels_than_the_matrix_holds(spark):
+    rows = [(i, f"text {i}", f"l{i:03d}") for i in range(langid.MOST_LANGUAGES + 1)]
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = langid.train(spark.createDataFrame(rows[:-1], "doc_id long, text string, lang string"))
+    assert len(model.languages) == langid.MOST_LANGUAGES
+
+
+def plain_buckets(text: str) -> list[int]:
+    """Hashed n-grams one by one, in unbounded integers."""
+    low, out, wrap = f"  {text.lower()} ", [], 2**64 - 1
+
+    def mixed(x: int) -> int:
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & wrap
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & wrap
+        return x ^ x >> 31
+
+    turned = lambda x: (x << 1 & wrap) | x >> 63
+    for i in range(2, len(low)):
+        a, b, c = (mixed(ord(ch) + 1) for ch in low[i - 2 : i + 1])
+        for k, h in enumerate((c, c ^ turned(b), c ^ turned(b ^ turned(a)))):
+            out.append((h * (0x9E3779B97F4A7C15 + 2 * k) & wrap) >> 48)
+    return out
+
+
+def test_query_like_a_plain_naive_bayes(spark, sf):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(t, lang) for i, t, lang in docs if not held(i) and t is not None and lang is not None]
+    langs = sorted({lang for _, lang in learned})
+    counts = {lang: np.full(1 << 16, langid.SMOOTHING) for lang in langs}
+    for t, lang in learned:
+        np.add.at(counts[lang], plain_buckets(t), 1)
+    logs = {lang: np.log(c / c.sum()) for lang, c in counts.items()}
+    prior = {lang: np.log(sum(x == lang for _, x in learned) / len(learned)) for lang in langs}
+    got = {r.doc_id: r for r in op4_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        if t is None or not any(ch.isalpha() for ch in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        own = plain_buckets(t)
+        score = {lang: prior[lang] + logs[lang][own].sum() for lang in langs}
+        best = max(score, key=score.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(np.exp(s - score[best]) for s in score.values()), abs=2e-3)

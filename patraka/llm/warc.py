@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page id into shards whose bounds come from exact byte counts over the id
-range, so that they do not depend on the cluster. Within a shard, records are gzip members of their own
+Records are range-sorted by page id and payload digest into shards. Keys picked by their hash cut the table
+into cells, whatever the spread of the ids; exact byte counts of the cells make the shards, so that they do not
+depend on the cluster, and each shard is a partition of its own. Within a shard, records are gzip members of their own
 and files roll by compressed size. A file is written under a temporary name and renamed to its
 deterministic name; a manifest table, committed by Spark after all tasks, names the files that count.
 A task that runs again writes the same bytes under the same names.
@@ -17,17 +18,18 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patraka.llm.common import shared_dir, text_bytes
 
 ROLL = 64 << 20  # compressed bytes of a file
-SHARD = 128 << 20  # payload bytes of a shard, about
+SHARD, SMALL_SHARD, TASKS = 128 << 20, 16 << 20, 64  # payload bytes of a shard, about: at most, at least, and shards of a table in between
 LEAST = 100  # payloads below this many bytes are never revisits
 DATE = "1970-01-01T00:00:00Z"
-CELLS, MOST_CELLS = 1 << 12, 1 << 16  # of the id range whose bytes the driver adds up into shards
+CELLS, MOST_CELLS = 1 << 12, 1 << 16  # whose bytes the driver adds up into shards
 MOST_TASKS = 20_000  # that read archives
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
 
@@ -126,12 +128,53 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, uri: str, prefix: str = "pages", roll: int = ROLL, shard_bytes: int = SHARD) -> DataFrame:
+def order_keys(ids: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Pairs of an id and the start of a digest as strings of bytes in the same order."""
+    out = np.empty((len(ids), 2), dtype=">u8")
+    out[:, 0], out[:, 1] = ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), digests.astype(np.int64).view(np.uint64)
+    return np.ascontiguousarray(out).view("S16").ravel()
+
+
+def numbered(page_id: Column, digest: Column, bounds: np.ndarray, number: np.ndarray) -> Column:
+    """By row the number of the cell between ``bounds`` (sorted keys) that it falls into."""
+
+    @F.arrow_udf("int")
+    def find(ids: pa.Array, digests: pa.Array) -> pa.Array:
+        key = order_keys(ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), digests.to_numpy(zero_copy_only=False))
+        return pa.array(number[np.searchsorted(bounds, key, side="right")], pa.int32())
+
+    return find(page_id, digest)
+
+
+def shards(own: DataFrame, shard_bytes: int | None) -> tuple[Column, int]:
+    """Shard of each row of ``own(page_id, digest, html)``, and how many there are."""
+    bytes_, head = F.octet_length("html") + 512, F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    rows, size = own.agg(F.count("*"), F.sum(bytes_)).first()
+    size = size or 0
+    shard_bytes = shard_bytes or min(SHARD, max(SMALL_SHARD, size // TASKS))
+    n_cells = min(MOST_CELLS, max(CELLS, 16 * size // shard_bytes))
+    shard_bytes = max(shard_bytes, 4 * size // n_cells)
+    picked = F.pmod(F.xxhash64("page_id", "digest", F.lit("cell")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n_cells / max(rows, 1)))
+    got = own.where(picked).select(F.coalesce("page_id", F.lit(-(2**63))).alias("i"), head.alias("d")).distinct().toArrow()  # about MOST_CELLS at most
+    bounds = np.unique(order_keys(got["i"].to_numpy(), got["d"].to_numpy()))
+    cell = numbered(F.col("page_id"), head, bounds, np.arange(len(bounds) + 1, dtype=np.int32))
+    held = own.select(cell.alias("cell"), bytes_.alias("bytes")).groupBy("cell").agg(F.sum("bytes").alias("bytes")).orderBy("cell").collect()
+    of, shard, filled = np.zeros(len(bounds) + 1, dtype=np.int32), 0, 0
+    for r in held:
+        if filled and filled + r["bytes"] > shard_bytes:
+            shard, filled = shard + 1, 0
+        filled += r["bytes"]
+        of[r["cell"]] = shard
+    return numbered(F.col("page_id"), head, bounds, of), shard + 1
+
+
+def write(pages: DataFrame, uri: str, prefix: str = "pages", roll: int = ROLL, shard_bytes: int | None = None) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as archives into the folder ``uri``; returns the manifest table.
 
     A null html is an empty payload, a null url leaves out the target, a null page_id its header; rows
     with a null id come first. Of rows alike in id and payload (of LEAST bytes or more) the second and later ones revisit the
-    first. An empty table gives an empty manifest and no file.
+    first; rows alike in both stand in one shard. A payload of any length is one record. Ids may lie anywhere. Other
+    columns, of whatever name, are not read. An empty table gives an empty manifest and no file.
     """
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -139,24 +182,12 @@ def write(pages: DataFrame, uri: str, prefix: str = "pages", roll: int = ROLL, s
     seen = own.where(F.octet_length("html") >= LEAST).select("page_id", "digest")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null")
     refs = seen.join(first, "digest").where("not (page_id <=> first)").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    low, high, size = own.agg(F.min("page_id"), F.max("page_id"), F.sum(F.octet_length("html") + 512)).first()
-    n_cells = min(MOST_CELLS, max(CELLS, 16 * (size or 0) // shard_bytes))
-    shard_bytes = max(shard_bytes, 4 * (size or 0) // n_cells)
-    width = 1 if low is None else (high - low) // n_cells + 1
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / width).cast("int"), F.lit(0))
-    held = own.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("html") + 512).alias("bytes")).orderBy("cell").collect()  # MOST_CELLS at most
-    shard, filled, of = 0, 0, []
-    for r in held:
-        if filled and filled + r["bytes"] > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += r["bytes"]
-        of.append((r["cell"], shard))
-    place = F.broadcast(spark.createDataFrame(of, "cell int, shard int"))  # a row for each cell that has pages
     # A page's reference comes before the page itself, in the same shard.
     both = refs.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).unionByName(
         own.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     )
-    dealt = both.withColumn("cell", cell).join(place, "cell").drop("cell").repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    shard, n = shards(own, shard_bytes)
+    dealt = both.withColumn("shard", shard).repartitionById(n, F.col("shard")).sortWithinPartitions("page_id", "digest", "kind", "url")
     Folder(uri).make()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +285,11 @@ def parse(folder: Folder, name: str) -> Iterator[dict]:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages as archives into the shared folder, read them back, and describe each record."""
+    """Write the pages as archives into the shared folder, read them back, and describe each record.
+
+    ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``, one row for each row of ``pages``; null
+    payloads, null ids, repeated rows, other columns and empty tables as in ``write``.
+    """
     uri = shared_dir(pages.sparkSession)
     write(pages, uri)
     return read(pages.sparkSession, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

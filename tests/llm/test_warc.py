@@ -87,3 +87,38 @@ def test_payloads_with_blank_lines_and_binary_looks(spark, tmp_path):
     warc.write(df, f"file://{tmp_path}/a")
     got = {r.page_id: bytes(r.payload) for r in warc.read(spark, f"file://{tmp_path}/a").collect()}
     assert got == {1: odd.encode(), 2: b"\n\n"}
+
+
+def spread(spark, rows, folder, shard_bytes):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write(df, f"file://{folder}", shard_bytes=shard_bytes).collect()
+    got = warc.read(spark, f"file://{folder}").collect()
+    assert len(got) == len(rows) == sum(m.records for m in manifest)
+    per = {}
+    for m in manifest:
+        per[m.shard] = per.get(m.shard, 0) + m.records
+    return got, per
+
+
+def test_outlying_and_extreme_ids_are_spread(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "y" * 150) for i in range(2000)] + [(2**63 - 1, "u", LONG), (-(2**63), "u", LONG), (10**15, None, "z" * 300)]
+    got, per = spread(spark, rows, tmp_path / "a", 100_000)
+    assert len(per) >= 10 and max(per.values()) <= 200
+    assert {r.page_id for r in got} == {r[0] for r in rows}
+    assert [(r.record_type, r.refers_to) for r in got if r.page_id == 2**63 - 1] == [("revisit", -(2**63))]
+
+
+def test_null_ids_are_spread(spark, tmp_path):
+    rows = [(None, "u", f"{i} " + "y" * 150) for i in range(2000)] + [(1, "u", "0 " + "y" * 150)]
+    got, per = spread(spark, rows, tmp_path / "a", 100_000)
+    assert len(per) >= 10 and max(per.values()) <= 200
+    assert sum(r.record_type == "revisit" for r in got) == 1
+
+
+def test_a_very_long_payload(spark, tmp_path):
+    long_ = "<p>é" * 6_000_000
+    got, _ = spread(spark, [(1, "u", long_), (2, "u", "short"), (3, "u", long_)], tmp_path / "a", 1 << 20)
+    said = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to) for r in got}
+    n = len(long_.encode())
+    assert said == {1: ("response", n, None), 2: ("response", 5, None), 3: ("revisit", n, 1)}
+    assert next(bytes(r.payload) for r in got if r.page_id == 1) == long_.encode()

@@ -10,12 +10,16 @@ Distribution. Pairs (context, word) are dealt to shards by a hash of both, so th
 word is spread over all shards. A shard holds its pairs' counts and where they occur. Shards first seat
 by their own estimates of what the others hold; one exchange by word then sums each word's customers and
 tables as a context and as a dish, and samples the parent's tables; with these totals each shard samples
-on, predicts its pairs, and adds up the scores of its share of each document. Words are 64-bit hashes;
+on, predicts its pairs, and adds up the scores of its share of each document. The exchange goes by way of
+groups, about the root of the shards in number: a group adds up its shards' words, receivers of ranges of words
+add up the groups, and totals come back the same way, so that rows grow with the shards and not with their
+square. Words are 64-bit hashes;
 those of a table of frequent words travel as places in it, which changes no result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -203,24 +207,16 @@ class Shard:
             t = seat(self.c, STRENGTH + DISCOUNT * np.maximum(contexts[self.u] - t, 0), parent, DISCOUNT, self.table, self.rng)
         return t
 
-    def statistics(self) -> Iterator[dict]:
-        """One row for each receiver by word: customers and tables as a context, customers and tables as a dish."""
+    def statistics(self, groups: int) -> Iterator[dict]:
+        """One row for the shard's group, by word: customers and tables as a context, customers and tables as a dish."""
         t = self.first_seating()
         values = [self.by_word(self.u, self.c), self.by_word(self.u, t), self.by_word(self.w, self.c), self.by_word(self.w, t)]
-        to = (mix64(self.words) % np.uint64(self.shards)).astype(np.int64)
-        for r in range(self.shards):
-            own = np.flatnonzero(to == r)
-            yield {"to": r, "source": self.number, **coded(self.words[own], self.frequent), "counts": pack(np.stack([v[own] for v in values]).astype(np.int32))}
+        yield {"to": self.number % groups, "source": self.number, **coded(self.words, self.frequent), "counts": pack(np.stack(values).astype(np.int32))}
 
     def scores(self, t: pa.Table) -> Iterator[dict]:
         """One row for each bucket of documents: sums over this shard's share of their tokens."""
-        got = np.zeros((5, len(self.words)), dtype=np.int64)
-        totals = np.zeros(4)
-        to = (mix64(self.words) % np.uint64(self.shards)).astype(np.int64)
-        for r in t.select(["source", "counts", "totals"]).to_pylist():
-            own = np.flatnonzero(to == r["source"])
-            got[:, own] = unpack(r["counts"], np.int64).reshape(5, -1)
-            totals += np.frombuffer(r["totals"])
+        (told,) = t.select(["counts", "totals"]).to_pylist()
+        got, totals = unpack(told["counts"], np.int64).reshape(5, -1), np.frombuffer(told["totals"])
         n, v, customers, tables = totals
         context_c, context_t, dish_c, dish_n, dish_t = got
         now = self.first_seating()
@@ -267,6 +263,25 @@ class Shard:
             }
 
 
+def added(rows: list[dict], frequent: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The words of rows with ``counts`` by word, sorted, and their sums."""
+    words, sums = np.empty(0, np.uint64), np.zeros((4, 0), dtype=np.int64)
+    for r in rows:
+        own = decoded(r, frequent)
+        both, at = np.unique(np.concatenate([words, own]), return_inverse=True)
+        more = np.zeros((4, len(both)), dtype=np.int64)
+        more[:, at[: len(words)]] = sums
+        more[:, at[len(words) :]] += unpack(r["counts"], kind).reshape(4, -1)
+        words, sums = both, more
+    return words, sums
+
+
+def by_receiver(words: np.ndarray, receivers: int) -> list[np.ndarray]:
+    """Places of the words that each receiver is dealt."""
+    to = (mix64(words) % np.uint64(receivers)).astype(np.int64)
+    return np.split(np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=receivers))[:-1])
+
+
 def _batches(rows: Iterator[dict], fields: dict[str, pa.DataType]) -> pa.Table:
     return pa.Table.from_pylist(list(rows), schema=pa.schema(list(fields.items())))
 
@@ -346,7 +361,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     Learns from the rows whose crc32(doc_id as text) modulo ``modulus`` is not ``remainder``; scores all,
     as log10 probabilities of whole texts. A null text has the end as its one token. A row with a null
     doc_id is scored, not learned from, and counts as not held out. Rows alike get a row each. An empty
-    table gives an empty result; with no row to learn from, every token has the base's probability 1.
+    table gives an empty result; with no row to learn from, every token has the base's probability 1. Other
+    columns, of whatever name, are not read.
     """
     n = total_bytes(docs, "text") + 64 * docs.count()
     n_shards, n_buckets = shards_for(n, SHARD), shards_for(n, BUCKET)
@@ -358,26 +374,38 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(frequent(own, n))
     sent = _pairs(own, table, n_shards, n_buckets, modulus, remainder)
 
+    groups = math.isqrt(n_shards - 1) + 1  # and as many receivers
+
     def first(key: tuple, t: pa.Table) -> pa.Table:
-        return _batches(Shard(t, key[0].as_py(), n_shards, table.value).statistics(), STATS)
+        return _batches(Shard(t, key[0].as_py(), n_shards, table.value).statistics(groups), STATS)
+
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        words, sums = added(t.select(["words", "known", "counts"]).to_pylist(), table.value, np.int32)
+        dealt = ((r, np.sort(own)) for r, own in enumerate(by_receiver(words, groups)))
+        return _batches(({"to": r, "source": key[0].as_py(), **coded(words[own], table.value), "counts": pack(sums[:, own])} for r, own in dealt), STATS)
 
     def exchange(key: tuple, t: pa.Table) -> pa.Table:
         rows = t.select(["source", "words", "known", "counts"]).to_pylist()
-        words = [decoded(r, table.value) for r in rows]
-        unique, at = np.unique(np.concatenate(words), return_inverse=True)
-        sums = np.zeros((4, len(unique)), dtype=np.int64)
-        ends = np.cumsum([len(x) for x in words])
-        for r, end, x in zip(rows, ends, words):
-            sums[:, at[end - len(x) : end]] += unpack(r["counts"], np.int32).reshape(4, -1)
+        unique, sums = added(rows, table.value, np.int64)
         v, customers = int((sums[2] > 0).sum()), int(sums[3].sum())
         tables = np.minimum(sums[3], 1)
         rng, numbers = np.random.default_rng([60, key[0].as_py()]), stirling(ROOT_DISCOUNT)
         for _ in range(BURN + 1):
-            others = ROOT_STRENGTH + ROOT_DISCOUNT * np.maximum(n_shards * tables.sum() - tables, 0)
-            tables = seat(sums[3], others, Parent(np.ones(len(unique)), np.full(len(unique), n_shards * v + 1.0)), ROOT_DISCOUNT, numbers, rng)
+            others = ROOT_STRENGTH + ROOT_DISCOUNT * np.maximum(groups * tables.sum() - tables, 0)
+            tables = seat(sums[3], others, Parent(np.ones(len(unique)), np.full(len(unique), groups * v + 1.0)), ROOT_DISCOUNT, numbers, rng)
         totals = np.array([sums[2].sum(), v, customers, tables.sum()], dtype=np.float64).tobytes()
         out = np.vstack([sums, tables])
-        back = ({"to": r["source"], "source": key[0].as_py(), "counts": pack(out[:, at[end - len(x) : end]]), "totals": totals} for r, end, x in zip(rows, ends, words))
+        back = ({"to": r["source"], "source": key[0].as_py(), "counts": pack(out[:, np.searchsorted(unique, decoded(r, table.value))]), "totals": totals} for r in rows)
+        return _batches(back, BACK)
+
+    def share(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.select(["source", "words", "known", "counts"]).to_pylist()
+        words, _ = added(rows, table.value, np.int32)
+        got, totals, dealt = np.zeros((5, len(words)), dtype=np.int64), np.zeros(4), by_receiver(words, groups)
+        for r in right.select(["source", "counts", "totals"]).to_pylist():
+            got[:, np.sort(dealt[r["source"]])] = unpack(r["counts"], np.int64).reshape(5, -1)
+            totals += np.frombuffer(r["totals"])
+        back = ({"to": r["source"], "source": key[0].as_py(), "counts": pack(got[:, np.searchsorted(words, decoded(r, table.value))]), "totals": totals.tobytes()} for r in rows)
         return _batches(back, BACK)
 
     def second(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -407,6 +435,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
             }
         )
 
-    stats = sent.groupBy("to").applyInArrow(first, ddl(STATS)).groupBy("to").applyInArrow(exchange, ddl(BACK))
-    parts = sent.groupBy("to").cogroup(stats.groupBy("to")).applyInArrow(second, ddl(PART))
+    stats = sent.groupBy("to").applyInArrow(first, ddl(STATS))  # Spark reuses the exchanges of both
+    totals = stats.groupBy("to").applyInArrow(gather, ddl(STATS)).groupBy("to").applyInArrow(exchange, ddl(BACK))
+    told = stats.groupBy("to").cogroup(totals.groupBy("to")).applyInArrow(share, ddl(BACK))
+    parts = sent.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(second, ddl(PART))
     return parts.groupBy("bucket").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

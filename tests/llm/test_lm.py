@@ -58,8 +58,8 @@ def test_odd_texts(spark):
     assert (alone.train_tokens, alone.n_known, alone.base_score, alone.held_out) == (0, 0, 0.0, False)
 
 
-def plain_model(texts: list[list[str]], sweeps: int = 60, burn: int = 20, seed: int = 0):
-    """Seating customer by customer; returns a function for averaged probabilities."""
+def plain_model(texts: list[list[str]], sweeps: int = 60, burn: int = 20, seed: int = 0, others: list[list[str]] = ()):
+    """Seating customer by customer; averaged probabilities of all pairs of the texts, and of ``others`` that aren't learned from."""
     rng = random.Random(seed)
     d, a, d0, a0 = lm.DISCOUNT, lm.STRENGTH, lm.ROOT_DISCOUNT, lm.ROOT_STRENGTH
     v = len({w for t in texts for w in t})
@@ -104,7 +104,7 @@ def plain_model(texts: list[list[str]], sweeps: int = 60, burn: int = 20, seed:
     for u, w in pairs:
         add(u, w)
     kept: dict = defaultdict(float)
-    asked = sorted({(u, w) for u, w in pairs}, key=str)
+    asked = sorted({(u, w) for t in [*texts, *others] for u, w in zip([None, *t], t)}, key=str)
     for s in range(sweeps):
         for u, w in pairs:
             if leave(tables[u][w]):
@@ -167,3 +167,29 @@ def test_many_null_ids_with_different_texts(spark):
     df = spark.createDataFrame([(None, t) for t in texts] + [(1, "a b c d")], "doc_id long, text string")
     got = sorted(r.n_tokens for r in lm.score(df).collect() if r.doc_id is None)
     assert got == sorted(len(t.split()) + 1 for t in texts)
+
+
+@pytest.mark.parametrize("shard,most", [(1 << 24, 0.04), (1500, 0.06), (400, 0.09)])
+def test_scores_over_shards_like_a_plain_sampler(spark, monkeypatch, shard, most):
+    """One shard, four and about fourteen; held-out rows too. What shards exchange once is an estimate, so that many tiny ones differ more."""
+    monkeypatch.setattr(lm, "SHARD", shard)
+    rng = random.Random(3)
+    letters = [chr(97 + k) for k in range(12)]
+    rows = [(i, " ".join(rng.choices(letters, [1 / (k + 1) for k in range(12)], k=14))) for i in range(60)]
+    kept = plain_model([words(t) for i, t in rows if not held(i)], others=[words(t) for i, t in rows if held(i)])
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    off = {}
+    for i, t in rows:
+        own = words(t)
+        off[i] = got[i] / sum(math.log10(kept[u, w]) for u, w in zip([None, *own], own)) - 1
+    assert any(held(i) for i in off)
+    assert max(map(abs, off.values())) < most
+
+
+def test_exchange_by_groups_gives_each_shard_its_totals(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopq") + str(rng.randrange(20)) for _ in range(30))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (1 << 24, 3000, 300):
+        monkeypatch.setattr(lm, "SHARD", shard)
+        check_counts(rows, lm.score(df).collect())

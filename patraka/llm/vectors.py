@@ -41,10 +41,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 # Near-dedup: PCA-ordered tiled comparison
 
 THRESHOLD = 0.95
-BLOCK = 4096  # vectors of a block, about; a task compares two blocks
+BLOCK = 12_288  # vectors of a block, about; a task compares two blocks, and a vector is sent once for each block within reach
 TILE = 512
 PCA_SAMPLE = 20_000  # vectors that the rotation is fitted on; it only orders the work
-LEAD = 16  # leading dimensions that are accumulated first
+LEAD = 16  # leading dimensions that are accumulated first, then twice as many for what is left
+MANY = 20_000  # pairs of a tile beyond which the whole tile is multiplied
 SLACK = 1e-4  # for single precision in the bounds; links are decided in double precision
 
 
@@ -54,7 +55,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     Exact: every pair with cosine of ``threshold`` or more links, whatever its label. A vector that is
     null, empty, zero or has a null or non-finite component links with nothing, and vectors of different
     length do not link. Equal vectors are compared once and counted one by one. ``kept`` is false for a
-    null vec_id. An empty table gives an empty result.
+    null vec_id. An empty table gives an empty result. Other columns, of whatever name, are not read.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = own.where(usable(F.col("embedding")))
@@ -127,8 +128,10 @@ def links_between(x: np.ndarray, basis: np.ndarray, rep: np.ndarray, copies: np.
     order = np.lexsort((turned[:, 0], ~low)) if not same else np.argsort(turned[:, 0], kind="stable")
     x, turned, rep, copies = x[order], turned[order], rep[order], copies[order]
     n_low = len(x) if same else int(low.sum())
-    lead = min(LEAD, x.shape[1])
-    rest = np.sqrt(np.maximum(1 - (turned[:, :lead].astype(np.float64) ** 2).sum(axis=1), 0)).astype(np.float32)
+    stages = [min(LEAD << i, x.shape[1]) for i in range(x.shape[1].bit_length()) if i == 0 or LEAD << (i - 1) < x.shape[1]]
+    squares = np.cumsum(turned.astype(np.float64) ** 2, axis=1)
+    rests = [np.sqrt(np.maximum(1 - squares[:, n - 1], 0)).astype(np.float32) for n in stages]  # norms of the dimensions left
+    lead, rest = stages[0], rests[0]
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     links = np.zeros(len(x), dtype=np.int64)
     us, vs = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -149,11 +152,18 @@ def links_between(x: np.ndarray, basis: np.ndarray, rep: np.ndarray, copies: np.
                 a, b = a[ok], b[ok]
             if not len(a):
                 continue
-            if len(a) > 20_000:
+            if len(a) > MANY:
                 ok = (x[i:to] @ x[k:end].T)[a, b] >= threshold
+                a, b = i + a[ok], k + b[ok]
             else:
-                ok = np.einsum("ij,ij->i", x[i + a], x[k + b]) >= threshold
-            a, b = i + a[ok], k + b[ok]
+                a, b = i + a, k + b
+                sums = np.einsum("ij,ij->i", turned[a, :lead], turned[b, :lead])
+                for at, n, left in zip(stages, stages[1:], rests[1:]):
+                    sums += np.einsum("ij,ij->i", turned[a, at:n], turned[b, at:n])
+                    ok = sums + left[a] * left[b] >= threshold - SLACK
+                    a, b, sums = a[ok], b[ok], sums[ok]
+                ok = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                a, b = a[ok], b[ok]
             links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
             us, vs = star(np.r_[us, rep[a]], np.r_[vs, rep[b]])
     root = dict(zip(us.tolist(), vs.tolist()))
@@ -166,24 +176,29 @@ def links_between(x: np.ndarray, basis: np.ndarray, rep: np.ndarray, copies: np.
 
 TREES = 32
 BITS = 24  # of a tree's hash strings
-SHARE = 1.0  # rows that the ascent gathers, with repeats over trees, as a share of a shard's rows
-LEAST = 4096  # and at least so many
+FIRST = 256  # rows, with repeats over trees, that the descent ends with
+MISS = 0.05  # probability that the ascent may leave of missing a row as near as the k-th found
+DENSE = 8  # beyond this part of a shard's rows, one product with all of them is cheaper than gathering candidates
 SHARD = 16_384
-QUERIES = 2048  # of a block
+QUERIES = 16_384  # of a block
 SEED = 11
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHARE, trees: int = TREES, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, miss: float = MISS, trees: int = TREES, shard: int = SHARD) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found to each row whose vec_id ``every`` divides.
 
     Every usable vector is indexed in one shard; queries visit all shards in blocks. A shard has one
-    sorted array of hash strings for each tree. A query descends to its longest matching prefix and
-    ascends in all trees at once, a bit at a time, until the ranges of rows that share its prefixes hold
-    ``share`` of the shard; their union is scored by cosine in double precision. The share is relative,
-    so that recall does not fall as the table grows. Vectors that are null, empty, zero or have null or
+    sorted array of hash strings for each tree. A query descends to its longest matching prefixes and
+    ascends in all trees at once. Rows that share a prefix with it are scored by cosine in double precision;
+    it stops where a row as near as the k-th best so far would share a prefix of that length in none of the
+    trees with a probability of ``miss`` at most. Where neighbours are near, that takes few rows of a shard,
+    among vectors without structure most of them, and recall does not depend on the size of the table.
+
+    Vectors that are null, empty, zero or have null or
     non-finite components take no part, as rows with a null vec_id; vectors of another length than the
     query's are no candidates. Ties go to the smaller vec_id. Rows alike count once; rows that share a vec_id but not
-    the embedding are each asked, and each a candidate, on their own.
+    the embedding are each asked, and each a candidate, on their own. Other columns, of whatever name, are not
+    read; an empty table gives an empty result.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).distinct()
     asked = own.where(F.col("vec_id") % every == 0)
@@ -196,7 +211,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHAR
     def run(t: pa.Table) -> pa.Table:
         is_query = t["asks"].to_numpy()
         x, ids = matrix(t["embedding"]), t["vec_id"].to_numpy()
-        found = search(x[~is_query], ids[~is_query], x[is_query], ids[is_query], k, share, trees)
+        found = search(x[~is_query], ids[~is_query], x[is_query], ids[is_query], k, miss, trees)
         rows = t["row"].to_numpy()[is_query]
         return found.append_column("row", pa.array(rows[found["asked"].to_numpy()], pa.int64())).drop_columns(["asked"])
 
@@ -205,57 +220,97 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHAR
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, share: float = SHARE, trees: int = TREES) -> pa.Table:
-    """The ``k`` best candidates of each query among the rows of one shard."""
-    if not len(x) or not len(q):
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "asked": pa.array([], pa.int64())})
-    xn, qn = unit(x), unit(q)
-    low, high, order = ascend(xn, qn, max(LEAST, int(share * len(x))), trees)
-    out_q, out_v, out_s, out_a = [], [], [], []
-    for i in range(0, len(q), 128):
-        mine = np.zeros((min(128, len(q) - i), len(x)), dtype=bool)
-        for j, mask in enumerate(mine):
-            for t in range(trees):
-                mask[order[t, low[t, i + j] : high[t, i + j]]] = True
-        mine &= ids[None, :] != q_ids[i : i + 128, None]
-        # Candidates are a large share of a shard: one dense product is cheaper than gathering them.
-        score = np.where(mine, qn[i : i + 128] @ xn.T, -2.0)
-        for j, s in enumerate(score):
-            edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -2.0
-            at = np.flatnonzero((s >= edge - 1e-12) & (s > -2.0))
-            exact = np.clip((x[at] @ q[i + j]) / (np.linalg.norm(x[at], axis=1) * np.linalg.norm(q[i + j])), -1, 1) if len(at) else np.empty(0)
-            exact = np.where(np.isfinite(exact), exact, s[at])
-            best = np.lexsort((ids[at], -exact))[:k]
-            out_q.append(np.full(len(best), q_ids[i + j]))
-            out_a.append(np.full(len(best), i + j))
-            out_v.append(ids[at][best])
-            out_s.append(exact[best])
-    return pa.table({"query_id": np.concatenate(out_q).astype(np.int64), "vec_id": np.concatenate(out_v).astype(np.int64), "score": np.concatenate(out_s), "asked": np.concatenate(out_a).astype(np.int64)})
-
-
-def ascend(xn: np.ndarray, qn: np.ndarray, most: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By tree and query the range of the tree's sorted array that the ascent ends with; the arrays' orders."""
-    weight = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
-    order = np.empty((trees, len(xn)), dtype=np.int64)
-    sorted_keys, asked = np.empty((trees, len(xn)), dtype=np.int64), np.empty((trees, len(qn)), dtype=np.int64)
-    for t in range(trees):
-        planes = np.random.default_rng([SEED, t]).standard_normal((xn.shape[1], BITS))
-        key = (xn @ planes > 0) @ weight
-        order[t] = np.argsort(key, kind="stable")
-        sorted_keys[t] = key[order[t]]
-        asked[t] = (qn @ planes > 0) @ weight
-    low, high = np.zeros((trees, len(qn)), dtype=np.int64), np.full((trees, len(qn)), len(xn), dtype=np.int64)
-    open_ = np.arange(len(qn))
-    for depth in range(BITS, 0, -1):
-        if not len(open_):
-            break
-        up = BITS - depth
-        lo, hi = np.empty((trees, len(open_)), np.int64), np.empty((trees, len(open_)), np.int64)
+class Forest:
+    """Sorted arrays of the hash strings of one shard's rows, one for each tree, and the strings of the queries."""
+
+    def __init__(self, rows: np.ndarray, queries: np.ndarray, trees: int):
+        weight = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
+        self.order, self.keys, self.asked = (np.empty((trees, n), dtype=np.int64) for n in (len(rows), len(rows), len(queries)))
         for t in range(trees):
-            head = asked[t, open_] >> up
-            lo[t] = np.searchsorted(sorted_keys[t], head << up)
-            hi[t] = np.searchsorted(sorted_keys[t], (head + 1) << up)
-        done = (hi - lo).sum(axis=0) >= most
-        low[:, open_[done]], high[:, open_[done]] = lo[:, done], hi[:, done]
-        open_ = open_[~done]
-    return low, high, order
+            planes = np.random.default_rng([SEED, t]).standard_normal((rows.shape[1], BITS))
+            key = (rows @ planes > 0) @ weight
+            self.order[t] = np.argsort(key, kind="stable")
+            self.keys[t] = key[self.order[t]]
+            self.asked[t] = (queries @ planes > 0) @ weight
+
+    def ranges(self, queries: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By tree and query the range of the rows that share its prefix of ``depth`` bits."""
+        up = BITS - depth
+        head = self.asked[:, queries] >> up << up
+        each = [(np.searchsorted(keys, h), np.searchsorted(keys, h + (1 << up))) for keys, h in zip(self.keys, head)]
+        return np.stack([x[0] for x in each]), np.stack([x[1] for x in each])
+
+    def descend(self, n: int, least: int) -> np.ndarray:
+        """By query the longest prefix that ``least`` rows share, with repeats over trees; 0 if there are fewer."""
+        depth, open_ = np.full(n, BITS), np.arange(n)
+        while len(open_):
+            low, high = self.ranges(open_, depth[open_])
+            open_ = open_[((high - low).sum(axis=0) < least) & (depth[open_] > 0)]
+            depth[open_] -= 1
+        return depth
+
+
+def enough(kth: np.ndarray, trees: int, miss: float) -> np.ndarray:
+    """Longest prefix by which a row with that cosine shares one in some tree with a probability of 1 - ``miss``."""
+    alike = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi  # probability that one bit is the same
+    with np.errstate(divide="ignore"):
+        bits = np.log(1 - miss ** (1 / trees)) / np.log(np.clip(alike, 1e-9, 1 - 1e-12))
+    return np.minimum(bits, BITS)
+
+
+def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, miss: float = MISS, trees: int = TREES, first: int = FIRST) -> pa.Table:
+    """The ``k`` best candidates of each query among the rows of one shard."""
+    out: list[tuple[np.ndarray, ...]] = []
+    if len(x) and len(q):
+        xn, qn = unit(x), unit(q)
+        forest = Forest(xn, qn, trees)
+        depth, open_ = forest.descend(len(q), first), np.arange(len(q))
+        while len(open_):
+            kth = np.empty(len(open_))
+            found = []
+            for i in range(0, len(open_), 128):
+                found += candidates(forest, xn, qn, ids, q_ids, open_[i : i + 128], depth[open_[i : i + 128]])
+                for j in range(i, len(found)):
+                    scores = found[j][1]
+                    kth[j] = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -1.0
+                    if depth[open_[j]] <= max(enough(kth[j], trees, miss), 0):
+                        out.append(ranked(x, ids, q[open_[j]], q_ids[open_[j]], open_[j], *found[j], k, kth[j]))
+                    found[j] = (None, None)
+            ends = np.maximum(np.floor(enough(kth, trees, miss)).astype(np.int64), 0)
+            go = depth[open_] > ends
+            open_, ends = open_[go], ends[go]
+            depth[open_] = np.minimum(depth[open_] - 1, ends)
+    cat = lambda i, kind: np.concatenate([o[i] for o in out]).astype(kind) if out else np.empty(0, kind)
+    return pa.table({"query_id": cat(0, np.int64), "vec_id": cat(1, np.int64), "score": cat(2, np.float64), "asked": cat(3, np.int64)})
+
+
+def candidates(forest: Forest, xn: np.ndarray, qn: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, depth: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By query the rows that share its prefixes, and their cosines."""
+    low, high = forest.ranges(queries, depth)
+    dense = (high - low).sum(axis=0) * DENSE > len(xn)
+    product = iter(qn[queries[dense]] @ xn.T)
+    out = []
+    for j, i in enumerate(queries):
+        parts = [o[a:b] for o, a, b in zip(forest.order, low[:, j], high[:, j])]
+        if dense[j]:
+            mask = np.zeros(len(xn), dtype=bool)
+            for p in parts:
+                mask[p] = True
+            mask &= ids != q_ids[i]
+            rows = np.flatnonzero(mask)
+            out.append((rows, next(product)[rows]))
+        else:
+            rows = np.unique(np.concatenate(parts))
+            rows = rows[ids[rows] != q_ids[i]]
+            out.append((rows, xn[rows] @ qn[i]))
+    return out
+
+
+def ranked(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_id: int, asked: int, rows: np.ndarray, scores: np.ndarray, k: int, kth: float) -> tuple[np.ndarray, ...]:
+    """The ``k`` best of a query's candidates by the cosine of the original vectors, ties to the smaller id."""
+    near = scores >= kth - 1e-12
+    at, scores = rows[near], scores[near]
+    exact = np.clip((x[at] @ q) / (np.linalg.norm(x[at], axis=1) * np.linalg.norm(q)), -1, 1)
+    exact = np.where(np.isfinite(exact), exact, scores)
+    best = np.lexsort((ids[at], -exact))[:k]
+    return np.full(len(best), q_id), ids[at][best], exact[best], np.full(len(best), asked)

@@ -143,3 +143,52 @@ def test_repeated_query_rows_keep_their_neighbours(spark):
     once = sorted(map(tuple, vectors.nearest(spark.createDataFrame(rows, kind)).collect()))
     again = sorted(map(tuple, vectors.nearest(spark.createDataFrame(rows * 3, kind)).collect()))
     assert once and again == once
+
+
+@pytest.mark.parametrize("spread", [0.0, 3.0])
+def test_recall_of_a_whole_shard(spread):
+    """A full shard of vectors without structure, and of vectors in groups, where the ascent stops early."""
+    rng = np.random.default_rng(7)
+    n = vectors.SHARD
+    x = rng.normal(size=(n, 64)) + spread * rng.normal(size=(400, 64))[rng.integers(0, 400, n)]
+    ids = np.arange(n)
+    asked = ids[::80]
+    got = vectors.search(x, ids, x[asked], asked, 5).to_pydict()
+    found: dict[int, set[int]] = {}
+    for q, v in zip(got["query_id"], got["vec_id"]):
+        found.setdefault(q, set()).add(v)
+    near = cosines(x[asked], x)
+    near[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(len(found[q] & set(b.tolist())) for q, b in zip(asked.tolist(), best))
+    assert hits >= 0.95 * best.size
+
+
+def test_ascent_scores_few_rows_where_neighbours_are_near():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 64))[rng.integers(0, 200, 8000)] + 0.05 * rng.normal(size=(8000, 64))
+    xn = vectors.unit(x)
+    forest = vectors.Forest(xn, xn[:100], vectors.TREES)
+    depth = forest.descend(100, vectors.FIRST)
+    found = vectors.candidates(forest, xn, xn[:100], np.arange(8000), np.arange(100), np.arange(100), depth)
+    kth = np.array([np.sort(s)[-5] for _, s in found])
+    assert (depth <= vectors.enough(kth, vectors.TREES, vectors.MISS)).mean() > 0.9
+    assert np.mean([len(r) for r, _ in found]) < 800
+
+
+def test_recall_over_many_shards(spark):
+    """A hundred thousand vectors, in seven shards."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("id", k), F.lit(1 << 30)) + 1) / float(1 << 30))) * F.cos(2 * np.pi * F.pmod(F.xxhash64("id", k, F.lit(1)), F.lit(1 << 30)) / float(1 << 30))).cast("array<float>").alias("embedding"))
+    rows = df.toArrow()
+    x, ids = vectors.unit(vectors.matrix(rows["embedding"])), rows["vec_id"].to_numpy()
+    found: dict[int, set[int]] = {}
+    for r in vectors.nearest(df, every=500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 500 == 0)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-near, 5, axis=1)[:, :5]
+    hits = sum(len(found[int(ids[q])] & set(ids[b].tolist())) for q, b in zip(asked, best))
+    assert hits >= 0.9 * best.size

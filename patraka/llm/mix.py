@@ -18,6 +18,7 @@ from patraka.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+NEAR = 0.001  # of a target: what is left of it below this is not handed on to smaller documents
 #: One schedule for each weight, repeating like them: (time, level) knots. Heavy sources come early.
 SCHEDULES = (
     ((0.0, 1.25), (0.5, 1.0), (1.0, 0.75)),
@@ -33,8 +34,18 @@ def n_words(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, text_hash, size)`` by row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"))
+    """``(doc_id, source, text_hash, size, turn)`` by row; turn: the digest that orders a source's documents, alike on any engine.
+
+    Rows without an id are ordered by their texts.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.xxhash64("text").alias("text_hash"),
+        n_words(F.col("text")).alias("size"),
+        F.md5(F.concat(name, F.lit("|mix"))).alias("turn"),
+    )
 
 
 def targets(by_source: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -79,46 +90,46 @@ def position(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, most: int = MOST, near: float = NEAR) -> DataFrame:
     """One row for each distinct ``(doc_id, source, text_hash)`` with the copies that the mix takes.
 
     Columns: those three, ``size``, ``n`` (rows alike), ``source_size``, ``target``, ``takes`` (copies of all
     rows alike; the first ``takes % n`` of them have one more than the others), ``parts`` (rows
-    ``low`` to ``high`` taken one after another from ``start`` words on) and ``positions`` (of their starts). A copy is taken if it
-    ends within the source's target. The one that does not is left out, and those that fit
-    what is left of the target are taken in turn, fewest copies first, until none fits. The words that are left then go to the
-    one document nearest in size, if that comes nearer to the target. A document without a word is not taken.
+    ``low`` to ``high`` taken one after another from ``start`` words on) and ``positions`` (of their starts).
+
+    A source's documents are gone through in order, ``most`` times over, and each that fits what is left of the
+    target is taken. Once one has not fitted and no more than ``near`` of the target is left, the rest
+    stay. The words that are left then go to the one document nearest in size, if that comes nearer to the
+    target. A document without a word is not taken.
     """
-    own = materialize(sizes(docs).groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n")))
+    own = materialize(sizes(docs).groupBy("doc_id", "source", "text_hash", "size", "turn").agg(F.count("*").alias("n")))
     bucket_bits = max(0, min(20, (own.count() // 2000).bit_length()))
-    turn = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|mix")))  # alike on any engine
     head = F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")
-    own = own.withColumn("turn", turn).withColumn("bucket", F.shiftright(head, 32 - bucket_bits))
-    # Prefix sums in two steps: over the buckets of a source, then within a bucket; no task gets a whole source.
-    sums = own.groupBy("source", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    sums = materialize(sums.withColumn("before", F.sum("words").over(by_bucket) - F.col("words")))
-    by_source = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before").join(
-        by_source.select(F.col("source").alias("s2"), "source_size", "target", "place"), F.col("s").eqNullSafe(F.col("s2"))
-    )
-    within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "text_hash")
-    mass = F.col("n") * F.col("size")
-    placed = own.withColumn("inside", F.sum(mass).over(within) - mass)
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
-    start = F.col("before") + F.col("inside")
-    passes = F.array(*(start + F.col("source_size") * e for e in range(most)))
-    parts = F.filter(F.transform(passes, lambda o: _part(F.lit(0), _rows(F.col("target") - o, F.col("n")), o)), lambda x: x.high >= x.low)
-    placed = placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "turn", "bucket", parts.alias("parts"))
-    placed = materialize(placed.withColumn("takes", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.high - x.low + 1)))
-    while (more := _refilled(placed, most)) is not None:
-        placed = more
+    own = own.withColumn("bucket", F.shiftright(head, 32 - bucket_bits)).withColumn("key", F.struct("bucket", "turn", "doc_id", "size", "text_hash"))
+    by_source = materialize(targets(own.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most))
+    told = rounds(own, by_source, most, near).groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("low_pass", "low_key", "gap", "high_pass", "high_key", "part")).alias("rounds"))
+    about = by_source.join(told, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "place", "rounds")
+    placed = own.join(materialize(about), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    passes = [f"t{e}" for e in range(most)]
+    placed = materialize(placed.withColumns({t: _times(e) for e, t in enumerate(passes)}).drop("rounds"))
+    # Starts are sums of what is taken before, in two steps: over a source's passes and buckets, then within a bucket.
+    sums = placed.groupBy("source", "bucket").agg(*(F.sum(F.col(t) * F.col("size")).alias(t) for t in passes))
+    each = sums.select("source", "bucket", F.posexplode(F.array(*passes)).alias("e", "words"))
+    each = each.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("e", "bucket")) - F.col("words"))
+    before = each.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(*(F.max(F.when(F.col("e") == e, F.col("before"))).alias(f"b{e}") for e in range(most)))
+    placed = placed.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    inside = Window.partitionBy("source", "bucket").orderBy("key")
+    words = lambda t: F.col(t) * F.col("size")
+    parts = [_part(F.lit(0), F.col(t), F.col(f"b{e}") + F.sum(words(t)).over(inside) - words(t)) for e, t in enumerate(passes)]
+    placed = placed.withColumn("parts", F.filter(F.array(*parts), lambda x: x.high >= x.low)).withColumn("takes", sum(map(F.col, passes), F.lit(0).cast("long")))
+    placed = materialize(placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "key", "parts", "takes"))
     # What is left of a target goes to the one document that comes nearest to filling it.
+    taken = materialize(placed.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("takes") * F.col("size")).alias("taken")))
     gap, size = F.col("target") - F.col("taken"), F.col("size")
-    key = F.struct("turn", "doc_id", "size", "text_hash")
-    open_ = placed.join(_taken(placed), F.col("source").eqNullSafe(F.col("s3"))).where((F.col("takes") < most * F.col("n")) & (size > 0) & (F.abs(size - gap) < gap))
-    fill = open_.groupBy("source").agg(F.min(F.struct(F.abs(size - gap).alias("off"), key.alias("key"), F.col("taken").alias("start"))).alias("fill"))
-    placed = placed.join(materialize(fill.select(F.col("source").alias("s4"), "fill")), F.col("source").eqNullSafe(F.col("s4")) & (key == F.col("fill.key")), "left")
+    open_ = placed.join(taken, F.col("source").eqNullSafe(F.col("s"))).where((F.col("takes") < most * F.col("n")) & (size > 0) & (F.abs(size - gap) < gap))
+    least = F.min(F.struct(F.abs(size - gap).alias("off"), F.struct("key.turn", "key.doc_id", "key.size", "key.text_hash").alias("order"), F.col("key"), F.col("taken").alias("start")))
+    fill = materialize(open_.groupBy("source").agg(least.alias("fill")).select(F.col("source").alias("s"), "fill"))
+    placed = placed.join(fill, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("fill.key")), "left")
     filled = F.col("fill").isNotNull()
     parts = F.when(filled, F.concat("parts", F.array(_part(F.col("takes") % F.col("n"), F.lit(1), F.col("fill.start"))))).otherwise(F.col("parts"))
     placed = placed.withColumn("parts", parts).withColumn("takes", F.col("takes") + filled.cast("long"))
@@ -126,6 +137,62 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULE
     return placed.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "place", "takes", "parts", positions.alias("positions"))
 
 
+def rounds(own: DataFrame, by_source: DataFrame, most: int, near: float) -> DataFrame:
+    """What each round takes of a source: rows between two places in the order that are no larger than its gap.
+
+    ``(source, low_pass, low_key, gap, high_pass, high_key, part)``; of the rows alike at the high place, where one
+    did not fit, ``part`` are taken. A round takes all that comes before the first that does not fit; that one is larger than
+    what the round leaves, so that few rounds follow. A round reads sums by bucket, and the rows of one
+    bucket of each source.
+    """
+    kind = own.schema["key"].dataType
+    size, mass = F.col("size"), F.col("n") * F.col("size")
+    state = by_source.where("target > 0").select(
+        "source", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("low_pass"), F.lit(None).cast(kind).alias("low_key")
+    )
+    done: DataFrame | None = None
+    while True:
+        live = state.withColumn("gap", F.col("target") - F.col("taken"))
+        here = F.col("low_key").isNull() | (F.col("key") > F.col("low_key"))
+        held = own.join(live.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where((size > 0) & (size <= F.col("gap"))).withColumn("here", here)
+        sums = held.groupBy("source", "bucket", "low_pass", "gap").agg(F.sum(F.when(F.col("here"), mass).otherwise(0)).alias("now"), F.sum(mass).alias("whole"))
+        each = sums.withColumn("e", F.explode(F.sequence("low_pass", F.lit(most - 1)))).withColumn("words", F.when(F.col("e") == F.col("low_pass"), F.col("now")).otherwise(F.col("whole")))
+        each = each.withColumn("end", F.sum("words").over(Window.partitionBy("source").orderBy("e", "bucket")))
+        at = each.where((F.col("end") > F.col("gap")) & (F.col("end") - F.col("words") <= F.col("gap"))).select(F.col("source").alias("s2"), "e", F.col("bucket").alias("b"), (F.col("end") - F.col("words")).alias("before"))
+        near_by = held.join(at, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b"))).where((F.col("e") > F.col("low_pass")) | F.col("here"))
+        near_by = near_by.withColumn("end", F.col("before") + F.sum(mass).over(Window.partitionBy("source").orderBy("key")))
+        over = near_by.where((F.col("end") > F.col("gap")) & (F.col("end") - mass <= F.col("gap")))
+        part = F.floor((F.col("gap") - (F.col("end") - mass)) / size)
+        over = over.select(F.col("source").alias("s3"), F.col("e").alias("high_pass"), F.col("key").alias("high_key"), part.alias("part"), (F.col("end") - mass + part * size).alias("more"))
+        got = live.join(over, F.col("source").eqNullSafe(F.col("s3")), "left").select(
+            "source", "target", "taken", "low_pass", "low_key", "gap", F.coalesce("high_pass", F.lit(most)).alias("high_pass"), "high_key", F.coalesce("part", F.lit(0).cast("long")).alias("part"), "more"
+        )
+        got = materialize(got)
+        done = got if done is None else done.unionByName(got)
+        state = got.where("high_key is not null").select("source", "target", (F.col("taken") + F.col("more")).alias("taken"), F.col("high_pass").alias("low_pass"), F.col("high_key").alias("low_key"))
+        state = state.where(F.col("target") - F.col("taken") > F.lit(near) * F.col("target"))
+        if state.isEmpty():
+            return done.drop("target", "taken", "more")
+
+
+def _times(e: int) -> Column:
+    """How many of the rows alike are taken in pass ``e``."""
+    key, n = F.col("key"), F.col("n")
+
+    def of(r: Column) -> Column:
+        after = (r.low_pass < e) | ((r.low_pass == e) & (r.low_key.isNull() | (key > r.low_key)))
+        before = (r.high_pass > e) | ((r.high_pass == e) & (key < r.high_key))
+        last = F.coalesce((r.high_pass == e) & (key == r.high_key), F.lit(False))
+        return F.when(last, r.part).when(after & before & (F.col("size") <= r.gap), n).otherwise(0).cast("long")
+
+    taken = F.aggregate(F.coalesce("rounds", F.array().cast(_ROUNDS)), F.lit(0).cast("long"), lambda a, r: a + of(r))
+    return F.when(F.col("size") > 0, taken).otherwise(0).cast("long")
+
+
+_KEY = "struct<bucket:bigint,turn:string,doc_id:bigint,size:bigint,text_hash:bigint>"
+_ROUNDS = f"array<struct<low_pass:int,low_key:{_KEY},gap:double,high_pass:int,high_key:{_KEY},part:bigint>>"
+
+
 def _at(o: Column, schedules) -> Column:
     share = F.coalesce(F.try_divide(o, F.col("target")), F.lit(0.0))
     out = position(share, schedules[-1])
@@ -134,45 +201,11 @@ def _at(o: Column, schedules) -> Column:
     return out
 
 
-def _rows(room: Column, most: Column) -> Column:
-    """How many rows, of ``most``, fit into so many words."""
-    return F.when(F.col("size") > 0, F.least(F.greatest(F.floor(F.try_divide(room, F.col("size"))), F.lit(0)), most)).otherwise(0).cast("long")
-
-
 def _part(after: Column, rows: Column, start: Column) -> Column:
     after = after.cast("long")
     return F.struct((after + 1).alias("low"), (after + rows).alias("high"), start.cast("long").alias("start"))
 
 
-def _taken(placed: DataFrame) -> DataFrame:
-    return placed.groupBy(F.col("source").alias("s3")).agg(F.sum(F.col("takes") * F.col("size")).alias("taken"))
-
-
-def _refilled(placed: DataFrame, most: int) -> DataFrame | None:
-    """One round more: a further copy of those that fit what is left; None if none fits.
-
-    The first that no longer fits is larger than what the round leaves, so that what is left shrinks fast.
-    """
-    held = placed.join(materialize(_taken(placed)), F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
-    gap, n, size = F.col("target") - F.col("taken"), F.col("n"), F.col("size")
-    fits = (size > 0) & (F.col("takes") < most * n) & (size <= gap)
-    if held.where(fits).isEmpty():
-        return None
-    after = F.col("takes") % n
-    held = held.withColumn("left", F.when(fits, n - after).otherwise(0)).withColumn("layer", F.floor(F.col("takes") / n))
-    mass = F.col("left") * size
-    sums = held.groupBy("source", "layer", "bucket").agg(F.sum(mass).alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("layer", "bucket")) - F.col("words")
-    sums = materialize(sums.select(F.col("source").alias("s"), F.col("layer").alias("l"), F.col("bucket").alias("b"), before.alias("before")))
-    within = Window.partitionBy("source", "layer", "bucket").orderBy("turn", "doc_id", "size", "text_hash")
-    held = held.withColumn("inside", F.sum(mass).over(within) - mass)
-    held = held.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("layer") == F.col("l")) & (F.col("bucket") == F.col("b")))
-    offset = F.col("before") + F.col("inside")
-    held = held.withColumn("more", _rows(gap - offset, F.col("left")))
-    parts = F.when(F.col("more") > 0, F.concat("parts", F.array(_part(after, F.col("more"), F.col("taken") + offset)))).otherwise(F.col("parts"))
-    return materialize(held.withColumn("parts", parts).withColumn("takes", F.col("takes") + F.col("more")).select(placed.columns))
-
-
 def _copies(row: Column, schedules) -> Column:
     """Positions of the copies of one of the rows alike."""
     own = F.filter("parts", lambda x: (x.low <= row) & (row <= x.high))

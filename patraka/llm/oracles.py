@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from patraka.llm.mix import MOST, SCHEDULES, WEIGHTS
+from patraka.llm.mix import MOST, NEAR, SCHEDULES, WEIGHTS
 
 SQL: dict[str, str] = {}
 
@@ -52,7 +52,7 @@ _WEIGHT = " ".join(f"when {i} then {w}" for i, w in enumerate(WEIGHTS))
 _POSITION = " ".join(f"when {i} then {position('share', s)}" for i, s in enumerate(SCHEDULES))
 SQL["op8_source_mix"] = f"""
 with recursive sized as (
-  select doc_id, source, md5(coalesce(doc_id::varchar, '') || '|mix') as turn,
+  select doc_id, source, md5(coalesce(doc_id::varchar, md5(coalesce(text, ''))) || '|mix') as turn,
     len(list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda w: w <> ''))::bigint as size from documents),
 summed as (select source, sum(size)::bigint as source_size from sized group by source),
 placed as (select *, row_number() over (order by source nulls last) - 1 as place from summed),
@@ -68,12 +68,12 @@ rates as (
 aimed as (select s.*, least(most, weight * (select arg_max(rate, step) from rates)) as target from sources s),
 queued as (select d.doc_id, d.size, d.turn, a.place, a.source_size, a.target, row_number() over (partition by a.place order by d.turn, d.doc_id, d.size) as nth, count(*) over (partition by a.place) as many
   from sized d join aimed a on d.source is not distinct from a.source),
--- one document after the other, {MOST} times over: what fits the rest of the target is taken
+-- one document after the other, {MOST} times over: what fits the rest of the target is taken, until one doesn't and hardly any is left
 walk as (
-  select place, any_value(target) as target, any_value(many) as many, 0::bigint as step, 0::bigint as taken, false as fits from queued group by place
+  select place, any_value(target) as target, any_value(many) as many, 0::bigint as step, 0::bigint as taken, false as fits, false as stopped from queued group by place
   union all
-  select place, target, many, step + 1, taken + case when takes then size else 0 end, takes from (
-    select w.place, w.target, w.many, w.step, w.taken, q.size, q.size > 0 and q.size <= w.target - w.taken as takes
+  select place, target, many, step + 1, taken + case when takes then size else 0 end, takes, stopped or (size > target - taken and target - taken <= {NEAR}::double * target) from (
+    select w.place, w.target, w.many, w.step, w.taken, w.stopped, q.size, not w.stopped and q.size > 0 and q.size <= w.target - w.taken as takes
     from walk w join queued q on q.place = w.place and q.nth = w.step % w.many + 1 where w.step < {MOST} * w.many)),
 taken_up as (select w.place, (w.step - 1) % w.many + 1 as nth, count(*) as fits, min(w.taken) as reached from walk w where w.fits group by 1, 2),
 ended as (select place, max(taken) as taken from walk group by place),

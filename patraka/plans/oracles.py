@@ -5,6 +5,7 @@ from __future__ import annotations
 from patraka.functions import lexicons as lex
 from patraka.functions.text import DOUBLE_DANDA, MARKS
 from patraka.operators.spelling import LAYERS, REASONS
+from patraka.plans import alignment_oracles as alignment
 from patraka.plans import projections as P
 from patraka.plans.queries import TOP_N, UTTERANCE
 
@@ -145,6 +146,21 @@ rated as (select model, case when len(human) = 0 then 0.0::double else {distance
 means as (select model, round_even(avg(s) * 1e4, 0) / 1e4 as standard_wer, round_even(avg(l) * 1e4, 0) / 1e4 as lattice_wer, round_even(avg(s - l) * 1e4, 0) / 1e4 as wer_reduction from rated group by model)
 select *, round_even((standard_wer - lattice_wer) / nullif(standard_wer, 0) * 100 * 100, 0) / 100 as improvement_pct from means"""
 
+SQL["nw_align"] = f"""
+with recursive {_UTTERANCES}, {alignment.PAIRS}
+select utt, coalesce(array_to_string(list_transform(range(1, len(x) + 1), lambda i: coalesce(translate(x[i], said, own), '∅') || '/' || coalesce(translate(y[i], said, own), '∅')), ' '), '') as alignment from one_pairs, alphabet"""
+_BUILT = f"with recursive {_UTTERANCES}, {alignment.LATTICES}"
+SQL["msa_lattice"] = f"""
+{_BUILT} select utt, coalesce(array_to_string(list_transform(lattice, lambda b: case when len(b) = 1 then b[1] else '[' || array_to_string(b, '|') || ']' end), ' '), '') as lattice from lattices"""
+_BOTH = f"""
+{_BUILT}, met as (select utt, model, human, hyp, lattice, list_distinct(list_concat(human, hyp)) as vocab from outputs join lattices using (utt)), {folded('met', 'hyp')},
+compared as (select utt, model, len(human)::bigint as ref_length, case when len(human) = 0 then 0.0::double else {distance('human', 'hyp')}::double / len(human) end as standard_wer,
+  case when f.m = 0 then 0.0::double else f.errors::double / f.m end as lattice_wer from met join folded f using (utt, model))"""
+SQL["lattice_evaluation"] = f"{_BOTH} select utt, model, standard_wer, lattice_wer, standard_wer - lattice_wer as wer_reduction, ref_length from compared"
+SQL["lattice_evaluation_summary"] = f"""
+{_BOTH}, means as (select model, round_even(avg(standard_wer) * 1e4, 0) / 1e4 as standard_wer, round_even(avg(lattice_wer) * 1e4, 0) / 1e4 as lattice_wer, round_even(avg(standard_wer - lattice_wer) * 1e4, 0) / 1e4 as wer_reduction from compared group by model)
+select *, round_even((standard_wer - lattice_wer) / nullif(standard_wer, 0) * 100 * 100, 0) / 100 as improvement_pct from means"""
+
 # --- spelling --------------------------------------------------------------------------------------
 
 _VOCAB = rows_of("core", "known", [(w,) for w in lex.vocabulary()])

@@ -247,6 +247,55 @@ def test_rounding_to_even(spark):
     assert [r[0] for r in df.select(wer.half_even(F.col("x"), 0)).collect()] == [0.0, 2.0, 0.0]
 
 
+def test_more_distinct_words_than_two_byte_symbols(spark):
+    words = [f"w{i}" for i in range(42_500)]
+    df = spark.createDataFrame([(words, ["w5", "other"]), (None, ["a"])], "a array<string>, b array<string>")
+    d = wer.word_distance(F.col("a"), F.col("b"))
+    got = df.select(d.alias("d"), wer.standard_wer(F.col("a"), d).alias("w")).collect()
+    assert tuple(got[0]) == (42_499, 42_499 / 42_500)
+    assert tuple(got[1]) == (None, None)  # what isn't known is no perfect score
+
+
+def test_a_thousand_distinct_words_like_a_table(spark):
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(900)}" for _ in range(1000)]
+    b = [w for w in a if rng.random() < 0.9] + ["x", "y"]
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    assert df.select(wer.word_distance(F.col("a"), F.col("b"))).first()[0] == edits(a, b)
+
+
+LETTERS = ["ab", "abc", "x", "yy", "abd", "", "é", "zzzz" * 10]
+
+
+@pytest.mark.parametrize("anchored", [False, True])
+@pytest.mark.parametrize("support", [1, 2])
+def test_batches_of_lattices_like_one_by_one(spark, anchored, support):
+    rng = random.Random(7)
+    rows = [[[rng.choice(LETTERS) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(1, 6))] for _ in range(300)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, s array<array<string>>")
+    got = {r.i: (r.x, r.rated) for r in df.select("i", align.lattice(F.col("s"), anchored, support).alias("x"), align.rated(F.col("s"), anchored, support).alias("rated")).collect()}
+    for i, sequences in enumerate(rows):
+        plain = align.bins([[w or None for w in row] for row in align.align_all(sequences, anchored)], support)
+        assert got[i][0] == got[i][1].lattice == plain
+        assert got[i][1].errors == [edits(sequences[0], h) for h in sequences[1:]]
+        assert got[i][1].lattice_errors == [through(plain, h) for h in sequences[1:]]
+
+
+def test_batches_of_pairs_like_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [tuple([rng.choice(LETTERS) for _ in range(rng.randrange(9))] for _ in range(2)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a array<string>, b array<string>")
+    got = {r.i: [tuple(x) for x in r.p] for r in df.select("i", align.pairs(F.col("a"), F.col("b")).alias("p")).collect()}
+    assert got == {i: align.align_pair(a, b) for i, (a, b) in enumerate(rows)}
+    assert df.limit(0).select(align.pairs(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_odd_lattices(spark):
+    df = spark.createDataFrame([(None, ["a"]), ([["a"]], None), ([], ["a", "b"]), ([["a"], ["b"]], [])], "l array<array<string>>, h array<string>")
+    e = wer.lattice_errors(F.col("l"), F.col("h"))
+    assert [tuple(r) for r in df.select(e, wer.lattice_wer(F.col("l"), e)).collect()] == [(None, None), (None, None), (2, 0.0), (2, 1.0)]
+
+
 # --- ingestion -------------------------------------------------------------------------------------
 
 FILES = {
@@ -294,6 +343,14 @@ def test_outliers_and_statistics(spark):
     assert (row.num_recordings, row.num_unique_users, row.min_duration_seconds) == (23, 3, 0.5)
 
 
+def test_outlier_report_and_lengths(spark):
+    df = spark.createDataFrame([(float(d), "text") for d in [5] * 20 + [24]] + [(5.0, "x"), (0.5, "text")], "duration double, text string")
+    assert tuple(ingest.outlier_report(df).first()) == (23, 20, 3, 13.0)
+    assert tuple(ingest.outlier_report(df.limit(0)).first()) == (0, 0, 0, 0.0)
+    rows = spark.createDataFrame([([1.0, 2.0], [[1.0], [2.0, 3.0]])], "a array<double>, b array<array<double>>")
+    assert [ingest.input_lengths(rows, c).first().input_length for c in ("a", "b")] == [2, 1]
+
+
 # --- sampling --------------------------------------------------------------------------------------
 
 
@@ -310,3 +367,34 @@ def test_samples_are_reproducible(spark):
     assert len(first) == 7 and first == [r.id for r in sampling.sample(df.repartition(5), "id", 7).collect()]
     got = sampling.stratified(df, "wer", "id").groupBy("stratum").count().collect()
     assert {r.stratum: r["count"] for r in got} == {k: 5 for k in ("Very Low", "Low", "Medium", "High", "Very High")}
+
+
+def test_frequency_ranks_are_those_of_a_sort(spark):
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("aébक") for _ in range(rng.randrange(1, 8))): rng.randrange(1, 4) for _ in range(500)}
+    got = sampling.frequency_ranks(spark.createDataFrame(list(counts.items()), "word string, n long")).collect()
+    expected = sorted(counts, key=lambda w: (-counts[w], w.encode()))
+    assert [r.word for r in sorted(got, key=lambda r: r["rank"])] == expected and sorted(r["rank"] for r in got) == list(range(1, len(counts) + 1))
+
+
+def test_row_filters_and_totals(spark):
+    df = column(spark, ["दो किताबें", "एक तरफ", "मोबाइल"]).withColumn("number_notes", numbers.converted(T.split(F.col("x")))["notes"])
+    assert [r.i for r in numbers.with_notes(df, "number_conversion").collect()] == [0]
+    assert [r.i for r in numbers.with_notes(df, "preserved_idiom").collect()] == [1]
+    assert [r.i for r in codeswitch.with_english(codeswitch.analyze(df, "x")).collect()] == [2]
+    row = spelling.totals(spelling.classify(column(spark, ["घर", "देश", "xyzहां"]), "x")).first()
+    assert (row.total_words, row.correct_spelling, row.incorrect_spelling, row.correct_pct) == (3, 2, 1, 66.67)
+    assert row.layer_breakdown == {"dictionary": 2, "mixed_script": 1}
+    assert spelling.totals(spelling.classify(column(spark, []), "x")).first().correct_pct == 0.0
+
+
+def test_ordered_resources(tmp_path):
+    (tmp_path / "r").write_text("2\tb\tbee\n1\ta\tay\n3\ta\tlater\n4\tc\n", encoding="utf-8")
+    assert lex.resource(str(tmp_path / "r")) == (("a", "ay"), ("b", "bee"), ("c", None))
+
+
+def test_words_with_quotes_in_literal_sets(spark):
+    words = {"it's", "a\\b", 'q"q', ""}
+    assert mapped(spark, [*sorted(words), "its", None], lambda x: lex.among(x, words)) == [True] * 4 + [False, None]
+    assert mapped(spark, ["it's"], lambda x: F.element_at(lex.mapping({"it's": "a'b"}), x)) == ["a'b"]
+    assert mapped(spark, ["a"], lambda x: lex.among(x, [])) == [False]

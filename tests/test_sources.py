@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from patraka.operators import evaluation, ingest
+from patraka.operators import evaluation, ingest, spelling
 from patraka.sources import tables
 from patraka.streaming import transcripts
 
@@ -96,3 +96,23 @@ def test_streams(spark, tmp_path):
     assert {r.ref: r.layer for r in got}["a"] == "mixed_script"
     got = drained(transcripts.error_rates(stream, "t", "ref", "hyp"), "rates", "complete")
     assert sorted((r.window.start.minute, r.n, r.wer_micro) for r in got) == [(0, 2, 0.25), (10, 1, 1.0)]
+
+
+def test_check_csv_and_cache(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("id,word\n1,घर\n2,xyzहां\n3,\n4,007\n", encoding="utf-8")
+    row = spelling.check_csv(spark, str(tmp_path / "w.csv"), str(tmp_path / "out")).first()
+    assert (row.total_words, row.correct_spelling, row.incorrect_spelling, row.correct_pct) == (4, 1, 3, 25.0)
+    got = {r.word: (r.classification, r.layer) for r in tables.read_csv(spark, str(tmp_path / "out"), text=True).collect()}
+    assert got == {"घर": ("correct", "dictionary"), "xyzहां": ("incorrect", "mixed_script"), "nan": ("incorrect", "mixed_script"), "007": ("incorrect", "mixed_content")}
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(it):
+        for batch in it:
+            calls.add(1)
+            yield batch
+
+    df = spark.range(3).mapInArrow(seen, "id long")
+    first = sorted(r.id for r in tables.cached(df, str(tmp_path / "cache")).collect())
+    before = calls.value
+    assert sorted(r.id for r in tables.cached(df, str(tmp_path / "cache")).collect()) == first == [0, 1, 2]
+    assert calls.value == before > 0

@@ -20,17 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is absent (local tests) is a temporary folder used.
-    """
+def _own_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/checkpoints"
-    return f"{base.rstrip('/')}/patraka-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/patraka-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
+
+    Only where that setting is absent (local tests) is a temporary folder used. All folders of an application
+    lie in one, which ``clean`` deletes.
+    """
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once no result is read from it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -117,9 +128,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = (
             up
             if labels is None
-            else labels.join(up.select(F.col("u").alias("p"), F.col("p").alias("root")), "p", "left").select(
-                "u", F.coalesce("root", "p").alias("p")
-            )
+            else materialize(labels.join(up.select(F.col("u").alias("p"), F.col("p").alias("root")), "p", "left").select("u", F.coalesce("root", "p").alias("p")))
         )
         live = materialize(_between(live.join(left, "u").join(right, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))))
     if labels is None:

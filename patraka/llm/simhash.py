@@ -111,18 +111,20 @@ def links(fps: DataFrame) -> DataFrame:
 
 def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of whole keys from batches sorted by key, only keys with two rows or more."""
-    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, fps = [], []
     for batch in it:
-        key = np.concatenate([key, batch.column(0).to_numpy()])
-        fp = np.concatenate([fp, batch.column(1).to_numpy()])
-        if not len(key):
+        if not batch.num_rows:
             continue
+        keys.append(batch.column(0).to_numpy())
+        fps.append(batch.column(1).to_numpy())
+        if keys[-1][-1] == keys[0][0]:
+            continue  # one key so far: no row is copied until it ends
+        key, fp = np.concatenate(keys), np.concatenate(fps)
         whole = int(np.searchsorted(key, key[-1], side="left"))
-        if whole:
-            yield _shared(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-    if len(key):
-        yield _shared(key, fp)
+        yield _shared(key[:whole], fp[:whole])
+        keys, fps = [key[whole:]], [fp[whole:]]
+    if keys:
+        yield _shared(np.concatenate(keys), np.concatenate(fps))
 
 
 def _shared(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

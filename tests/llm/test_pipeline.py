@@ -77,3 +77,23 @@ def test_tokens_like_the_library(stages, spark, sf):
     assert len(got) == stages[4].count()
     assert all(list(r.token_ids) == library.encode(texts[r.doc_id]) for r in got)
     assert sorted(map(str, got)) == sorted(map(str, corpus_pipeline.run(spark, sf).collect()))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, fp string, lang_pred int"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows_and_an_empty_table(spark, name, stage):
+    long_ = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "The same words stand here twice, in this table of odd rows.", "en", "a", 59)]
+    rows += [(3, rows[2][1], "en", "a", 59), (None, "No id at all, but words in plenty to be found here.", "en", None, 51), (4, long_, "en", "b", len(long_))]
+    df = spark.createDataFrame([(*r, "k", 1, "f", 2) for r in rows], ODD)
+    got, empty = stage(spark, df, ""), stage(spark, df.limit(0), "")
+    assert empty.count() == 0 and empty.columns == got.columns
+    if name != "tokens":
+        assert got.columns == df.columns
+        assert {r.doc_id for r in got.collect()} <= {None, 1, 2, 3, 4}
+    else:
+        assert got.count() == len(rows)
+    if name == "language":
+        assert not {1, 2} & {r.doc_id for r in got.collect()}

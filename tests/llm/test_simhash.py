@@ -137,3 +137,16 @@ def test_keep_first_is_deterministic(spark):
     assert first == sorted(map(str, simhash.keep_first(df.repartition(4)).collect()))
     assert sorted(r.text for r in simhash.keep_first(df).collect()) == ["a b c d e f g", "null", "zz yy"]
     assert simhash.keep_first(df).where(F.col("text").startswith("a b")).first().source == "q"
+
+
+def test_runs_of_one_key_over_many_batches():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.choice([1, 2, 2, 2, 2, 5, 9]), rng.getrandbits(40)) for _ in range(500))
+    batch = lambda part: pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in part], pa.int64()), "fp": pa.array([f for _, f in part], pa.int64())})
+    parts = [rows[i : i + 7] for i in range(0, 500, 7)]
+    got = [(k, f) for keys, fps in simhash.groups(map(batch, [[], *parts, []])) for k, f in zip(keys.tolist(), fps.tolist())]
+    several = {k for k in {k for k, _ in rows} if sum(x == k for x, _ in rows) > 1}
+    assert got == [(k, f) for k, f in rows if k in several]
+    assert list(simhash.groups(iter([]))) == []

@@ -123,10 +123,10 @@ def hint(pattern: str) -> str | None:
     return max(words, key=len) if words else None
 
 
-def hints(sentences: Sequence[tuple[str, str]]) -> regex.Pattern:
-    """A pattern that every raw text with one of the sentences matches, so that other texts are done at once."""
+def hints(sentences: Sequence[tuple[str, str]]) -> tuple[str, ...]:
+    """Words of which every raw text with one of the sentences holds one in lower case, so that other texts are done at once; the empty word if there are none such."""
     words = {hint(p) for _, p in sentences}
-    return regex.compile("" if None in words else "|".join(sorted(map(regex.escape, words))), regex.IGNORECASE)
+    return ("",) if None in words else tuple(sorted(words))
 
 
 END = regex.compile(r"(?i)(?<!license-identifier:)(?<=[.!?;:])\s+|\n\s*\n")
@@ -148,11 +148,15 @@ class Scanner:
 
     def __post_init__(self):
         self.names = {name.lower(): name for name in (*SPDX, *(name for name, _ in self.rules)) if "{" not in name}  # as an identifier may be written
-        self.hint = hints(self.sentences)
+        self.hints = hints(self.sentences)
         self.patterns = [(name, regex.compile(p)) for name, p in self.sentences]
         closed = [(name, p) for name, p in self.sentences if not p.endswith(".*")]
         self.closed = [(name, p.startswith(".*"), regex.compile(rf"(?<!\S)(?:{p.removeprefix('.*').replace('.*', '.*?')})(?!\S)")) for name, p in closed]
 
+    def hinted(self, text: str) -> bool:
+        low = text.lower()
+        return any(w in low for w in self.hints)
+
     def identify(self, sentence: str) -> tuple[str, dict] | None:
         text = normalise(sentence)
         if text in self.known:
@@ -183,7 +187,7 @@ class Scanner:
         """Known sentences in order. Lines are tried one by one and in runs where a whole sentence is unknown."""
         out = []
         for sentence in END.split(text):
-            if not self.hint.search(sentence):
+            if not self.hinted(sentence):
                 continue
             if got := self.identify(sentence):
                 out.append(got)
@@ -194,7 +198,7 @@ class Scanner:
             while len(lines) > 1 and at < len(lines):
                 for to in range(min(len(lines), at + LINES), at, -1):
                     part = "\n".join(lines[at:to])
-                    if self.hint.search(part) and (got := self.identify(part)):
+                    if self.hinted(part) and (got := self.identify(part)):
                         out.append(got)
                         at = to
                         break
@@ -241,7 +245,7 @@ def scan(docs: DataFrame, sentences: Sequence[tuple[str, str]] = SENTENCES, rule
             for part in rows_of(batch, 4 << 20, "text"):
                 ids, licences, counts = [], [], []
                 for text in part.column(1).to_pylist():
-                    found = scanner.identifiers(text) if text and scanner.hint.search(text) else []
+                    found = scanner.identifiers(text) if text and scanner.hinted(text) else []
                     counts.append(len(found))
                     ids.append(",".join(x[0] for x in found))
                     licences.append(",".join(dict.fromkeys(scanner.licences(found))))

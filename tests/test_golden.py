@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from patraka.functions import codeswitch, numbers, wer
+from patraka.functions import codeswitch, numbers, registry, wer
 from patraka.functions import lexicons as lex
 from patraka.functions import text as T
 from patraka.operators import align, ingest, sampling, spelling
@@ -398,3 +398,18 @@ def test_words_with_quotes_in_literal_sets(spark):
     assert mapped(spark, [*sorted(words), "its", None], lambda x: lex.among(x, words)) == [True] * 4 + [False, None]
     assert mapped(spark, ["it's"], lambda x: F.element_at(lex.mapping({"it's": "a'b"}), x)) == ["a'b"]
     assert mapped(spark, ["a"], lambda x: lex.among(x, [])) == [False]
+
+
+def test_sql_functions_like_the_expressions(spark):
+    texts = ["A.b, c। d॥", " (x) ", "", None, "घरx", "काा", "ज़", "सौ", "स्टेशन", "it's \"…\" — ok"]
+    names = registry.register(spark, "t_")
+    assert len(names) == len(registry.definitions())
+    column(spark, texts).createOrReplaceTempView("t_texts")
+    said = {
+        "align_text": T.for_alignment, "composed_wer_text": lambda x: T.for_error_rate(x, compose=False), "strip_marks": T.strip_marks, "detector_clean": T.detector_clean, "number_value": numbers.number_value,
+        "has_latin": T.has_latin, "only_devanagari": T.only_devanagari, "sound_structure": T.sound_structure, "english_ending": T.english_ending, "has_nukta": T.has_nukta,
+    }
+    for name, f in said.items():
+        assert [r[0] for r in spark.sql(f"select t_{name}(x) from t_texts order by i").collect()] == mapped(spark, texts, f), name
+    row = spark.sql("select t_normalized_distance('ab', 'abc') as d, t_normalized_distance('', 'a') as e, t_half_even(2.5, 0) as h").first()
+    assert (row.d, row.e, row.h) == (pytest.approx(1 / 3), 1.0, 2.0)

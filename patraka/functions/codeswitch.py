@@ -18,8 +18,8 @@ def merged(custom: dict[str, str] | None) -> dict[str, str]:
     return lex.loanwords() | (custom or {})
 
 
-def detections(words: Column, custom: dict[str, str] | None = None) -> Column:
-    """One struct for each English word, first rule that hits: Latin letters, a known word, a known word with up to three characters more.
+def looked_up(words: Column, custom: dict[str, str] | None = None) -> Column:
+    """By word its ``hit``, null unless it is English; first rule that fits: Latin letters, a known word, a known word with up to three characters more.
 
     The last looks up the word's own prefixes in the (hashed) set of known words, and takes of those found
     the first in the lexicon's order.
@@ -50,29 +50,33 @@ def detections(words: Column, custom: dict[str, str] | None = None) -> Column:
         hit = look(detector_clean(w))
         return F.struct(w.alias("word"), detector_clean(w).alias("clean_word"), hit.alias("hit"), i.cast("int").alias("position"))
 
-    hits = F.filter(F.transform(words, one), lambda x: x["hit"]["english"].isNotNull())
+    return F.transform(words, one)
+
+
+def detections(looked: Column) -> Column:
+    """One struct for each English word among those that ``looked_up`` tells of."""
     return F.transform(
-        hits,
+        F.filter(looked, lambda x: x["hit"]["english"].isNotNull()),
         lambda x: F.struct(
             x["word"].alias("word"), x["clean_word"].alias("clean_word"), x["hit"]["english"].alias("english"), x["hit"]["method"].alias("detection_method"), x["hit"]["confidence"].alias("confidence"), x["position"].alias("position")
         ),
     )
 
 
-def tagged(text: Column, words: Column, found: Column) -> Column:
+def tagged(text: Column, looked: Column) -> Column:
     """The text with ``[EN]`` and ``[/EN]`` around English words; unchanged, white space too, if there are none."""
-    at = F.transform(found, lambda d: d["position"])
-    marked = F.transform(words, lambda w, i: F.when(F.array_contains(at, i.cast("int")), F.concat(F.lit("[EN]"), w, F.lit("[/EN]"))).otherwise(w))
-    return F.when(F.size(found) == 0, text).otherwise(F.array_join(marked, " "))
+    english = lambda x: x["hit"]["english"].isNotNull()
+    marked = F.transform(looked, lambda x: F.when(english(x), F.concat(F.lit("[EN]"), x["word"], F.lit("[/EN]"))).otherwise(x["word"]))
+    return F.when(F.exists(looked, english), F.array_join(marked, " ")).otherwise(text)
 
 
 def analyze(df: DataFrame, text: str, custom: dict[str, str] | None = None) -> DataFrame:
     """Add ``words``, ``english_words``, ``tagged``, ``total_words``, ``english_word_count`` and ``english_ratio``."""
-    df = df.withColumn("words", split(F.col(text))).withColumn("english_words", detections(F.col("words"), custom))
+    df = df.withColumn("words", split(F.col(text))).withColumn("__looked", looked_up(F.col("words"), custom)).withColumn("english_words", detections(F.col("__looked")))
     n, m = F.size("words"), F.size("english_words")
     return df.withColumns(
-        {"tagged": tagged(F.col(text), F.col("words"), F.col("english_words")), "total_words": n, "english_word_count": m, "english_ratio": F.coalesce(F.try_divide(m, n), F.lit(0.0))}
-    )
+        {"tagged": tagged(F.col(text), F.col("__looked")), "total_words": n, "english_word_count": m, "english_ratio": F.coalesce(F.try_divide(m, n), F.lit(0.0))}
+    ).drop("__looked")
 
 
 def cleanup(df: DataFrame, text: str, keep_idioms: bool = True) -> DataFrame:

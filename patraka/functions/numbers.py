@@ -37,7 +37,8 @@ def converted(words: Column, keep_idioms: bool = True) -> Column:
 
     A number starts with a number word that no idiom protects. A following power multiplies (zero counts
     as one), a smaller value adds, anything else ends it. Values are exact up to 38 digits; beyond, a word
-    that would go over counts for nothing.
+    that would go over counts for nothing. Each run of number words is folded on its own, so that the work grows
+    with the text's length and not with its square.
     """
     nothing, closed = F.array().cast("array<string>"), F.lit(None).cast(BIG)
     zero, one = F.lit(0).cast(BIG), F.lit(1).cast(BIG)
@@ -75,7 +76,19 @@ def converted(words: Column, keep_idioms: bool = True) -> Column:
     def finish(s: Column) -> Column:
         return bind(flush(s), lambda f: F.struct(f["out"].alias("words"), f["notes"].alias("notes")))
 
-    return F.aggregate(F.transform(words, tag), state(nothing, F.array().cast(NOTES)), step, finish)
+    def folded(run: Column) -> Column:
+        return F.aggregate(run, state(nothing, F.array().cast(NOTES)), step, finish)
+
+    def by_runs(xs: Column, starts: Column) -> Column:
+        runs = F.transform(starts, lambda at, k: F.slice(xs, at + 1, F.coalesce(F.get(starts, k + 1), F.size(xs)) - at))
+        return bind(F.transform(runs, folded), lambda done: F.struct(F.flatten(F.transform(done, lambda d: d["words"])).alias("words"), F.flatten(F.transform(done, lambda d: d["notes"])).alias("notes")))
+
+    def starts(xs: Column) -> Column:
+        """Places of words that are no numbers, or the first of a run of numbers."""
+        begins = F.transform(xs, lambda x, i: F.when((i == 0) | x["v"].isNull() | F.get(xs, i - 1)["v"].isNull(), i))
+        return F.filter(begins, lambda i: i.isNotNull())
+
+    return bind(F.transform(words, tag), lambda xs: bind(starts(xs), lambda at: by_runs(xs, at)))
 
 
 def to_digits(text: Column, keep_idioms: bool = True) -> Column:

@@ -51,6 +51,7 @@ def test_runs_of_words_collapse(spark):
 
 # --- numbers ---------------------------------------------------------------------------------------
 
+# The first eight sentences are inputs whose results are given; the others are written for this test.
 NUMBERS = [
     ("मेरे पास दो किताबें हैं", "मेरे पास 2 किताबें हैं", 1, 0),
     ("तीन सौ चौवन रुपए", "354 रुपए", 1, 0),
@@ -84,6 +85,7 @@ def test_numbers_without_protection_and_without_bound(spark):
 
 # --- English words ---------------------------------------------------------------------------------
 
+# Sentences whose English words are given.
 ENGLISH = [
     ("मेरा इंटरव्यू बहुत अच्छा गया और मुझे जॉब मिल गई", ["इंटरव्यू", "जॉब"], 10),
     ("ये प्रॉब्लम सॉल्व नहीं हो रहा", ["प्रॉब्लम"], 6),
@@ -113,6 +115,7 @@ def test_variants_custom_words_and_white_space(spark):
 
 # --- spelling --------------------------------------------------------------------------------------
 
+# Words whose verdicts are given, here and in the loop below; the others are written for this test.
 WORDS = {w: ("correct", "high", "dictionary") for w in "बहुत कंप्यूटर अच्छा हम्म स्कूल पढ़ाई बिजनेस बच्चों स्कॉलरशिप".split()}
 WORDS |= {
     "xyzहां": ("incorrect", "high", "mixed_script"),

@@ -1,7 +1,7 @@
 """Edit distances and word error rates.
 
-Words of a pair are numbered by first appearance and each becomes one character, so that the built-in
-``levenshtein`` compares word sequences inside generated code. Distances to lattices run in Arrow batches.
+Edits between sequences of words, and between lattices and words, are counted in Arrow batches, a row of a
+table as the bits of one number (``patraka.functions.edits``).
 """
 
 from __future__ import annotations
@@ -13,12 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patraka.functions import edits
-from patraka.functions.numbers import bind
-
-FEW_SYMBOLS = 94  # places whose symbols are single bytes, from the blank on
-FIRST_SYMBOL = 0x3400
-SURROGATES = (0xD800, 0xE000)  # code points that stand for no character
-MOST_SYMBOLS = 0x110000 - FIRST_SYMBOL - (SURROGATES[1] - SURROGATES[0])
 
 
 def normalized_distance(a: Column, b: Column) -> Column:
@@ -27,21 +21,15 @@ def normalized_distance(a: Column, b: Column) -> Column:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edits between two word arrays; an error is raised beyond MOST_SYMBOLS (about a million) distinct words in a pair."""
-
-    def symbol(place: Column) -> Column:
-        code = place + F.lit(FIRST_SYMBOL - 1)
-        code = F.when(code < SURROGATES[0], code).otherwise(code + (SURROGATES[1] - SURROGATES[0]))
-        return F.when(place <= FEW_SYMBOLS, F.char(place + 31)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    """Edits between two word arrays, of any number of distinct words; null if either is, null words are left out."""
 
-    def symbols(seq: Column, words: Column) -> Column:
-        return F.array_join(F.transform(F.transform(seq, lambda w: F.array_position(words, w)), symbol), "")
+    @F.arrow_udf("long")
+    def count(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        known = pa.compute.and_(refs.is_valid(), hyps.is_valid())
+        both = (pa.array([x and [w for w in x if w is not None] for x in c.to_pylist()], c.type) if c.flatten().null_count else c for c in (refs, hyps))
+        return pa.compute.if_else(known, pa.array(edits.word_counts(*both)), pa.scalar(None, pa.int64()))
 
-    too_many = F.raise_error(F.lit(f"a pair with more than {MOST_SYMBOLS} distinct words")).cast("long")
-    return bind(
-        F.array_distinct(F.concat(ref, hyp)),
-        lambda words: F.when(F.size(words) > MOST_SYMBOLS, too_many).otherwise(F.levenshtein(symbols(ref, words), symbols(hyp, words)).cast("long")),
-    )
+    return count(ref, hyp)
 
 
 def standard_wer(ref: Column, errors: Column) -> Column:
@@ -61,7 +49,12 @@ def lattice_errors(lattice: Column, hyp: Column, free: Column | None = None) ->
     """
 
     @F.arrow_udf("long")
-    def count(lattices: pa.Array, hyps: pa.Array, free: pa.Array) -> pa.Array:
+    def count(lattices: pa.Array, hyps: pa.Array) -> pa.Array:
+        known = pa.compute.and_(lattices.is_valid(), hyps.is_valid())
+        return pa.compute.if_else(known, pa.array(edits.lattice_counts(lattices, hyps)), pa.scalar(None, pa.int64()))
+
+    @F.arrow_udf("long")
+    def count_free(lattices: pa.Array, hyps: pa.Array, free: pa.Array) -> pa.Array:
         known = pa.compute.and_(lattices.is_valid(), hyps.is_valid())
         # the words of a hypothesis are numbered with those of its lattice, as its last bin
         both = [[*(x or []), h or []] for x, h in zip(lattices.to_pylist(), hyps.to_pylist())]
@@ -72,7 +65,7 @@ def lattice_errors(lattice: Column, hyp: Column, free: Column | None = None) ->
             out[own] = edits.through([held[i][:-1] for i in own], [held[i][-1] for i in own], [skip[i] for i in own])
         return pa.compute.if_else(known, pa.array(out), pa.scalar(None, pa.int64()))
 
-    return count(lattice, hyp, F.lit(None).cast("array<boolean>") if free is None else free)
+    return count(lattice, hyp) if free is None else count_free(lattice, hyp, free)
 
 
 def lattice_wer(lattice: Column, errors: Column) -> Column:

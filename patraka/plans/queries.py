@@ -360,17 +360,17 @@ def _utterances(spark, d):
     return rows.select(utt.alias("utt"), "lang", "human", dropped.alias("m1"), changed.alias("m2"), swapped.alias("m3"))
 
 
-def _long(spark, d):
-    return evaluation.long(_utterances(spark, d), MODELS, ["utt", "lang", "human"])
+def _long(spark, d, models=MODELS):
+    return evaluation.long(_utterances(spark, d), models, ["utt", "lang", "human"])
 
 
-def _measured(spark, d):
-    rows = _long(spark, d).withColumn("errors", wer.word_distance(F.col("human"), F.col("hyp")))
+def _measured(spark, d, models=MODELS):
+    rows = _long(spark, d, models).withColumn("errors", wer.word_distance(F.col("human"), F.col("hyp")))
     return rows.withColumn("wer", wer.standard_wer(F.col("human"), F.col("errors")))
 
 
 def _errors(spark, d):
-    return _measured(spark, d).where("model = 'm1'")
+    return _measured(spark, d, MODELS[:1])
 
 
 @query
@@ -408,7 +408,7 @@ def unpivot_models(spark, d):
 def _columns(spark, d):
     """Lattices of the sequences that keep the reference's places: one bin for each."""
     rows = _utterances(spark, d)
-    return rows.withColumn("lattice", F.transform(F.arrays_zip("human", "m2", "m3"), lambda x: F.array_sort(F.array_distinct(F.array(x["human"], x["m2"], x["m3"])))))
+    return rows.withColumn("lattice", F.transform(F.arrays_zip("human", "m2", "m3"), lambda x: F.sort_array(F.array_distinct(F.array(x["human"], x["m2"], x["m3"])))))
 
 
 @query

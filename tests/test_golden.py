@@ -12,6 +12,7 @@ from patraka.functions import codeswitch, numbers, registry, wer
 from patraka.functions import lexicons as lex
 from patraka.functions import text as T
 from patraka.operators import align, ingest, sampling, spelling
+from patraka.plans.queries import QUERIES
 
 
 def column(spark, values, kind="string"):
@@ -299,6 +300,30 @@ def test_odd_lattices(spark):
     assert [tuple(r) for r in df.select(e, wer.lattice_wer(F.col("l"), e)).collect()] == [(None, None), (None, None), (2, 0.0), (2, 1.0)]
 
 
+@pytest.mark.parametrize("size", [0, 3, 64, 65, 90])
+def test_edits_by_bits_like_a_table(spark, size):
+    rng = random.Random(size)
+    rows = [tuple([rng.choice("abcde") for _ in range(rng.randrange(size + 1))] for _ in range(2)) for _ in range(40)] + [(["a"] * size, ["b"] * size)]
+    bins = [[[rng.choice("abcde") for _ in range(rng.choice([0, 1, 2, 9]))] for _ in a] for a, _ in rows]
+    df = spark.createDataFrame([(i, a, b, x) for i, ((a, b), x) in enumerate(zip(rows, bins))], "i long, a array<string>, b array<string>, l array<array<string>>")
+    got = df.select("i", wer.word_distance(F.col("a"), F.col("b")).alias("d"), wer.lattice_errors(F.col("l"), F.col("b")).alias("e")).orderBy("i").collect()
+    assert [r.d for r in got] == [edits(a, b) for a, b in rows]
+    assert [r.e for r in got] == [through(x, b) for (_, b), x in zip(rows, bins)]
+
+
+def passes(df) -> int:
+    """How often the plan hands rows to Python."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_edits_stay_out_of_the_row_expressions(spark, sf):
+    # as column expressions they were interpreted word by word, and a condition repeated them
+    for name in ("standard_wer", "sentence_wer", "wer_micro", "wer_macro_by_group", "best_worst_model", "lattice_wer", "lattice_summary", "stratified_sample"):
+        df = QUERIES[name](spark, sf)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert passes(df) == 1 and "levenshtein" not in plan, name
+
+
 # --- ingestion -------------------------------------------------------------------------------------
 
 FILES = {

@@ -28,7 +28,8 @@ def band(wer: Column) -> Column:
 
 def stratified(df: DataFrame, wer: str, key: str, n: int = 5, seed: int = 42) -> DataFrame:
     """At most ``n`` rows of each error-rate band, with the band as ``stratum``; rows without errors are left out."""
-    rows = df.withColumn("stratum", band(F.col(wer))).where("stratum is not null")
+    # not as a condition, which would be carried below ``wer`` and compute it once more (with each use of its value, before)
+    rows = df.withColumn("stratum", F.explode(F.filter(F.array(band(F.col(wer))), lambda b: b.isNotNull())))
     order = Window.partitionBy("stratum").orderBy(turn(F.col(key), seed), key)
     return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 

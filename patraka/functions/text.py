@@ -7,10 +7,8 @@ detector's cleaner deletes a small set.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from patraka.functions import lexicons as lex
 
@@ -20,10 +18,11 @@ DOUBLE_DANDA = "॥"
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf(T.StringType())  # a type and not its name, so that importing needs no session
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition, which Spark has no function for."""
-    return text.str.normalize("NFC")
+def nfc(text: Column) -> Column:
+    """Canonical composition by the Unicode library that Spark brings along, without Python's batches of whole texts."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    # most texts need none: letters up to U+02FF alone are composed
+    return F.when(text.rlike(r"[^\x00-\x{2FF}]"), composed).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -37,7 +36,7 @@ def spaced(text: Column, marks: str) -> Column:
 def for_error_rate(text: Column, compose: bool = True) -> Column:
     """NFC, punctuation to blanks (full stops stay), lower case, single blanks.
 
-    ``compose=False`` skips the one step that needs Python, for text known to be composed.
+    ``compose=False`` skips the first step, for text known to be composed.
     """
     return squeeze(F.lower(spaced(nfc(text) if compose else text, MARKS + DOUBLE_DANDA)))
 

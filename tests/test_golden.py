@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def mapped(spark, values, f, kind="string"):
     return [r[0] for r in column(spark, values, kind).select("i", f(F.col("x")).alias("y")).orderBy("i").select("y").collect()]
 
 
+def passes(df) -> int:
+    """How often the plan hands rows to Python."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
 # --- text ------------------------------------------------------------------------------------------
 
 
@@ -38,6 +44,13 @@ def test_composition_and_white_space(spark):
     assert mapped(spark, ["a b\x1cc", "", "  "], T.split) == [["a", "b", "c"], [], []]
 
 
+def test_composition_needs_no_python(spark, sf):
+    texts = ["e\u0301", "\u0928\u093c", "\u1100\u1161\u11a8", "\u0958", "a\u0323\u0307", "\u212b\u2126", "caf\u00e9", "", None]
+    assert mapped(spark, texts, T.nfc) == [x if x is None else unicodedata.normalize("NFC", x) for x in texts]
+    for name in ("non_empty", "norm_wer_text"):  # batches of whole texts took memory with the texts' length
+        assert passes(QUERIES[name](spark, sf)) == 0
+
+
 def test_script_tests(spark):
     assert mapped(spark, ["", "घर", "घरx", "1"], T.only_devanagari) == [True, True, False, False]
     assert mapped(spark, ["", "घर", "xघ", "1"], T.mostly_devanagari) == [False, True, False, False]
@@ -311,11 +324,6 @@ def test_edits_by_bits_like_a_table(spark, size):
     assert [r.e for r in got] == [through(x, b) for (_, b), x in zip(rows, bins)]
 
 
-def passes(df) -> int:
-    """How often the plan hands rows to Python."""
-    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
-
-
 def test_edits_stay_out_of_the_row_expressions(spark, sf):
     # as column expressions they were interpreted word by word, and a condition repeated them
     for name in ("standard_wer", "sentence_wer", "wer_micro", "wer_macro_by_group", "best_worst_model", "lattice_wer", "lattice_summary", "stratified_sample"):

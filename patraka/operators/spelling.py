@@ -32,6 +32,7 @@ LAYERS = (
     ("unknown_devanagari", "incorrect", "low"),
     ("unknown_nonstandard", "incorrect", "medium"),
 )
+MORPHOLOGY = ("morphology_suffix", "morphology_prefix", "morphology_combined")
 REASONS = {
     "punctuation": "Nothing but punctuation",
     "dictionary": "In the dictionary",
@@ -57,8 +58,8 @@ def frequency_dictionary(words: DataFrame, top_n: int = 5000) -> DataFrame:
     return kept.where((F.length("word") >= 2) & T.only_devanagari(F.col("word"))).distinct()
 
 
-def morphs(clean: Column) -> Column:
-    """Splits of a word, in the order in which they are tried: ``array<struct<layer, root, reason>>``."""
+def morphs(clean: Column, layers: Iterable[str] = MORPHOLOGY) -> Column:
+    """Splits of a word, in the order in which they are tried: ``array<struct<layer, root, reason>>``; ``layers``: only those of some layers."""
     suffixes, prefixes = lex.affixes("suffix"), lex.affixes("prefix")
     # stable by length, longest first
     by_length = lambda xs: F.array(*map(F.lit, sorted(xs, key=len, reverse=True)))
@@ -92,7 +93,7 @@ def morphs(clean: Column) -> Column:
         )
 
     three = F.flatten(F.transform(beginning(clean, literal(prefixes)), both))
-    return F.concat(one, two, three)
+    return F.concat(*(splits for layer, splits in zip(MORPHOLOGY, (one, two, three)) if layer in layers))
 
 
 def nukta_variants(clean: Column) -> Column:

@@ -49,10 +49,19 @@ def text_sql(dialect: str) -> str:
     return " || ' ' || ".join(parts)
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(word, n)``: distinct words and their counts.
+
+    The word is stated with its count, as conditions on it would otherwise be carried below the count and be
+    computed for each row of lineitem.
+    """
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").createOrReplaceTempView("__lineitem")
+    return spark.sql(f"select case when count(*) > 0 then word end as word, count(*) as n from (select {word_sql(SPARK)} as word from __lineitem) group by word")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(rank, word, n)``: distinct words, the most frequent first, ties by code point."""
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").createOrReplaceTempView("__lineitem")
-    return frequency_ranks(spark.sql(f"select word, count(*) as n from (select {word_sql(SPARK)} as word from __lineitem) group by word"))
+    return frequency_ranks(counted(spark, sf_dir))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def norm_align(spark, d):
 
 @query
 def strip_punct(spark, d):
-    return P.words(spark, d).select("word", T.strip_marks(F.col("word")).alias("clean"), T.detector_clean(F.col("word")).alias("detector"))
+    return P.counted(spark, d).select("word", T.strip_marks(F.col("word")).alias("clean"), T.detector_clean(F.col("word")).alias("detector"))
 
 
 @query
@@ -61,7 +61,7 @@ def tokenize_counts(spark, d):
 def script_profile(spark, d):
     w = F.col("word")
     tests = {"devanagari": T.mostly_devanagari(w), "latin": T.has_latin(w), "pure": T.only_devanagari(w), "sound": T.sound_structure(w), "english": T.english_ending(w), "joined": T.joined(w), "marks": T.has_marks(w), "nukta": T.has_nukta(w)}
-    return P.words(spark, d).select("word", *(c.alias(k) for k, c in tests.items()))
+    return P.counted(spark, d).select("word", *(c.alias(k) for k, c in tests.items()))
 
 
 # --- ingestion -------------------------------------------------------------------------------------
@@ -153,9 +153,8 @@ def stratified_sample(spark, d):
 
 
 def _classified(spark, d):
-    words = P.words(spark, d)
-    top = spelling.frequency_dictionary(words, TOP_N)
-    return spelling.classify(words, dictionary=[r["word"] for r in top.collect()])  # TOP_N words at most
+    top = spelling.frequency_dictionary(P.words(spark, d), TOP_N)
+    return spelling.classify(P.counted(spark, d), dictionary=[r["word"] for r in top.collect()])  # TOP_N words at most
 
 
 @query
@@ -169,24 +168,24 @@ def _vocabulary(spark):
 
 @query
 def vocab_semi_join(spark, d):
-    words = P.words(spark, d).select("word")
+    words = P.counted(spark, d).select("word")
     return words.join(F.broadcast(_vocabulary(spark)), F.col("word") == F.col("known"), "left_semi")
 
 
 @query
 def vocab_anti_join(spark, d):
-    words = P.words(spark, d).select("word")
+    words = P.counted(spark, d).select("word")
     return words.join(F.broadcast(_vocabulary(spark)), F.col("word") == F.col("known"), "left_anti")
 
 
 @query
 def structure_invalid(spark, d):
-    return P.words(spark, d).where(~T.sound_structure(T.strip_marks(F.col("word")))).select("word")
+    return P.counted(spark, d).where(~T.sound_structure(T.strip_marks(F.col("word")))).select("word")
 
 
 def _layer(spark, d, layer):
     clean = T.strip_marks(F.col("word"))
-    rows = P.words(spark, d).withColumn("clean", clean).withColumn("m", F.filter(spelling.morphs(F.col("clean")), lambda m: (m["layer"] == layer) & lex.among(m["root"], lex.vocabulary())))
+    rows = P.counted(spark, d).withColumn("clean", clean).withColumn("m", F.filter(spelling.morphs(F.col("clean"), [layer]), lambda m: lex.among(m["root"], lex.vocabulary())))
     return rows.where(F.size("m") > 0).select("word", F.col("m")[0]["root"].alias("root"), big(F.size("m"), "n_splits"))
 
 
@@ -208,13 +207,13 @@ def combined_morph(spark, d):
 @query
 def nukta_variant(spark, d):
     clean = T.strip_marks(F.col("word"))
-    rows = P.words(spark, d).withColumn("v", F.filter(spelling.nukta_variants(clean), lambda v: lex.among(v, lex.vocabulary())))
+    rows = P.counted(spark, d).withColumn("v", F.filter(spelling.nukta_variants(clean), lambda v: lex.among(v, lex.vocabulary())))
     return rows.where(F.size("v") > 0).select("word", F.col("v")[0].alias("variant"))
 
 
 @query
 def compound(spark, d):
-    rows = P.words(spark, d).where(T.joined(F.col("word"))).withColumn("parts", F.split(T.strip_marks(F.col("word")), "[-_]"))
+    rows = P.counted(spark, d).where(T.joined(F.col("word"))).withColumn("parts", F.split(T.strip_marks(F.col("word")), "[-_]"))
     return rows.select("word", big(F.size("parts"), "n_parts"), big(F.size(F.filter("parts", lambda p: lex.among(p, lex.vocabulary()))), "n_known"))
 
 
@@ -251,7 +250,7 @@ def failure_categories(spark, d):
 @query
 def word_lengths(spark, d):
     n = F.length("word")
-    return P.words(spark, d).agg(F.avg(n).alias("mean"), big(F.min(n), "least"), big(F.max(n), "most"), big(F.count_if(n == 1), "ones"), big(F.count_if(n > 20), "over_20"))
+    return P.counted(spark, d).agg(F.avg(n).alias("mean"), big(F.min(n), "least"), big(F.max(n), "most"), big(F.count_if(n == 1), "ones"), big(F.count_if(n > 20), "over_20"))
 
 
 @query
@@ -265,7 +264,7 @@ def review_confusion(spark, d):
 
 @query
 def number_lookup(spark, d):
-    return P.words(spark, d).select("word", numbers.number_value(F.col("word")).alias("value")).where("value is not null")
+    return P.counted(spark, d).select("word", numbers.number_value(F.col("word")).alias("value")).where("value is not null")
 
 
 @query

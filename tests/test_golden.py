@@ -63,6 +63,12 @@ def test_runs_of_words_collapse(spark):
     assert got == ["a b b c", "a a", ""]
 
 
+def test_words_are_judged_once_each(spark, sf):
+    for name in ("suffix_morph", "prefix_morph", "combined_morph", "nukta_variant", "failure_categories", "low_confidence_sample", "structure_invalid"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" in plan and "Filter" not in plan[plan.rindex("Aggregate [") :], name  # conditions were carried below the count, to each row
+
+
 # --- numbers ---------------------------------------------------------------------------------------
 
 # The first eight sentences are inputs whose results are given; the others are written for this test.

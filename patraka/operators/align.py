@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patraka.functions import edits
-from patraka.functions.edits import LEFT, UP, Sequences, Words, distance
+from patraka.functions.edits import LEFT, UP, Words, distance
 
 GAP = 1.0
 RATED = "struct<lattice:array<array<string>>,errors:array<long>,lattice_errors:array<long>>"
@@ -123,40 +123,107 @@ def bins(rows: Iterable[Sequence], min_support: int = 1, order: Callable | None
     return out
 
 
-def _steps(first: Sequence[int], second: Sequence[int], path: np.ndarray) -> list[tuple]:
-    out, i, j = [], 0, 0
-    for step in path.tolist():
-        out.append((first[i] if step != LEFT else None, second[j] if step != UP else None))
-        i, j = i + (step != LEFT), j + (step != UP)
-    return out
-
-
-def _lattices(rows: list[list[np.ndarray]], words: Words, rank: dict[int, int], empty: int, anchored: bool, min_support: int) -> list[list[list[int]]]:
-    """Lattices, in word numbers, of rows of sequences whose tables are filled together."""
-    table, word, places = words.within([np.concatenate(r) if r else np.empty(0, np.int64) for r in rows])
-    cut = [np.split(p, np.cumsum([len(s) for s in r])[:-1]) if r else [] for p, r in zip(places, rows)]
-    held: list[list[list]] = [[[w] for w in c[0].tolist()] if c else [] for c in cut]
-    for k in range(1, max(map(len, rows), default=0)):
-        go = [i for i, c in enumerate(cut) if k < len(c)]
-        said = [[majority(row) for row in held[i]] for i in go]
-        paths = edits.aligned([np.array(s, dtype=np.int64) for s in said], [cut[i][k] for i in go], table[go], GAP)
-        for i, s, path in zip(go, said, paths):
-            held[i] = merge(held[i], _steps(s, cut[i][k].tolist(), path), k, anchored)
-    if empty >= 0:
-        held = [[[None if w is None or of[w] == empty else w for w in row] for row in r] for r, of in zip(held, word)]
-    return [[[of[w] for w in b] for b in bins(r, min_support, lambda w, of=of: rank[of[w]])] for r, of in zip(held, word)]
-
-
-def _built(column: pa.Array, anchored: bool, min_support: int) -> tuple[Sequences, list[list[list[int]]]]:
-    held = Sequences(column)
-    words = Words(held.words)
-    rank = {w: i for i, w in enumerate(sorted(range(len(held.words)), key=held.words.__getitem__))}
-    empty = held.words.index("") if "" in held.words else -1
-    out: list = [[]] * len(held.rows)
-    for own in edits.parts(np.array([sum(map(len, r)) ** 2 for r in held.rows], dtype=np.int64)):
-        for i, got in zip(own.tolist(), _lattices([held.rows[i] for i in own], words, rank, empty, anchored, min_support)):
-            out[i] = got
-    return held, out
+class Batch:
+    """Rows of sequences of words by number, from ``list<list<string>>``; null counts as empty."""
+
+    def __init__(self, column: pa.Array):
+        self.rows = edits.Runs(column)
+        self.sequences = edits.Runs(self.rows.inner)
+        coded = self.sequences.inner.cast(pa.string()).fill_null("").dictionary_encode()
+        self.texts, self.ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.words = Words(self.texts.to_pylist())
+        ends = np.r_[0, np.cumsum(self.sequences.sizes)]
+        self.total = ends[self.rows.starts + self.rows.sizes] - ends[self.rows.starts]  # words by row
+
+    def nth(self, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k``-th sequences of rows that have as many, and their lengths."""
+        own = self.rows.starts[rows] + k
+        n = self.sequences.sizes[own]
+        return edits.grid(self.ids, self.sequences.starts[own], n, -1), n
+
+
+def _majorities(held: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row and position the first entry and the majority."""
+    k = held.shape[2]
+    own = held[:, :, 0].copy()
+    for t in range(1, k):
+        own = np.where(own < 0, held[:, :, t], own)
+    said = own.copy()
+    few = np.nonzero((2 * (held == own[:, :, None]).sum(axis=2) < k) & (np.arange(held.shape[1]) < size[:, None]))
+    some = held[few]
+    often = np.where(some < 0, 0, (some[:, :, None] == some[:, None, :]).sum(axis=2))
+    said[few] = some[np.arange(len(some)), often.argmax(axis=1)]  # the earliest of the most frequent
+    return own, said
+
+
+def _merged(held: np.ndarray, size: np.ndarray, batch: Batch, rows: np.ndarray, k: int, anchored: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``k`` sequences of rows with one sequence more, and their number."""
+    own, said = _majorities(held, size)
+    new, n = batch.nth(rows, k)
+    path, ends = edits.aligned(said, size, new, n, batch.words, GAP)
+    done = path == edits.DONE
+    old, word = ~done & (path != LEFT), ~done & (path != UP)
+    odd = np.flatnonzero(((own != said) & (np.arange(own.shape[1]) < size[:, None])).any(axis=1)) if not anchored else ()
+    lists = {}
+    for r in odd:  # words may be lost
+        steps = zip(np.where(old[r], said[r, np.maximum(np.cumsum(old[r]) - 1, 0)], -1)[: ends[r]].tolist(), np.where(word[r], new[r, np.maximum(np.cumsum(word[r]) - 1, 0)], -1)[: ends[r]].tolist()) if len(new[r]) and len(said[r]) else None
+        if steps is not None:
+            now = [[None if w < 0 else w for w in row] for row in held[r, : size[r]].tolist()]
+            lists[r] = merge(now, [(None if a < 0 else a, None if b < 0 else b) for a, b in steps], k, anchored)
+    wide = max([path.shape[1], *map(len, lists.values())])
+    out = np.full((len(rows), wide, k + 1), -1, dtype=np.int32)
+    r, at = np.nonzero(old)
+    out[r, at, :k] = held[r, (np.cumsum(old, axis=1) - 1)[r, at]]
+    r, at = np.nonzero(word)
+    out[r, at, k] = new[r, (np.cumsum(word, axis=1) - 1)[r, at]]
+    for r, got in lists.items():
+        out[r], ends[r] = -1, len(got)
+        out[r, : len(got)] = [[-1 if w is None else w for w in row] for row in got]
+    return out, ends
+
+
+class Lattices:
+    """Lattices of a batch: by row the first bin and their number, by bin the first alternative and their number, and the words."""
+
+    def __init__(self, batch: Batch, anchored: bool, min_support: int):
+        order = sorted(range(len(batch.words.words)), key=batch.words.words.__getitem__)
+        by_rank, rank = np.array([*order, -1]), np.full(len(order) + 1, len(order))  # the last stands for a gap
+        rank[order] = np.arange(len(order))
+        empty = batch.words.words.index("") if "" in batch.words.words else -1
+        count, most = batch.rows.sizes, len(order)
+        got, place, bins, sizes, words = [], np.zeros(len(count), dtype=np.int64), [], [], []
+        for k in np.unique(count).tolist():
+            same = np.flatnonzero(count == k)
+            for part in edits.parts((batch.total[same] + 1) * (k + 1) * 4, edits.CELLS):
+                rows = same[part]
+                held, n = (np.empty((len(rows), 0, 1), np.int32), np.zeros(len(rows), np.int64)) if not k else batch.nth(rows, 0)
+                held = held.reshape(len(rows), -1, 1)
+                for t in range(1, k):
+                    held, n = _merged(held, n, batch, rows, t, anchored)
+                if empty >= 0:
+                    held = np.where(held == empty, -1, held)
+                if min_support > 1:
+                    often = np.stack([(held == held[:, :, t, None]).sum(axis=2) for t in range(held.shape[2])], axis=2)
+                    held = np.where((held == held[:, :, :1]) | (often >= min_support), held, -1)
+                ranks = np.sort(rank[held], axis=2)
+                kept = ranks < most
+                kept[:, :, 1:] &= ranks[:, :, 1:] != ranks[:, :, :-1]
+                each = kept.sum(axis=2)
+                got.append(rows)
+                bins.append((each > 0).sum(axis=1))
+                sizes.append(each[each > 0])
+                words.append(by_rank[ranks[kept]])
+        joined = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.empty(0, np.int64)
+        self.bins, self.sizes, self.words = joined(bins), joined(sizes), joined(words)
+        place[joined(got)] = np.arange(len(count))
+        self.place, self.texts = place, batch.texts
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.first, self.count = (np.cumsum(self.bins) - self.bins)[place], self.bins[place]
+
+    def arrow(self) -> pa.Array:
+        ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        inner = pa.ListArray.from_arrays(ends(self.sizes), self.texts.take(pa.array(self.words)))
+        return pa.ListArray.from_arrays(ends(self.bins), inner).take(pa.array(self.place))
 
 
 def lattice(sequences: Column, anchored: bool = False, min_support: int = 1) -> Column:
@@ -164,8 +231,7 @@ def lattice(sequences: Column, anchored: bool = False, min_support: int = 1) ->
 
     @F.arrow_udf("array<array<string>>")
     def build(column: pa.Array) -> pa.Array:
-        held, out = _built(column, anchored, min_support)
-        return edits.nested(out, held.words)
+        return Lattices(Batch(column), anchored, min_support).arrow()
 
     return build(sequences)
 
@@ -180,18 +246,32 @@ def rated(sequences: Column, anchored: bool = False, min_support: int = 1, epsil
 
     @F.arrow_udf(RATED)
     def build(column: pa.Array) -> pa.Array:
-        held, lattices = _built(column, anchored, min_support)
-        ends = pa.array(np.r_[0, np.cumsum([max(len(r) - 1, 0) for r in held.rows])].astype(np.int32))
-        said = [s for r in held.rows for s in r[1:]]
-        owner = [i for i, r in enumerate(held.rows) for _ in r[1:]]
-        free = [[int(not own.isdisjoint(b)) for b in x] for own, x in zip((set(r[0].tolist()) if r else set() for r in held.rows), lattices)] if epsilon_bins else None
-        plain, folded = np.zeros(len(said), dtype=np.int64), np.zeros(len(said), dtype=np.int64)
-        for own in edits.parts(np.array([(len(s) + 1) * (len(lattices[i]) + 1) for s, i in zip(said, owner)], dtype=np.int64)):
-            of, hyps = [owner[k] for k in own], [said[k] for k in own]
-            plain[own] = edits.through([[(w,) for w in held.rows[i][0].tolist()] for i in of], hyps)
-            folded[own] = edits.through([lattices[i] for i in of], hyps, None if free is None else [free[i] for i in of])
-        each = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (plain, folded))
-        return pa.StructArray.from_arrays([edits.nested(lattices, held.words), *each], ["lattice", "errors", "lattice_errors"])
+        batch = Batch(column)
+        made = Lattices(batch, anchored, min_support)
+        each = np.maximum(batch.rows.sizes - 1, 0)
+        owner = np.repeat(np.arange(len(each)), each)
+        ends = np.r_[0, np.cumsum(each)]
+        reference, hyp = batch.rows.starts[owner], batch.rows.starts[owner] + 1 + np.arange(len(owner)) - ends[owner]
+        starts, sizes, ids = batch.sequences.starts, batch.sequences.sizes, batch.ids
+        one = np.ones(len(ids), dtype=np.int64)
+        plain = edits.counts(starts[reference], sizes[reference], np.ones(len(owner), dtype=np.int64), np.arange(len(ids)), one, ids, starts[hyp], sizes[hyp], ids)
+        said, lattices = [ids[a : a + n] for a, n in zip(starts[hyp], sizes[hyp])] if epsilon_bins else [], made.arrow()
+        if epsilon_bins:
+            number = {w: i for i, w in enumerate(batch.words.words)}
+            bins = [[[number[w] for w in b] for b in x] for x in lattices.to_pylist()]
+            known = [set(ids[starts[r] : starts[r] + sizes[r]].tolist()) if n else set() for r, n in zip(batch.rows.starts, batch.rows.sizes)]
+            free = [[int(not own.isdisjoint(b)) for b in x] for own, x in zip(known, bins)]
+            folded = np.zeros(len(said), dtype=np.int64)
+            for own in edits.parts(np.array([(len(s) + 1) * (len(bins[i]) + 1) for s, i in zip(said, owner)], dtype=np.int64)):
+                of = owner[own].tolist()
+                folded[own] = edits.through([bins[i] for i in of], [said[k] for k in own], [free[i] for i in of])
+        else:
+            most = np.zeros(len(each), dtype=np.int64)
+            for i in np.flatnonzero(made.count).tolist():
+                most[i] = made.sizes[made.first[i] : made.first[i] + made.count[i]].max()
+            folded = edits.counts(made.first[owner], made.count[owner], most[owner], made.starts, made.sizes, made.words, starts[hyp], sizes[hyp], ids)
+        lists = (pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (plain, folded))
+        return pa.StructArray.from_arrays([lattices, *lists], ["lattice", "errors", "lattice_errors"])
 
     return build(sequences)
 
@@ -201,23 +281,27 @@ def pairs(first: Column, second: Column, gap: float = GAP) -> Column:
 
     @F.arrow_udf("array<struct<a:string,b:string>>")
     def build(column: pa.Array) -> pa.Array:
-        held = Sequences(column)
-        words, paths = Words(held.words), [np.empty(0, np.uint8)] * len(held.rows)
-        for own in edits.parts(np.array([sum(map(len, r)) ** 2 for r in held.rows], dtype=np.int64)):
-            rows = [held.rows[i] for i in own]
-            table, _, places = words.within([np.concatenate(r) for r in rows])
-            got = edits.aligned([p[: len(r[0])] for p, r in zip(places, rows)], [p[len(r[0]) :] for p, r in zip(places, rows)], table, gap)
-            for i, path in zip(own.tolist(), got):
-                paths[i] = path
-        steps = np.concatenate(paths) if paths else np.empty(0, np.uint8)
-        texts = pa.array(held.words, pa.string())
-
-        def side(k: int, skipped: int) -> pa.Array:
+        batch = Batch(column)
+        texts = batch.texts
+        lengths, order, paths, sides = np.zeros(len(column), dtype=np.int64), [], [], ([], [])
+        for rows in edits.parts((batch.total + 1) * 4):
+            (x, m), (y, n) = batch.nth(rows, 0), batch.nth(rows, 1)
+            path, lengths[rows] = edits.aligned(x, m, y, n, batch.words, gap)
+            order.append(rows)
+            paths.append(path[path != edits.DONE])
+            for side, words, size in ((sides[0], x, m), (sides[1], y, n)):
+                side.append(words[np.arange(words.shape[1]) < size[:, None]])
+        joined = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
+        steps, order = joined(paths, np.uint8), joined(order, np.int64)
+
+        def said(k: int, skipped: int) -> pa.Array:
             index, stands = np.zeros(len(steps), dtype=np.int64), steps != skipped
-            index[stands] = np.concatenate([r[k] for r in held.rows]) if held.rows else []
+            index[stands] = joined(sides[k], np.int32)
             return texts.take(pa.array(index, mask=~stands))
 
-        ends = pa.array(np.r_[0, np.cumsum([len(p) for p in paths])].astype(np.int32))
-        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([side(0, LEFT), side(1, UP)], ["a", "b"]))
+        place = np.empty(len(column), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        ends = pa.array(np.r_[0, np.cumsum(lengths[order])].astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([said(0, LEFT), said(1, UP)], ["a", "b"])).take(pa.array(place))
 
     return build(F.array(first, second))

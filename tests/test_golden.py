@@ -6,10 +6,12 @@ import json
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patraka.functions import codeswitch, numbers, registry, wer
+from patraka.functions import edits as edits_
 from patraka.functions import lexicons as lex
 from patraka.functions import text as T
 from patraka.operators import align, ingest, sampling, spelling
@@ -323,6 +325,22 @@ def test_batches_of_pairs_like_one_by_one(spark):
     assert df.limit(0).select(align.pairs(F.col("a"), F.col("b"))).count() == 0
 
 
+def test_alignment_compares_few_words():
+    # before, the distances of all pairs of different words of a row: 435 here
+    words = [chr(97 + i % 26) * (1 + i // 26) + chr(98 + i % 7) for i in range(30)]
+    held = edits_.Words([*words, *(w + "x" for w in words)])
+    asked, own = [], held.distances
+    held.distances = lambda i, j: asked.append(len(i)) or own(i, j)
+    full = np.arange(30)[None]
+    dropped, changed = np.array([[i for i in range(30) if i % 5]]), np.where(full % 4, full, full + 30)
+    for other, most in ((dropped, 0), (changed, 60)):
+        asked.clear()
+        path, ends = edits_.aligned(full, np.array([30]), other, np.array([other.shape[1]]), held, 1.0)
+        assert sum(asked) <= most
+        said = align.align_pair([held.words[i] for i in full[0]], [held.words[i] for i in other[0]])
+        assert [edits_.UP if b is None else edits_.LEFT if a is None else edits_.PAIR for a, b in said] == path[0, : ends[0]].tolist()
+
+
 def test_odd_lattices(spark):
     df = spark.createDataFrame([(None, ["a"]), ([["a"]], None), ([], ["a", "b"]), ([["a"], ["b"]], [])], "l array<array<string>>, h array<string>")
     e = wer.lattice_errors(F.col("l"), F.col("h"))

@@ -341,6 +341,20 @@ def test_alignment_compares_few_words():
         assert [edits_.UP if b is None else edits_.LEFT if a is None else edits_.PAIR for a, b in said] == path[0, : ends[0]].tolist()
 
 
+def test_long_rows_by_bands_and_by_tables():
+    rng = random.Random(11)
+    known = edits_.Words(["ab", "abc", "x", "yy", "abd", "", "\u00e9"])
+    near = [rng.randrange(7) for _ in range(120)]
+    rows = [(near, [w for w in near if rng.random() < 0.95]), ([rng.randrange(7) for _ in range(150)], [rng.randrange(7) for _ in range(40)]), ([], [1, 2])]
+    (x, m), (y, n) = (edits_.padded([np.array(r[k], dtype=np.int64) for r in rows], 0) for k in range(2))
+    low, high, _ = edits_.bands(x, m, y, n, known, 1.0)
+    assert high[0] - low[0] < edits_.BITS <= high[1] - low[1]  # one of each kind
+    path, ends = edits_.aligned(x, m, y, n, known, 1.0)
+    for r, (a, b) in enumerate(rows):
+        said = align.align_pair([known.words[i] for i in a], [known.words[i] for i in b])
+        assert [edits_.UP if q is None else edits_.LEFT if p is None else edits_.PAIR for p, q in said] == path[r, : ends[r]].tolist()
+
+
 def test_odd_lattices(spark):
     df = spark.createDataFrame([(None, ["a"]), ([["a"]], None), ([], ["a", "b"]), ([["a"], ["b"]], [])], "l array<array<string>>, h array<string>")
     e = wer.lattice_errors(F.col("l"), F.col("h"))
